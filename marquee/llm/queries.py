@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marquee.llm import substring_dedup, url_filter
+from marquee.llm import ngram_join, substring_dedup, url_filter
 from marquee.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -71,3 +71,8 @@ c AS (SELECT *, regexp_replace(host, '^(www|m)\.', '') || regexp_replace(path, '
 l AS (SELECT DISTINCT canon FROM c WHERE regexp_extract(host, '([^.]*)\.example\.[a-z]+$', 1) IN ('adult-x', 'ads-track', 'casino-win', 'cheap-pills', 'free-bets', 'spam-farm'))
 SELECT page_id, host, path, rule, coalesce(verdict, CASE WHEN canon IN (SELECT canon FROM l) THEN 'block' ELSE 'allow' END) AS verdict FROM c
 """
+
+
+@_query
+def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.similar(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
