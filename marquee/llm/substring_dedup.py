@@ -1,8 +1,10 @@
 """Substring deduplication by seed and extend over winnowed anchors.
 
-Every window of ``length`` words elects one anchor, the leftmost least hash among its k-word grams, so that
-equal windows elect equal anchors. Anchors that occur in two documents seed matches; around those seeds alone the
-whole windows are compared, which extends a match both ways, and adjacent matching windows merge into maximal repeats.
+Every window of ``length`` words elects one anchor, the leftmost least hash among its k-word grams, so that equal windows
+elect equal anchors. The windows that elect one anchor overlap; the words they cover are its span. Anchors that occur in
+two documents seed matches. Where a whole span recurs, all its windows match the first document with that span. Where the
+spans around an anchor differ, the match is extended both ways only as far as the windows agree: of each distinct span the
+first document's windows are compared. Adjacent matching windows merge into maximal repeats.
 
 Null and empty texts have no words and come back with zero counts and the hash of the empty string. Texts shorter than
 a window lose nothing. A repeat within one document alone stays. Rows that repeat a doc_id are one document to the
@@ -26,51 +28,57 @@ _SECOND = np.uint64(0xA0761D6478BD642F)
 
 
 def _windows(hashes: np.ndarray, bounds: np.ndarray, length: int, k: int):
-    """(start, text, anchor hash, first hash, second hash) of each window within one text."""
+    """(start, text, anchor, span, first hash, second hash) of each window within one text."""
     n = len(hashes) - length + 1
     if n <= 0:
-        z = np.zeros(0, np.uint64)
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), z, z, z
+        z = np.zeros(0, np.int64)
+        return z, z, z, z, z, z
     text = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
     start = np.flatnonzero(text[:n] == text[length - 1 :])
     gram = grams(hashes, k)
     span = length - k + 1
-    at = np.lib.stride_tricks.sliding_window_view(gram, span)[start].argmin(axis=1) if len(start) else start
-    return start, text[start], gram[start + at], grams(hashes, length)[start], grams(mix(hashes ^ _SECOND), length, _SECOND)[start]
+    at = start + (np.lib.stride_tricks.sliding_window_view(gram, span)[start].argmin(axis=1) if len(start) else start)
+    one, two = grams(hashes, length)[start], grams(mix(hashes ^ _SECOND), length, _SECOND)[start]
+    new = np.flatnonzero(np.diff(at, prepend=-1))
+    end = np.append(new[1:], len(at)) - 1
+    whole = mix(one[new] + two[end] * _SECOND + (end - new).astype(np.uint64))
+    whole = np.repeat(whole, end - new + 1)
+    return start, text[start], (gram[at] >> np.uint64(16)).view(np.int64), whole.view(np.int64), one.view(np.int64), two.view(np.int64)
 
 
-def _anchors(length: int, k: int):
+def _spans(length: int, k: int):
     def run(batches):
         for batch in batches:
             ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
             for first, data, offsets in text_blocks(batch.column("text")):
                 _, _, hashes, bounds = block_words(data, offsets)
-                _, text, anchor, _, _ = _windows(hashes, bounds, length, k)
+                _, text, anchor, span, _, _ = _windows(hashes, bounds, length, k)
                 if len(anchor):
-                    new = np.flatnonzero(np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (text[1:] != text[:-1])]))
-                    yield pa.RecordBatch.from_arrays([pa.array(anchor[new].view(np.int64)), pa.array(ids[first + text[new]].astype(np.int64))], ["anchor", "doc_id"])
+                    new = np.flatnonzero(np.concatenate([[True], (span[1:] != span[:-1]) | (text[1:] != text[:-1])]))
+                    yield pa.RecordBatch.from_arrays([pa.array(anchor[new]), pa.array(span[new]), pa.array(ids[first + text[new]].astype(np.int64))], ["anchor", "span", "doc_id"])
 
     return run
 
 
 def _seeded(length: int, k: int):
-    """The windows of a text whose anchor is among its shared ones."""
+    """The windows of a text that lie in the given spans."""
 
     def run(batches):
         for batch in batches:
-            ids, shared = batch.column("doc_id").to_numpy(zero_copy_only=False), batch.column("anchors")
+            ids, spans = batch.column("doc_id").to_numpy(zero_copy_only=False), batch.column("spans")
             for first, data, offsets in text_blocks(batch.column("text")):
                 _, _, hashes, bounds = block_words(data, offsets)
-                _, text, anchor, one, two = _windows(hashes, bounds, length, k)
+                _, text, _, span, one, two = _windows(hashes, bounds, length, k)
                 cut = np.searchsorted(text, np.arange(len(offsets)))
+                rows = [np.zeros((0, 3), np.int64)]
                 for i in range(len(offsets) - 1):
                     a, b = cut[i], cut[i + 1]
                     if a < b:
-                        seeds = np.asarray(shared[first + i].values.to_numpy(zero_copy_only=False))
-                        hit = a + np.flatnonzero(np.isin(anchor[a:b], seeds.view(np.uint64)))
-                        pairs = np.unique(np.stack([one[hit], two[hit]], axis=1).view(np.int64), axis=0)
-                        if len(pairs):
-                            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy()), pa.array(np.full(len(pairs), ids[first + i], np.int64))], ["one", "two", "doc_id"])
+                        hit = a + np.flatnonzero(np.isin(span[a:b], spans[first + i].values.to_numpy()))
+                        rows.append(np.stack([one[hit], two[hit], np.full(len(hit), ids[first + i], np.int64)], axis=1))
+                found = np.concatenate(rows)
+                if len(found):
+                    yield pa.RecordBatch.from_arrays([pa.array(found[:, c].copy()) for c in range(3)], ["one", "two", "doc_id"])
 
     return run
 
@@ -78,33 +86,36 @@ def _seeded(length: int, k: int):
 def _cut(length: int, k: int):
     def run(batches):
         for batch in batches:
-            repeated = batch.column("repeats")
+            spans, windows = batch.column("spans"), batch.column("windows")
             out = {"n_words": [], "n_removed": [], "kept_text": [], "removed_spans": []}
             for first, data, offsets in text_blocks(batch.column("text")):
                 starts, ends, hashes, bounds = block_words(data, offsets)
+                start, text, _, span, one, two = _windows(hashes, bounds, length, k)
+                cut = np.searchsorted(text, np.arange(len(offsets)))
                 raw = data.tobytes()
                 for i in range(len(offsets) - 1):
                     a, b = int(bounds[i]), int(bounds[i + 1])
-                    keep = np.ones(b - a, bool)
-                    spans = []
-                    if repeated[first + i].is_valid and b - a >= length:
-                        pairs = repeated[first + i].values
-                        bad = {(x, y) for x, y in zip(pairs.field("one").to_numpy(), pairs.field("two").to_numpy(), strict=True)}
-                        one = grams(hashes[a:b], length).view(np.int64)
-                        two = grams(mix(hashes[a:b] ^ _SECOND), length, _SECOND).view(np.int64)
-                        maybe = np.flatnonzero(np.isin(one, pairs.field("one").to_numpy()))
-                        hit = np.array([j for j in maybe if (one[j], two[j]) in bad], np.int64)
-                        step = np.zeros(b - a + 1, np.int64)
-                        np.add.at(step, hit, 1)
-                        np.add.at(step, hit + length, -1)
-                        keep = np.cumsum(step[:-1]) == 0
-                        turn = np.flatnonzero(np.diff(np.concatenate([[True], keep, [True]]).astype(np.int8)))
-                        spans = turn.tolist()
-                    kept = np.flatnonzero(keep) + a
+                    x, y = cut[i], cut[i + 1]
+                    bad = np.zeros(y - x, bool)
+                    if spans[first + i].is_valid and len(spans[first + i]):
+                        bad |= np.isin(span[x:y], spans[first + i].values.to_numpy())
+                    if windows[first + i].is_valid and len(windows[first + i]):
+                        pairs = windows[first + i].values
+                        ones, twos = pairs.field("one").to_numpy(), pairs.field("two").to_numpy()
+                        known = set(zip(ones.tolist(), twos.tolist(), strict=True))
+                        for j in np.flatnonzero(np.isin(one[x:y], ones)):
+                            bad[j] |= (one[x + j], two[x + j]) in known
+                    hit = start[x:y][bad] - a
+                    step = np.zeros(b - a + 1, np.int64)
+                    np.add.at(step, hit, 1)
+                    np.add.at(step, hit + length, -1)
+                    keep = np.cumsum(step[:-1]) == 0
+                    turn = np.flatnonzero(np.diff(np.concatenate([[1], keep, [1]]).astype(np.int8)))
+                    kept = (np.flatnonzero(keep) + a).tolist()
                     out["n_words"].append(b - a)
                     out["n_removed"].append(b - a - len(kept))
                     out["kept_text"].append(b" ".join([raw[starts[j] : ends[j]] for j in kept]).decode())
-                    out["removed_spans"].append(spans)
+                    out["removed_spans"].append(turn.tolist())
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(out["n_words"], pa.int64()), pa.array(out["n_removed"], pa.int64()), pa.array(out["kept_text"], pa.string()), pa.array(out["removed_spans"], pa.list_(pa.int64()))],
                 ["doc_id", *out],
@@ -117,13 +128,19 @@ def remove_repeats(docs: DataFrame, length: int = 13, k: int = GRAM) -> DataFram
     """doc_id, n_words, n_removed, kept_text and removed_spans (word positions: start, end, start, ...) of every row of docs(doc_id, text)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     seen = docs.where("doc_id IS NOT NULL")
-    anchors = seen.mapInArrow(_anchors(length, k), "anchor long, doc_id long")
-    shared = anchors.groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("anchor")
-    seeds = anchors.join(shared, "anchor").groupBy("doc_id").agg(F.collect_set("anchor").alias("anchors"))
-    windows = saved(seen.join(seeds, "doc_id").mapInArrow(_seeded(length, k), "one long, two long, doc_id long"))
+    spans = seen.mapInArrow(_spans(length, k), "anchor long, span long, doc_id long")
+    ends = [f(c).alias(f"{n}_{c}") for c in ("doc_id", "span") for n, f in (("lo", F.min), ("hi", F.max))]
+    seeds = spans.groupBy("anchor").agg(*ends).where("lo_doc_id < hi_doc_id").select("anchor", (F.col("lo_span") < F.col("hi_span")).alias("differ"))
+    seeded = saved(spans.join(seeds, "anchor").select("span", "differ", "doc_id"))
+    firsts = seeded.groupBy("span").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.max("differ").alias("differ"))
+    whole = seeded.join(firsts.where("lo < hi").select("span", "lo"), "span").where("doc_id > lo").select("doc_id", "span")
+    open_ = firsts.where("differ").groupBy(F.col("lo").alias("doc_id")).agg(F.collect_list("span").alias("spans"))
+    windows = saved(seen.join(open_, "doc_id").mapInArrow(_seeded(length, k), "one long, two long, doc_id long"))
     least = windows.groupBy("one", "two").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("one", "two", "lo")
-    repeats = windows.join(least, ["one", "two"]).where("doc_id > lo").groupBy("doc_id").agg(F.collect_set(F.struct("one", "two")).alias("repeats"))
-    return docs.join(repeats, "doc_id", "left").mapInArrow(_cut(length, k), "doc_id long, n_words long, n_removed long, kept_text string, removed_spans array<long>")
+    parts = windows.join(least, ["one", "two"]).where("doc_id > lo").select("doc_id", F.lit(None).cast("long").alias("span"), F.struct("one", "two").alias("window"))
+    found = whole.withColumn("window", F.lit(None).cast("struct<one:bigint,two:bigint>")).unionByName(parts)
+    found = found.groupBy("doc_id").agg(F.collect_set("span").alias("spans"), F.collect_set("window").alias("windows"))
+    return docs.join(found, "doc_id", "left").mapInArrow(_cut(length, k), "doc_id long, n_words long, n_removed long, kept_text string, removed_spans array<long>")
 
 
 def digest(result: DataFrame) -> DataFrame:
