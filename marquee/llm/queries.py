@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marquee.llm import fingerprints, ngram_join, packing, secrets, substring_dedup, url_filter
+from marquee.llm import decontamination, fingerprints, ngram_join, packing, secrets, substring_dedup, toxicity, url_filter
 from marquee.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -97,3 +97,25 @@ def tokenizer_path() -> str:
 @_query
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.find(table(spark, sf_dir, "documents"), ["doc_id"]))
+
+
+@_query
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contained(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+ORACLES["op4_decontamination"] = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents WHERE doc_id IS NOT NULL),
+b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM benchmark WHERE item_id IS NOT NULL),
+i AS (SELECT DISTINCT item_id, least(5, len(w)) AS k, array_to_string(w[j:j + least(5, len(w)) - 1], ' ') AS s FROM b, unnest(generate_series(1, len(w) - least(5, len(w)) + 1)) AS t(j) WHERE len(w) > 0),
+g AS (SELECT DISTINCT doc_id, k, array_to_string(w[j:j + k - 1], ' ') AS s FROM d, (SELECT DISTINCT k FROM i), unnest(generate_series(1, len(w) - k + 1)) AS t(j)),
+n AS (SELECT item_id, count(*) AS n_shingles FROM i GROUP BY item_id)
+SELECT doc_id, item_id, count(*) AS shared, any_value(n_shingles) AS n_shingles, count(*) / any_value(n_shingles) AS containment
+FROM g JOIN i USING (k, s) JOIN n USING (item_id) GROUP BY doc_id, item_id HAVING count(*) * 100 >= any_value(n_shingles) * 75
+"""
+
+
+@_query
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
