@@ -26,16 +26,30 @@ from marquee.llm.common import SPACES, partitions
 SAMPLES = 32
 
 
-def sample(term: Column, log_weight: Column, k: int) -> Column:
-    """Sample k of a term as one long: its value in the high bits, its identity in the low 24."""
-    a, b = F.xxhash64(term, F.lit(2 * k)), F.xxhash64(term, F.lit(2 * k + 1))
+def _gamma_steps(n: int = 256) -> list[float]:
+    """The middles of n equally likely parts of Gamma(2, 1), by Newton's method on 1 - (1 + x) exp(-x)."""
+    out = []
+    for i in range(n):
+        u, x = (i + 0.5) / n, 1.0
+        for _ in range(60):
+            x = max(1e-6, x - (1 - (1 + x) * math.exp(-x) - u) / (x * math.exp(-x)))
+        out.append(round(x, 5))
+    return out
 
-    def uniform(bits: Column, shift: int, width: int) -> Column:
+
+GAMMA = _gamma_steps()
+
+
+def sample(term: Column, log_weight: Column, steps: Column, k: int) -> Column:
+    """Sample k of a term as one long: its value in the high bits, its identity in the low 24. r is drawn from steps, c and b by their formulas."""
+    bits = F.xxhash64(term, F.lit(k))
+
+    def uniform(shift: int, width: int) -> Column:
         return (F.shiftrightunsigned(bits, shift).bitwiseAND(F.lit((1 << width) - 1)) + 1) * F.lit(2.0**-width)
 
-    r = -F.ln(uniform(a, 0, 31) * uniform(a, 32, 31))
-    c = -F.ln(uniform(b, 0, 20) * uniform(b, 20, 20))
-    beta = uniform(b, 40, 24)
+    r = F.get(steps, bits.bitwiseAND(F.lit(len(GAMMA) - 1)).cast("int"))
+    c = -F.ln(uniform(8, 20) * uniform(28, 20))
+    beta = uniform(48, 16)
     t = F.floor(log_weight / r + beta)
     value = F.ln(c) - r * (t - beta) - r
     identity = term.bitwiseXOR(t).bitwiseAND(F.lit((1 << 24) - 1))
@@ -80,7 +94,8 @@ def samples_of(texts: DataFrame, keys: list[str], sides: int, samples: int = SAM
     word = side.select(*keys, "side", F.explode(F.split("text", SPACES)).alias("word"))
     term = word.select(*keys, "side", F.when(F.col("word") != "", F.xxhash64("word")).alias("term"), F.char_length("word").alias("size"))
     weight = term.groupBy(*keys, "side", "term").agg(F.sum("size").alias("weight")).withColumn("weight", F.ln("weight"))
-    own = [(s, k, F.when(F.col("side") == s, sample(F.col("term"), F.col("weight"), k))) for s in range(sides) for k in range(samples)]
+    steps = F.split(F.lit(",".join(map(str, GAMMA))), ",").cast("array<double>")
+    own = [(s, k, F.when(F.col("side") == s, sample(F.col("term"), F.col("weight"), steps, k))) for s in range(sides) for k in range(samples)]
     return weight.groupBy(*keys).agg(*(F.coalesce(F.min(x), F.lit(-1)).alias(f"s{s}_{k}") for s, k, x in own))
 
 
