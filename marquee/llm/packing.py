@@ -20,6 +20,7 @@ import zlib
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -29,14 +30,16 @@ from marquee.llm.common import saved
 CAPACITY, SLACK, FAN_IN, ITEMS = 4096, 16, 8, 200_000
 #: Chunks and word parts that a worker remembers.
 REMEMBERED = 400_000
+#: Bytes of text that are encoded at once (and one text at least).
+TEXT_AT_ONCE = 4_000_000
 #: Pieces that are packed at once within a partition.
 AT_ONCE = 200_000
 #: Latin letters and then marks: the tokenizer splits such a chunk between the two, and lower case is all it changes.
-_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]*)([!-&(-/:;=?@\[-`{|}~]*)")
+_PLAIN = re.compile(r"^([A-Za-zÀ-ÖØ-öø-ÿ]{0,99})([!-&(-/:;=?@\[-`{|}~]{0,99})$", re.M)
 
 
 class Encoder:
-    """Token ids as little-endian uint32 bytes. Spaces and line ends bound tokens, so texts are encoded chunk by chunk and chunks are remembered."""
+    """Token ids of whole texts. Spaces and line ends bound tokens, so each distinct chunk between them is encoded once and remembered."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer, pre_tokenizers
@@ -44,46 +47,51 @@ class Encoder:
         self.whole, self.bare = Tokenizer.from_file(path), Tokenizer.from_file(path)
         self.bare.normalizer = None
         self.bare.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-        self.chunks: dict[str, bytes] = {}
         self.parts: dict[str, bytes] = {"": b""}
+        self._forget()
 
-    def _learn(self, chunks: list[str]) -> dict[str, bytes]:
-        plain, other = [], []
-        for c in chunks:
-            m = _PLAIN.fullmatch(c) if len(c) < 200 else None
-            if m:
-                plain.append((c, m[1].lower(), m[2]))
-            else:
-                other.append(c)
+    def _forget(self) -> None:
+        self.number: dict[str, int] = {}
+        self.ids, self.starts, self.sizes = (np.zeros(0, t) for t in ("<u4", np.int64, np.int64))
+
+    def _learn(self, chunks: list[str]) -> None:
+        plain = _PLAIN.findall("\n".join(chunks))
+        low = [a.lower() for a, _ in plain]
         if len(self.parts) > REMEMBERED:
             self.parts = {"": b""}
-        if new := list({x for _, a, b in plain for x in (a, b)} - self.parts.keys()):
+        if new := list({*low, *(b for _, b in plain)} - self.parts.keys()):
             e = self.bare.encode(new, is_pretokenized=True, add_special_tokens=False)
-            ids = np.array(e.ids, "<u4")
-            cut = np.searchsorted(np.array(e.word_ids), np.arange(len(new) + 1))
-            raw = ids.tobytes()
-            self.parts.update((x, raw[4 * cut[i] : 4 * cut[i + 1]]) for i, x in enumerate(new))
-        parts = self.parts
-        out = {c: parts[a] + parts[b] for c, a, b in plain}
-        out.update((c, np.array(e.ids, "<u4").tobytes()) for c, e in zip(other, self.whole.encode_batch(other, add_special_tokens=False), strict=True))
-        return out
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        split = [t.replace("\n", " ").split(" ") for t in texts]
-        new = set().union(*split) - self.chunks.keys()
-        if new:
-            learned = self._learn(list(new))
-            if len(self.chunks) > REMEMBERED:
-                self.chunks = {}
-                learned |= self._learn(list(set().union(*split) - learned.keys()))
-            self.chunks.update(learned)
-        get = self.chunks.__getitem__
-        out = [b"".join(map(get, s)) for s in split]
-        if new:
-            for c in learned:
-                if len(c) > 100:
-                    del self.chunks[c]
-        return out
+            cut = (4 * np.searchsorted(np.array(e.word_ids), np.arange(len(new) + 1))).tolist()
+            raw = np.array(e.ids, "<u4").tobytes()
+            self.parts.update(zip(new, map(raw.__getitem__, map(slice, cut, cut[1:])), strict=True))
+        get = self.parts.__getitem__
+        names = [a + b for a, b in plain]
+        found = [get(x) + get(b) for x, (_, b) in zip(low, plain, strict=True)]
+        if len(names) < len(chunks):
+            other = list(set(chunks) - set(names))
+            names += other
+            found += [np.array(e.ids, "<u4").tobytes() for e in self.whole.encode_batch(other, add_special_tokens=False)]
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        self.number.update(zip(names, range(len(self.number), len(self.number) + len(names)), strict=True))
+        self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(sizes) - sizes])
+        self.sizes = np.concatenate([self.sizes, sizes])
+        self.ids = np.concatenate([self.ids, np.frombuffer(b"".join(found), "<u4")])
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts of a string array without nulls, and where each text's begin (and the last one's end)."""
+        if len(self.number) > REMEMBERED:
+            self._forget()
+        split = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+        bounds = np.asarray(split.offsets)
+        coded = split.flatten().dictionary_encode()
+        chunks = coded.dictionary.to_pylist()
+        if new := [c for c in chunks if c not in self.number]:
+            self._learn(new)
+        numbers = np.fromiter(map(self.number.__getitem__, chunks), np.int64, len(chunks))[coded.indices.to_numpy()]
+        sizes = self.sizes[numbers]
+        ends = np.concatenate([[0], np.cumsum(sizes)])
+        ids = self.ids[np.repeat(self.starts[numbers] - ends[:-1], sizes) + np.arange(ends[-1])]
+        return ids, ends[bounds - bounds[0]]
 
 
 @functools.cache
@@ -122,17 +130,19 @@ def _local(path: str, capacity: int, end_id: int, keep_ids: bool):
     def rows(batches):
         enc = encoder(path)
         for batch in batches:
-            ids = batch.column("doc_id").to_pylist()
-            texts = batch.column("text")
+            doc_ids = batch.column("doc_id").to_pylist()
+            texts = batch.column("text").cast(pa.string()).fill_null("")
+            size = np.cumsum(pc.binary_length(texts).to_numpy())
             at = 0
-            while at < len(ids):
-                some = texts.slice(at, 200).to_pylist()
-                for d, raw in zip(ids[at : at + 200], enc.encode([t or "" for t in some]), strict=True):
-                    raw += end
+            while at < len(doc_ids):
+                to = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + TEXT_AT_ONCE, "right")))
+                ids, bounds = enc.encode(texts.slice(at, to - at))
+                for d, a, b in zip(doc_ids[at:to], bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+                    raw = ids[a:b].tobytes() + end
                     for k in range(0, len(raw), 4 * capacity):
                         piece = raw[k : k + 4 * capacity]
                         yield d, k // (4 * capacity), k // 4, len(piece) // 4, zlib.crc32(piece), piece if keep_ids else None
-                at += 200
+                at = to
 
     def packed(got, part, first):
         length = np.array([g[3] for g in got], np.int64)
