@@ -27,7 +27,7 @@ def safe_int(c: Column) -> Column:
 def parse_list(c: Column) -> Column:
     """A serialised list of names as an array of trimmed non-blank strings; malformed text gives an empty array."""
     repaired = F.regexp_replace(F.regexp_replace(F.regexp_replace(c, '^"|"$', ""), '""', '"'), r"\s+$", "")
-    names = F.transform(F.from_json(repaired, "array<string>"), F.trim)
+    names = F.transform(F.from_json(repaired, "array<string>"), lambda x: F.trim(x))
     return F.coalesce(F.filter(names, lambda x: x.isNotNull() & (x != "")), F.array().cast("array<string>"))
 
 
@@ -51,7 +51,7 @@ def parse_list_exact(df: DataFrame, column: str, out: str) -> DataFrame:
 
 def names_set(names: Column) -> Column:
     """Trimmed non-blank distinct names, in order of first sight."""
-    return F.array_distinct(F.filter(F.transform(names, F.trim), lambda x: x.isNotNull() & (x != "")))
+    return F.array_distinct(F.filter(F.transform(names, lambda x: F.trim(x)), lambda x: x.isNotNull() & (x != "")))
 
 
 def names_of_type(items: Column, kind: str) -> Column:

@@ -1,6 +1,6 @@
 """Every registered query of the library itself."""
 
-from marquee.plans import core
+from marquee.plans import core, evaluation, ingest
 from marquee.plans.registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "core"]
+__all__ = ["ORACLES", "QUERIES", "core", "evaluation", "ingest"]

@@ -74,7 +74,8 @@ def parts(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     """The inputs of the shelves."""
     logs, entity, items = (derived(spark, sf_dir, n) for n in ("logs", "film_entity", "item_vectors"))
     prefs = preferences.entity_preferences(logs, entity)
-    return {"ranked": inventory(spark, sf_dir), "users": preferences.profiles(logs, items), "preferences": prefs, "anchor_rows": preferences.anchors(logs, items), "film_entity": entity, "films": derived(spark, sf_dir, "films"), "vectors": items}
+    ranked = inventory(spark, sf_dir).persist()  # ten shelves read it
+    return {"ranked": ranked, "users": preferences.profiles(logs, items), "preferences": prefs, "anchor_rows": preferences.anchors(logs, items), "film_entity": entity, "films": derived(spark, sf_dir, "films"), "vectors": items}
 
 
 @query("unwatched_popular", sql("""SELECT user_id, film_id, title, popularity_rank, place FROM (SELECT user_id, film_id, popularity_rank, row_number() OVER (PARTITION BY user_id ORDER BY popularity_rank) AS place FROM popcand) JOIN films USING (film_id) WHERE place <= 10"""))
