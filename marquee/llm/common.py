@@ -38,6 +38,16 @@ def partitions(spark: SparkSession, times: int = 1) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions")) * times
 
 
+def give_back() -> None:
+    """Returns freed memory at the end of a task, as a worker stays for tasks of other kinds."""
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+
+
 def words(text: Column) -> Column:
     """The words of a text; null and blank texts have none."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPACES), lambda w: w != "")

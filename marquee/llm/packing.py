@@ -25,13 +25,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marquee.llm.common import saved
+from marquee.llm.common import give_back, saved
 
 CAPACITY, SLACK, FAN_IN, ITEMS = 4096, 16, 8, 200_000
 #: Chunks and word parts that a worker remembers.
-REMEMBERED = 400_000
+REMEMBERED = 300_000
 #: Bytes of text that are encoded at once (and one text at least).
-TEXT_AT_ONCE = 4_000_000
+TEXT_AT_ONCE = 3_000_000
 #: Pieces that are packed at once within a partition.
 AT_ONCE = 200_000
 #: Latin letters and then marks: the tokenizer splits such a chunk between the two, and lower case is all it changes.
@@ -47,6 +47,9 @@ class Encoder:
         self.whole, self.bare = Tokenizer.from_file(path), Tokenizer.from_file(path)
         self.bare.normalizer = None
         self.bare.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.forget()
+
+    def forget(self) -> None:
         self.parts: dict[str, bytes] = {"": b""}
         self._forget()
 
@@ -162,6 +165,8 @@ def _local(path: str, capacity: int, end_id: int, keep_ids: bool):
                 first, got = first + n, []
         if got:
             yield packed(got, part, first)[0]
+        encoder(path).forget()
+        give_back()
 
     return run
 

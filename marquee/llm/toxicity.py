@@ -25,11 +25,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marquee.llm.common import saved
+from marquee.llm.common import give_back, saved
 
 SAMPLE, SUPPORT, PRECISION, TERMS, EDITS, WINDOW, THRESHOLD = 10_000, 4, 0.8, 1000, 1, 6, 0.7
 STEMS = (5, 6, 7)
-REMEMBERED = 300_000
+REMEMBERED = 150_000
+#: Texts that are scored at once.
+AT_ONCE = 250
 _WORD = re.compile(r"[^\W\d_]+")
 # Fixed word lists.
 REPORTING = frozenset("said says wrote writes called quoted quote word term dit écrit appelé mot sagte schrieb nannte wort dijo escribió llamó palabra".split())
@@ -213,9 +215,13 @@ def score(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataF
     def run(batches):
         matcher, w = model.matcher(), np.array(model.weights)
         for batch in batches:
-            x = np.array([matcher.features(t or "")[0][: len(w)] for t in batch.column("__text").to_pylist()]).reshape(batch.num_rows, len(w))
-            p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(p)], [*keep, "score"])
+            for at in range(0, batch.num_rows, AT_ONCE):
+                some = batch.slice(at, AT_ONCE)
+                x = np.array([matcher.features(t or "")[0][: len(w)] for t in some.column("__text").to_pylist()])
+                p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+                yield pa.RecordBatch.from_arrays([*(some.column(c) for c in keep), pa.array(p)], [*keep, "score"])
+        del matcher
+        give_back()
 
     types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
     scored = docs.select(*keep, F.col("text").alias("__text")).mapInArrow(run, f"{types}, score double")
