@@ -31,7 +31,7 @@ CAPACITY, SLACK, FAN_IN, ITEMS = 4096, 16, 8, 200_000
 #: Chunks and word parts that a worker remembers.
 REMEMBERED = 300_000
 #: Bytes of text that are encoded at once (and one text at least).
-TEXT_AT_ONCE = 3_000_000
+TEXT_AT_ONCE = 2_000_000
 #: Pieces that are packed at once within a partition.
 AT_ONCE = 200_000
 #: Latin letters and then marks: the tokenizer splits such a chunk between the two, and lower case is all it changes.
@@ -44,8 +44,8 @@ class Encoder:
     def __init__(self, path: str):
         from tokenizers import Tokenizer, pre_tokenizers
 
-        self.whole, self.bare = Tokenizer.from_file(path), Tokenizer.from_file(path)
-        self.bare.normalizer = None
+        self.whole = Tokenizer.from_file(path)
+        self.bare = Tokenizer(self.whole.model)  # one model in memory
         self.bare.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.forget()
 
