@@ -8,7 +8,7 @@ order gives right results, a rare-first one gives few candidates), and each clas
 smaller one, are candidates if the length and positional filters let them pass; a suffix filter and then the exact overlap
 of the whole sets decide, once a pair.
 
-Groups of classes under one shingle are never paired all with all. A round compares each class with one pivot of its group;
+Groups of classes under one shingle are never paired all with all. A round compares each class with the pivots of its group;
 then groups in which nothing across components is left are done. Rounds repeat until the pairs left over all groups are at
 most ``SPARE`` times the listed shingles; those are compared by the filters within one join. So a group of many near copies collapses after a round
 or two and the rest stays in proportion to the input. No pair across components is left untested.
@@ -20,6 +20,8 @@ the component of the least linked one. A null doc_id gets a null component and l
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -29,6 +31,7 @@ from marquee.llm.common import block_words, grams, mix, saved, text_blocks
 from marquee.llm.components import components
 
 SHINGLE, THRESHOLD, BUCKETS, SPARE = 5, 0.75, 1 << 16, 256
+BANDS = 5  # a doubling of the size
 _SHIFT = np.uint64(48)
 _SHORT = np.uint64(0xE7037ED1A0B428DB)
 
@@ -81,6 +84,11 @@ def prefix_length(n: int, threshold: float = THRESHOLD) -> int:
     return n - -(-n * round(threshold * 100) // 100) + 1
 
 
+def band_reach(threshold: float = THRESHOLD) -> int:
+    """So many bands apart are two classes that can be linked at most."""
+    return math.ceil(BANDS * math.log2(1 / threshold))
+
+
 def _prefixes(k: int, counts: np.ndarray, threshold: float):
     """token, cid, n and pos of the shingles that each set is listed under."""
 
@@ -206,7 +214,7 @@ def _stars(shared: DataFrame, texts: DataFrame, threshold: float, k: int) -> Dat
     tested = spark.createDataFrame([], "a long, b long")
     # The class with most shared shingles is the pivot: what near copies were made from shares more than they do.
     degree = shared.groupBy("cid").agg(F.count("*").alias("degree"))
-    live = shared.join(degree, "cid").withColumns({"component": F.col("cid"), "index": _index_row(threshold), "band": F.floor(F.log2("n") * 5).cast("int")})
+    live = shared.join(degree, "cid").withColumns({"component": F.col("cid"), "index": _index_row(threshold), "band": F.floor(F.log2("n") * BANDS).cast("int")})
     for turn in range(size):
         members = live.groupBy("token", "component").agg(F.count("*").alias("c"), F.count_if("index").alias("i"))
         sums = [F.sum("c").alias("m"), F.sum("i").alias("i"), F.sum(F.col("c") * F.col("i")).alias("within"), F.max(F.struct("c", "component")).alias("top")]
@@ -218,13 +226,14 @@ def _stars(shared: DataFrame, texts: DataFrame, threshold: float, k: int) -> Dat
         last = turn > 1 and left <= SPARE * size
         live = live.join(groups.select("token", "main"), "token")
         # Four pivots for each band of sizes, so that a group of near copies meets some of its own kind: the class with most shared
-        # shingles and three by hash, which differ from shingle to shingle. Rows meet the pivots of bands no more than one away.
+        # shingles and three by hash, which differ from shingle to shingle. Rows meet the pivots of every band that a linked class
+        # can be in, so a pivot has met all that it can be linked with and leaves its group.
         row = F.struct("cid", "n", "pos", "component", "index")
         best = [F.max(F.struct("index", key, row.alias("row")))["row"] for key in ("degree", *(F.xxhash64("token", "cid", F.lit(i)).alias("h") for i in range(3)))]
         pivots = live.groupBy("token", "band").agg(F.array_distinct(F.array(*best)).alias("p")).select("token", "band", F.explode("p").alias("p")).select("token", "band", "p.*")
         other = live.where("component <> main") if last else pivots
         other = other.select(F.col("token").alias("token2"), *(F.col(c).alias(f"{c}2") for c in ("cid", "n", "pos", "component", "index", "band")))
-        once = (F.col("component") == F.col("main")) | (F.col("cid") < F.col("cid2")) if last else F.abs(F.col("band") - F.col("band2")) <= 1
+        once = (F.col("component") == F.col("main")) | (F.col("cid") < F.col("cid2")) if last else F.abs(F.col("band") - F.col("band2")) <= band_reach(threshold)
         found = live.join(other, (F.col("token") == F.col("token2")) & once & (F.col("component") != F.col("component2")) & _passes(threshold))
         pairs = found.select(F.greatest("cid", "cid2").alias("a"), F.least("cid", "cid2").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
         pairs = saved(pairs)

@@ -57,6 +57,19 @@ def test_ngram_join_large_group(spark):
     assert got == ngram_join.brute_force(rows)
 
 
+def test_ngram_join_links_copies_of_other_sizes(spark):
+    r = random.Random(11)
+    rows = [(1, " ".join(f"w{i}" for i in range(1, 105))), (2, " ".join(f"w{i}" for i in range(1, 81)))]
+    for b in range(40):
+        w = [f"b{b}x{i}" for i in range(r.randint(60, 200))]
+        rows.append((100 + 10 * b, " ".join(w)))
+        rows += [(101 + 10 * b + j, " ".join(w[: int(len(w) * (1 - cut / 100))])) for j, cut in enumerate(r.sample(range(15, 26), r.randint(1, 3)))]
+    want = ngram_join.brute_force(rows)
+    assert want[1] == (100, 1) and want[2] == (76, 1)
+    got = {x.doc_id: (x.n_shingles, x.component_id) for x in ngram_join.similar(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == want
+
+
 def test_decontamination(docs, texts, empty, spark):
     items = [(0, " ".join(texts[2][1].split()[3:15])), (1, "one"), (2, None), (3, "not there at all in any text"), (4, texts[4][1]), (0, " ".join(texts[2][1].split()[3:15]))]
     table = spark.createDataFrame(items, "item_id long, text string")
