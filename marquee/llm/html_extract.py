@@ -2,7 +2,8 @@
 
 A page's tree is condensed: siblings with one label (tag and class) are one node, as a wrapper would repeat it. Per host the
 page with the least page_id is the example; simple tree matching aligns every page's tree with it. Text that stays the
-same at an aligned node on ``CONSTANT`` of the host's pages (five at least) is template. Nodes whose text varies are slots.
+same at an aligned node on ``CONSTANT`` of the host's distinct pages (five at least) is template; copies of one article count
+once, and no article or main element loses all its text as template. Nodes whose text varies are slots.
 Content is what varies within the article or main element; on pages with neither, in the slot with most text outside links.
 Menus, headers, footers, asides, notices, adverts, forms, scripts, styles and comments go by tag, role or class name.
 
@@ -211,19 +212,35 @@ def _hash(text: str) -> int:
     return xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass")) - 2**63
 
 
+def _region(kept: list[tuple[Node, str, str, bool, float]]) -> list[tuple[Node, str, str, bool, float]]:
+    """The blocks of the article, else of main, else none."""
+    for region in ("article", "main"):
+        if inside := [b for b in kept if b[2] == region]:
+            return inside
+    return []
+
+
+def _identity(blocks: list[tuple[Node, str, str, bool, float]]) -> int:
+    """A hash of a page's article or main text, or of all its text that isn't dropped; copies of one article share it."""
+    kept = [b for b in blocks if not b[3]]
+    return _hash("\n".join(b[1] for b in _region(kept) or kept))
+
+
 def _aligned_texts(batches):
-    """host, node, hash of each distinct block text of a page, by the example's node."""
+    """host, node, hash of each distinct block text of a page, by the example's node, and the page's identity; node -1 stands for the page."""
     aligner = Aligner()
     for batch in batches:
-        host, node, digest = [], [], []
+        host, node, digest, same = [], [], [], []
         for h, page, example in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist(), batch.column("example").to_pylist(), strict=True):
             tree, blocks = parse(page or "")
             to = aligner.align(tree, example or "")
-            for n, x in {(to[b[0].number], _hash(b[1])) for b in blocks if b[0].number in to}:
+            identity = _identity(blocks)
+            for n, x in {(-1, 0), *((to[b[0].number], _hash(b[1])) for b in blocks if b[0].number in to)}:
                 host.append(h)
                 node.append(n)
                 digest.append(x)
-        yield pa.RecordBatch.from_arrays([pa.array(host, pa.string()), pa.array(node, pa.int32()), pa.array(digest, pa.int64())], ["host", "node", "digest"])
+                same.append(identity)
+        yield pa.RecordBatch.from_arrays([pa.array(host, pa.string()), pa.array(node, pa.int32()), pa.array(digest, pa.int64()), pa.array(same, pa.int64())], ["host", "node", "digest", "same"])
 
 
 def main_text(page: str, example: str, template: set[tuple[int, int]], aligner: Aligner) -> str:
@@ -231,13 +248,14 @@ def main_text(page: str, example: str, template: set[tuple[int, int]], aligner:
     tree, blocks = parse(page)
     if not blocks:
         return ""
+    kept = [b for b in blocks if not b[3]]
+    inside = _region(kept)
     if template:
         to = aligner.align(tree, example)
-        blocks = [b for b in blocks if (to.get(b[0].number, -1), _hash(b[1])) not in template]
-    kept = [b for b in blocks if not b[3]]
-    for region in ("article", "main"):
-        if inside := [b[1] for b in kept if b[2] == region]:
-            return "\n".join(inside)
+        kept = [b for b in kept if (to.get(b[0].number, -1), _hash(b[1])) not in template]
+        inside = [b for b in inside if (to.get(b[0].number, -1), _hash(b[1])) not in template] or inside
+    if inside:
+        return "\n".join(b[1] for b in inside)
     slots = [b for b in kept if b[4] < 0.6]
     if not slots:
         return ""
@@ -283,8 +301,10 @@ def extract(pages: DataFrame) -> DataFrame:
 
     first = pages.join(few(hosts.where(f"pages >= {PAGES}").select("host", "page_id")), ["host", "page_id"]).groupBy("host").agg(F.max("html").alias("example"))
     examples = saved(first)
-    seen = pages.select("host", "html").join(few(examples), "host").mapInArrow(_aligned_texts, "host string, node int, digest long")
-    counted = seen.groupBy("host", "node", "digest").agg(F.count("*").alias("n")).join(few(hosts.select("host", "pages")), "host").where(F.col("n") >= CONSTANT * F.col("pages"))
+    seen = pages.select("host", "html").join(few(examples), "host").mapInArrow(_aligned_texts, "host string, node int, digest long, same long")
+    counted = saved(seen.groupBy("host", "node", "digest").agg(F.count_distinct("same").alias("n")))
+    distinct = counted.where(f"node = -1 AND n >= {PAGES}").select("host", F.col("n").alias("pages"))
+    counted = counted.where("node >= 0").join(few(distinct), "host").where(F.col("n") >= CONSTANT * F.col("pages"))
     # At most pages * blocks / CONSTANT texts a host: no more than a page holds.
     template = saved(counted.groupBy("host").agg(F.collect_list(F.struct("node", "digest")).alias("template")))
     known = examples.join(template, "host")

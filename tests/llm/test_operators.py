@@ -173,6 +173,16 @@ def test_html_extract(spark):
     assert (got[90], got[91], got[92], got[93]) == ("", "", "only text\nmore", "long text without article one\ntwo")
 
 
+def test_html_extract_keeps_copied_articles(spark):
+    copy = page("One", "<p>The same article.</p>")
+    rows = [(i, f"http://m.org/a?q={i}", copy.replace("We use cookies", f"We use cookies {i}")) for i in range(9)]
+    rows += [(9, "http://m.org/b", page("Two", "<p>Another one.</p>"))]
+    rows += [(20 + i, f"http://k.org/{i}", f"<body><p>{i}</p><article><p>Shared text</p>{f'<p>Own {i}</p>' if i < 5 else ''}</article></body>") for i in range(6)]
+    got = {r.page_id: r.text for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert {got[i] for i in range(9)} == {"One\nThe same article."} and got[9] == "Two\nAnother one."
+    assert got[20] == "Own 0" and got[25] == "Shared text"
+
+
 def test_warc_audit(spark):
     pages = spark.createDataFrame([(i, f"u{i}" if i % 5 else None, "x" * i if i % 7 else None) for i in range(2500)], "page_id long, url string, html string")
     got = warc_audit.report(*queries.archive_replicas(pages)).collect()
