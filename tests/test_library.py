@@ -84,6 +84,13 @@ def test_target_rank_ties(spark):
     assert {r.film_id: r["rank"] for r in evaluation.target_ranks(scores, targets, True).collect()}[2] == 3
 
 
+def test_target_rank_crosses_no_users_with_films(spark, sf):
+    df = catalog.QUERIES["target_rank"](spark, sf)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "NestedLoopJoin" not in plan
+    test_against_sql(spark, sf, "target_rank")
+
+
 def test_sampler_keeps_positives_and_cap(spark):
     rows = spark.createDataFrame([(1, i, ("both", "svd_only", "popularity_only")[i % 3], i) for i in range(300)], "user_id long, film_id long, membership string, popularity_rank long")
     labels = spark.createDataFrame([(1, 5, 3), (1, 250, 1)], "user_id long, film_id long, label int")
