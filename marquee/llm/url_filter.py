@@ -27,7 +27,7 @@ def host(url: Column) -> Column:
 
 
 def path(url: Column) -> Column:
-    return F.coalesce(F.regexp_extract(url, r"^[\s\S]*?://[^/?#]*(/[^?#]*)", 1), F.lit(""))
+    return F.coalesce(F.regexp_extract(url, r"^(?>[\s\S]*?://)[^/?#]*(/[^?#]*)", 1), F.lit(""))
 
 
 def canonical(url: Column) -> Column:

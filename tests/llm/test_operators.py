@@ -156,6 +156,12 @@ def test_url_filter(spark):
     assert url_filter.judge(pages, listed.limit(0), []).where("verdict = 'block'").count() == 0
 
 
+def test_url_filter_takes_the_path_of_the_first_url(spark):
+    pages = spark.createDataFrame([(1, "http://a.com?u=http://b/en/x"), (2, "http://a.com#http://b/en/x"), (3, "http://a.com/en/?u=http://b/x")], "page_id long, url string")
+    got = sorted((r.page_id, r.host, r.path, r.rule, r.verdict) for r in url_filter.judge(pages, pages.select("url").limit(0), queries.URL_RULES).collect())
+    assert got == [(1, "a.com", "", None, "allow"), (2, "a.com", "", None, "allow"), (3, "a.com", "/en/", "com/en/", "block")]
+
+
 def test_bloom_passes_every_listed_url(spark):
     listed = spark.range(3000).selectExpr("concat('h/', id) AS url")
     assert url_filter.listed_urls(spark.range(9000).selectExpr("concat('h/', id) AS url"), listed).count() == 3000
