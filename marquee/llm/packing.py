@@ -3,8 +3,10 @@
 Each partition tokenizes its documents and packs the pieces best fit, longest first. Sequences with at most ``SLACK``
 free places are final. The others become items of a tree: eight neighbouring partitions' items are packed best fit again,
 then eight of those groups, up to the root. An item keeps its inner order, so a piece's place is the sum of its offsets.
-Lengths alone travel up the tree. A tree node hands on at most ``ITEMS`` items, the emptiest; fuller ones are final as
-they stand (no piece is lost, only a chance to fill a gap), so no task's input grows with the data.
+Lengths alone travel up the tree. A tree node of more than ``ITEMS`` items is packed in several parts of about that size,
+dealt by a hash of the bin, and all underfull sequences of all parts go on to the next round, so no task's input grows with
+the data. What best fit loses to this: up to ``SLACK`` places a sequence that is called final, and sequences that stay
+underfull at the root in different parts.
 
 A document is its token ids and then ``end_id``; a null or empty text is the end id alone. Only documents longer than the
 capacity are cut, into pieces of the capacity and a last one that may be shorter. Rows that repeat a doc_id (or have none)
@@ -171,7 +173,7 @@ def _local(path: str, capacity: int, end_id: int, keep_ids: bool):
     return run
 
 
-def _merge(capacity: int, items: int):
+def _merge(capacity: int):
     """Packs the items (bin, fill) of a tree node; each one's host is the item at the start of its sequence."""
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
@@ -181,13 +183,20 @@ def _merge(capacity: int, items: int):
         host = np.zeros(place.max() + 1, np.int64)
         host[place[offset == 0]] = frame["bin"].to_numpy()[offset == 0]
         total = np.bincount(place, fill).astype(np.int64)
-        keep = (total < capacity - SLACK) & (np.argsort(np.argsort(total, kind="stable"), kind="stable") < items)
+        keep = total < capacity - SLACK
         return pd.DataFrame({"bin": frame["bin"], "part": frame["part"], "host": host[place], "at": offset, "total": total[place], "open": keep[place]})
 
     return run
 
 
-def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = 1, keep_ids: bool = False) -> DataFrame:
+def _dealt(items: DataFrame, width: int, most: int) -> DataFrame:
+    """items with node and deal: so many of one node and deal as one task takes. There are at most as many nodes as partitions."""
+    nodes = items.withColumn("node", F.expr(f"part div {width}"))
+    deals = nodes.groupBy("node").agg(F.ceil(F.count("*") / most).cast("int").alias("deals"))
+    return nodes.join(F.broadcast(deals), "node").withColumn("deal", F.pmod(F.xxhash64("bin"), F.col("deals"))).drop("deals")
+
+
+def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = 1, keep_ids: bool = False, items_at_once: int = ITEMS) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id and offset of every piece of docs(doc_id, text), and with keep_ids its ids.
 
     tokenizer: path of a tokenizer file whose pre-tokenizer parts words at spaces and at the border of letters and marks.
@@ -200,7 +209,8 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int
     width = 1
     while width < parts:
         width *= FAN_IN
-        merged = saved(items.groupBy(F.expr(f"part div {width}").alias("node")).applyInPandas(_merge(capacity, ITEMS), "bin long, part int, host long, at long, total long, open boolean"))
+        groups = _dealt(items, width, items_at_once).groupBy("node", "deal")
+        merged = saved(groups.applyInPandas(_merge(capacity), "bin long, part int, host long, at long, total long, open boolean"))
         step = merged.select(F.col("bin").alias("host"), F.col("host").alias("next"), F.col("at").alias("more"))
         where = saved(where.join(step, "host", "left").select("bin", F.coalesce("next", "host").alias("host"), (F.col("at") + F.coalesce("more", F.lit(0))).alias("at")))
         items = merged.where("at = 0 AND open").select("bin", "part", F.col("total").alias("fill"))
