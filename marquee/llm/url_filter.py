@@ -18,7 +18,9 @@ import operator
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-WORDS, BITS_PER_URL, BROADCAST_BLOCKS = 8, 16, 500_000
+from marquee.llm.common import saved
+
+WORDS, BITS_PER_URL, BROADCAST_BLOCKS, HOT = 8, 16, 500_000, 10_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -68,10 +70,28 @@ def listed_urls(urls: DataFrame, listed: DataFrame, bits: int = BITS_PER_URL) ->
 
 
 def judge(pages: DataFrame, listed: DataFrame, rules: list[tuple[str, str, str]]) -> DataFrame:
-    """pages(url, ...) with host, path, rule and verdict; listed(url) holds canonical urls to block."""
+    """pages(url, ...) with host, path, rule and verdict; listed(url) holds canonical urls to block.
+
+    Rows that a rule decides join nothing. Canonical urls that make up more than a ``HOT``-th of the other rows, fewer than
+    ``HOT`` by that, are judged by a broadcast join; the rest are joined by url.
+    """
     names = {"host", "path", "rule", "verdict"}
-    base = pages.drop(*(c for c in pages.columns if c.lower() in names)).withColumns({"host": host(F.col("url")), "path": path(F.col("url"))})
-    base = base.withColumn("__rule", rule_of(F.col("host"), F.col("path"), rules)).withColumn("__url", F.when(F.col("__rule").isNull(), canonical(F.col("url"))))
-    hits = listed_urls(base.select(F.col("__url").alias("url")), listed).select(F.col("url").alias("__url"), F.lit(True).alias("__hit"))
-    verdict = F.coalesce(F.col("__rule.verdict"), F.when(F.col("__hit"), "block").otherwise("allow"))
-    return base.join(hits, "__url", "left").withColumns({"rule": F.col("__rule.rule"), "verdict": verdict}).drop("__rule", "__url", "__hit")
+    fields = [c for c in pages.columns if c.lower() not in names]
+    kept = F.struct(*fields).alias("row")
+    base = pages.select(kept, host(F.col("url")).alias("host"), path(F.col("url")).alias("path"), canonical(F.col("url")).alias("canon")).withColumn("fit", rule_of(F.col("host"), F.col("path"), rules))
+    undecided = base.where("fit IS NULL")
+    counts = saved(undecided.groupBy("canon").agg(F.count("*").alias("n")))
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    hits = saved(listed_urls(counts.select(F.col("canon").alias("url")), listed).select(F.col("url").alias("canon"), F.lit(True).alias("hit")))
+    hot = counts.where(F.col("n") * HOT > total).join(hits, "canon", "left").select("canon", F.coalesce("hit", F.lit(False)).alias("known"))
+
+    def out(frame: DataFrame, hit: Column) -> DataFrame:
+        verdict = F.coalesce("fit.verdict", F.when(hit, "block").otherwise("allow"))
+        return frame.select("row.*", "host", "path", F.col("fit.rule").alias("rule"), verdict.alias("verdict"))
+
+    ruled = out(base.where("fit IS NOT NULL"), F.lit(False))
+    if not total:
+        return ruled
+    common = out(undecided.join(F.broadcast(hot), "canon"), F.col("known"))
+    rest = out(undecided.join(F.broadcast(hot), "canon", "left_anti").join(hits, "canon", "left"), F.col("hit"))
+    return ruled.unionByName(common).unionByName(rest)

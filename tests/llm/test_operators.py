@@ -162,6 +162,24 @@ def test_url_filter_takes_the_path_of_the_first_url(spark):
     assert got == [(1, "a.com", "", None, "allow"), (2, "a.com", "", None, "allow"), (3, "a.com", "/en/", "com/en/", "block")]
 
 
+def test_url_filter_repeats_nulls_and_clashes(spark):
+    rows = [("http://hot.example.org/x", 1)] * 40 + [("http://cold.example.org/y", 2)] * 2 + [("http://x.com/en/1", 3), (None, 4), (None, 4), ("HTTP://UP.COM/EN/", 5)]
+    pages = spark.createDataFrame([(u, i, "a", True, 1.0) for u, i in rows], "url string, page_id long, canon string, hit boolean, fit double")
+    out = url_filter.judge(pages, spark.createDataFrame([("hot.example.org/x",), ("hot.example.org/x",)], "url string"), queries.URL_RULES)
+    got = [(r.page_id, r.host, r.path, r.verdict, r.canon, r.hit, r.fit) for r in out.collect()]
+    want = {1: ("hot.example.org", "/x", "block"), 2: ("cold.example.org", "/y", "allow"), 3: ("x.com", "/en/1", "block"), 4: ("", "", "allow"), 5: ("up.com", "/EN/", "allow")}
+    assert sorted(got) == sorted((i, *want[i], "a", True, 1.0) for _, i in rows)
+    assert url_filter.judge(pages.limit(0), pages.select("url"), queries.URL_RULES).count() == 0
+
+
+def test_url_sql_twin_takes_the_first_separator():
+    import duckdb
+
+    duckdb.sql("CREATE OR REPLACE TEMP TABLE pages AS SELECT * FROM (VALUES (1, 'http://a.net?u=http://b.com/de/1'), (2, 'https://Q.example.NET/de/8/x?y#z'), (3, NULL), (4, 'x/y'), (5, 'http://a.org#f/es/')) t(page_id, url)")
+    got = duckdb.sql(queries.ORACLES["op5_url_filter"]).fetchall()
+    assert sorted(got) == [(1, "a.net", "", None, "allow"), (2, "q.example.net", "/de/8/x", "example.net/de/8", "block"), (3, "", "", None, "allow"), (4, "", "", None, "allow"), (5, "a.org", "", None, "allow")]
+
+
 def test_bloom_passes_every_listed_url(spark):
     listed = spark.range(3000).selectExpr("concat('h/', id) AS url")
     assert url_filter.listed_urls(spark.range(9000).selectExpr("concat('h/', id) AS url"), listed).count() == 3000
