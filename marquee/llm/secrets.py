@@ -5,12 +5,14 @@ run of 20 or more token characters with a digit and a letter, infers its encodin
 whether it looks drawn evenly from that alphabet: chi-squared over equal parts of the alphabet, runs above and below its
 middle, and serial correlation of neighbours. The three p-values are joined by Bonferroni's rule. Over all documents, and
 within each length class (longer strings have more power, so each class has its own threshold), Benjamini and Hochberg's
-procedure at level ``FDR`` rejects the strings that aren't random; the rest are spans of kind ``random``. Ranks come from
-counts of p-values in ``BINS`` equal steps of their logarithm, a table whose size doesn't depend on the data.
+procedure at level ``FDR`` rejects the strings that aren't random; the rest are spans of kind ``random``. So what is held
+at ``FDR`` is the share of true keys among the strings turned away; false alarms are strings too even or too short for the
+tests to reject. Ranks come from counts of p-values in ``BINS`` equal steps of their logarithm, a table whose size doesn't
+depend on the data.
 
 Everything is built-in column functions. Null and empty texts have no spans and the hash of the empty string. Repeated
-rows give repeated results, an empty table an empty one. Columns that are kept pass through; an output column replaces a
-column of its name.
+rows give repeated results, an empty table an empty one. Columns that are kept pass through; in find() an output column
+replaces a column of its name, redact() keeps every column.
 """
 
 from __future__ import annotations
@@ -117,10 +119,8 @@ def _threshold(counted: DataFrame) -> dict[int, int]:
     return out
 
 
-def find(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
-    """The columns of keep (doc_id and text unless told) of docs(text, ...), and spans: array<struct<start, kind, end>> by start, kind as listed in KINDS."""
-    names = {"spans", "base", "runs"}
-    keep = [c for c in (docs.columns if keep is None else keep) if c.lower() not in names]
+def _scanned(docs: DataFrame, keep: list[str]) -> DataFrame:
+    """row (the columns of keep), base and spans."""
     text = F.coalesce(F.col("text"), F.lit(""))
 
     def spans(found: Column, kind: int) -> Column:
@@ -129,7 +129,7 @@ def find(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
     assign = F.filter(matches(text, ASSIGN, 2), lambda m: F.char_length(m["value"]) >= 6)
     base = F.array_sort(F.concat(spans(assign, 0), spans(matches(text, ACCESS), 1), spans(matches(text, HEX), 2)))
     tokens = F.filter(matches(text, RUN), lambda m: m["value"].rlike("[0-9]") & m["value"].rlike("[A-Za-z]"))
-    out = docs.select(*keep, base.alias("base"), tokens.alias("runs"))
+    out = docs.select(F.struct(*keep).alias("row"), base.alias("base"), tokens.alias("runs"))
     alone = F.filter("runs", lambda m: ~F.exists("base", lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"])))
     out = out.withColumn("runs", F.transform(alone, lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), _class(m["end"] - m["start"]).alias("class"), _bin(randomness(m["value"])).alias("bin"))))
     out = saved(out)
@@ -137,7 +137,14 @@ def find(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
     rejected = _threshold(counted)
     kept = F.filter("runs", lambda m: F.coalesce(*[F.when(m["class"] == c, m["bin"] < b) for c, b in rejected.items()], F.lit(True)))
     extra = F.transform(kept, lambda m: F.struct(m["start"].alias("start"), F.lit(3).alias("kind"), m["end"].alias("end")))
-    return out.select(*keep, "base", F.array_sort(F.concat("base", extra)).alias("spans"))
+    return out.select("row", "base", F.array_sort(F.concat("base", extra)).alias("spans"))
+
+
+def find(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
+    """The columns of keep (all unless told) of docs(text, ...), then base and spans: array<struct<start, kind, end>> by start, kind as listed in KINDS; these two replace columns of their names."""
+    keep = docs.columns if keep is None else keep
+    out = _scanned(docs, keep)
+    return out.select(*(F.col("row")[c].alias(c) for c in keep if c.lower() not in ("base", "spans")), "base", "spans")
 
 
 def listed(spans: Column) -> Column:
@@ -154,8 +161,8 @@ def digest(found: DataFrame) -> DataFrame:
 
 
 def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
-    """docs with every span of text replaced by mark; overlapping spans become one."""
-    found = find(docs)
+    """docs, all its columns, with every span of text replaced by mark; overlapping spans become one."""
+    found = _scanned(docs, docs.columns).withColumn("text", F.col("row")["text"])
 
     def step(state: Column, s: Column) -> Column:
         gap = F.when(s["start"] >= state["at"], F.concat(F.substring(F.col("text"), state["at"] + 1, s["start"] - state["at"]), F.lit(mark))).otherwise("")
@@ -164,7 +171,47 @@ def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     begin = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
     done = F.aggregate("spans", begin, step)
     text = F.when(F.size("spans") == 0, F.col("text")).otherwise(let(done, lambda d: F.concat(d["out"], F.substring(F.col("text"), d["at"] + 1, F.char_length("text") - d["at"]))))
-    return found.withColumn("text", text).drop("base", "spans")
+    return found.select(*(text.alias(c) if c == "text" else F.col("row")[c].alias(c) for c in docs.columns))
+
+
+def battery(tokens: list[str]) -> list[bool]:
+    """Which of a few tokens the battery and the false-discovery step call random, written out plainly, for tests."""
+    import math
+
+    def tail(z: float) -> float:
+        return 1 / (1 + math.exp(min(700.0, 1.5976 * z + 0.07056 * z**3)))
+
+    def p_value(token: str) -> float:
+        body = token.rstrip("=").replace("_", "/").replace("-", "+")
+        if all(c in "0123456789abcdef" for c in body) or all(c in "0123456789ABCDEF" for c in body):
+            body, alphabet = body.lower(), ALPHABETS["hex"]
+        else:
+            alphabet = ALPHABETS["base32" if all(c in ALPHABETS["base32"] for c in body) else "base64"]
+        codes, size = [alphabet.index(c) for c in body if c in alphabet], len(alphabet)
+        n = len(codes)
+        if len(body) < 16:
+            return 0.0
+        m = 4 if n < 48 else 8 if n < 96 else 16
+        chi = sum(sum(c * m // size == j for c in codes) ** 2 for j in range(m)) * m / n - n
+        k = m - 1
+        first = tail(((chi / k) ** (1 / 3) - (1 - 2 / (9 * k))) / math.sqrt(2 / (9 * k)))
+        high = [2 * c >= size for c in codes]
+        x = 2 * sum(high) * (n - sum(high))
+        turns = 1 + sum(a != b for a, b in zip(high, high[1:], strict=False))
+        second = 0.0 if x < 2 * n else 2 * tail(abs(turns - x / n - 1) / math.sqrt(x * (x - n) / (n * n * (n - 1)) + 1e-12))
+        mean = sum(codes) / n
+        v = sum((c - mean) ** 2 for c in codes)
+        third = 0.0 if v == 0 else 2 * tail(abs(sum((a - mean) * (b - mean) for a, b in zip(codes, codes[1:], strict=False)) / v) * math.sqrt(n))
+        return min(1.0, 3 * min(first, second, third))
+
+    bins = [min(BINS, math.floor(-math.log10(max(p_value(t), 1e-300)) * STEPS)) for t in tokens]
+    classes = [sum(len(t) > top for top in LENGTHS) for t in tokens]
+    out = []
+    for b, c in zip(bins, classes, strict=True):
+        mine = [y for x, y in zip(classes, bins, strict=True) if x == c]
+        passing = [y for y in set(mine) if 10 ** (-y / STEPS) <= FDR * sum(z >= y for z in mine) / len(mine)]
+        out.append(not passing or b < min(passing))
+    return out
 
 
 def brute_force(text: str | None) -> list[tuple[int, int, int]]:

@@ -211,19 +211,19 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
 def score(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataFrame:
     """The columns of keep (doc_id unless told) of docs(doc_id, text, ...) with held_out, score and predicted; these replace columns of the same name."""
     keep = [c for c in (["doc_id"] if keep is None else keep) if c.lower() not in ("held_out", "score", "predicted")]
+    own = held_out(F.col("doc_id")) if "doc_id" in docs.columns else F.lit(False)
 
     def run(batches):
         matcher, w = model.matcher(), np.array(model.weights)
         for batch in batches:
             for at in range(0, batch.num_rows, AT_ONCE):
                 some = batch.slice(at, AT_ONCE)
-                x = np.array([matcher.features(t or "")[0][: len(w)] for t in some.column("__text").to_pylist()])
+                x = np.array([matcher.features(t or "")[0][: len(w)] for t in some.column("text").to_pylist()])
                 p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-                yield pa.RecordBatch.from_arrays([*(some.column(c) for c in keep), pa.array(p)], [*keep, "score"])
+                yield pa.RecordBatch.from_arrays([some.column("row"), some.column("own"), pa.array(p)], ["row", "own", "score"])
         del matcher
         give_back()
 
-    types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
-    scored = docs.select(*keep, F.col("text").alias("__text")).mapInArrow(run, f"{types}, score double")
-    own = held_out(F.col("doc_id")) if "doc_id" in keep else F.lit(False)
-    return scored.select(*keep, own.alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+    rows = docs.select((F.struct(*keep) if keep else F.struct(F.lit(True))).alias("row"), own.alias("own"), "text")
+    scored = rows.mapInArrow(run, f"row {rows.schema['row'].dataType.simpleString()}, own boolean, score double")
+    return scored.select(*(F.col("row")[c].alias(c) for c in keep), F.col("own").alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))

@@ -147,6 +147,43 @@ def test_secrets(spark):
     assert secrets.find(docs.limit(0)).count() == 0
 
 
+def test_secrets_keep_clashing_columns(spark):
+    docs = spark.createDataFrame([(1, "password = hunter22 x", "a", 2, [3]), (None, None, None, None, None)], "doc_id long, text string, spans string, base int, runs array<int>")
+    assert sorted(map(tuple, secrets.redact(docs).collect()), key=str) == [(1, "[SECRET] x", "a", 2, [3]), (None, None, None, None, None)]
+    assert secrets.find(docs).columns == ["doc_id", "text", "runs", "base", "spans"]
+
+
+def _key_corpus(n):
+    """Keys that no base pattern finds, and as many strings that look like names, numbers or paths."""
+    r = random.Random(13)
+    b64, b32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+    keys, plain = [], []
+    while len(keys) < n:
+        k = "".join(r.choices(b64 if len(keys) % 3 else b32, k=r.choice([32, 40, 64])))
+        if any(c.isdigit() for c in k) and any(c.isalpha() for c in k) and "AKIA" not in k:
+            keys.append(k)
+    words = "report final version backup archive holiday picture summer winter project invoice customer".split()
+    while len(plain) < n:
+        kind = len(plain) % 3
+        if kind == 0:
+            plain.append("_".join(r.choices(words, k=5)) + str(r.randint(1, 99)))
+        elif kind == 1:
+            plain.append("-".join(str(r.randint(1, 12)).zfill(2) for _ in range(12)) + "a")
+        else:
+            plain.append(("x" + str(r.randint(10, 99))) * 9)
+    return keys, plain
+
+
+def test_secrets_battery_recall_and_plain_version(spark):
+    keys, plain = _key_corpus(300)
+    texts = [f"see {t} there" for t in keys + plain]
+    found = secrets.find(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), ["doc_id"]).collect()
+    got = {r.doc_id: [secrets.KINDS[s.kind] for s in r.spans] == ["random"] for r in found}
+    assert not any(r.base for r in found)
+    assert [got[i] for i in range(600)] == secrets.battery(keys + plain)
+    assert sum(got[i] for i in range(300)) >= 270 and sum(got[i] for i in range(300, 600)) <= 15
+
+
 def test_url_filter(spark):
     rows = [(1, "https://WWW.Bad.example.com/a/b.html?x#y"), (2, "http://x.com/en/1"), (3, "http://b.example.com/en/77"), (4, None), (5, "no scheme"), (6, "http://good.example.org/a"), (6, "http://good.example.org/a"), (7, "http://a.net?x://y")]
     pages = spark.createDataFrame([(i, u, "kept", "x") for i, u in rows], "page_id long, url string, html string, verdict string")
@@ -239,6 +276,14 @@ def test_toxicity(spark):
     assert toxicity.score(docs, none).where("predicted = 1").count() == 0
 
 
+def test_toxicity_keeps_clashing_columns(spark):
+    docs = spark.createDataFrame([(None, "a b", "t", 1, 2.0), (5, None, "u", 2, 3.0)], "doc_id long, text string, __text string, row int, own double")
+    none = toxicity.Model()
+    got = toxicity.score(docs, none, docs.columns)
+    assert got.columns == [*docs.columns, "held_out", "score", "predicted"]
+    assert sorted(((r.doc_id, r.text, r["__text"], r["row"], r.own, r.held_out, r.score) for r in got.collect()), key=str) == [(5, None, "u", 2, 3.0, __import__("zlib").crc32(b"5") % 3 == 1, 0.5), (None, "a b", "t", 1, 2.0, False, 0.5)]
+
+
 def test_levenshtein_automaton():
     trie = toxicity.Trie(["idiot", "moron"])
     assert trie.near("idot", 1) == ("idiot", 1) and trie.near("moron", 1) == ("moron", 0) and trie.near("morose", 1) is None
