@@ -7,9 +7,10 @@ so the search misses nothing. Documents that hold a signature value are candidat
 item's distinct shingles decides.
 
 Shingles are five words (A-Z lowered); a shorter item is one shingle of its words and is searched for with that width.
-Everything is built-in column functions, joins and aggregates. The signatures and shingles of the items are broadcast only
-if there are at most ``BROADCAST_SHINGLES``; more are joined by shuffles. A signature value that very many documents hold
-costs one row a document and item, never a pair of documents.
+The documents are first probed for the signature values only; whole shingles are fetched and compared only of the documents
+that are candidates. Everything is built-in column functions, joins and aggregates. Signatures, shingles and candidates are
+broadcast only if there are at most ``BROADCAST_SHINGLES``; more are joined by shuffles. A signature value that very many
+documents hold costs one row a document and item, never a pair of documents.
 
 Null, empty and blank texts contain nothing; items without words are in no document. Repeated item rows and repeated
 document rows give one result a distinct (doc_id, item_id): the shingles of rows that share an id are one set. Rows
@@ -64,23 +65,28 @@ def contained(docs: DataFrame, items: DataFrame, containment: float = CONTAINMEN
     docs = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     known = saved(item_shingles(items, width))
     counts = {r.width: r.n for r in known.groupBy("width").agg(F.count("*").alias("n")).collect()}  # a row for each width
-    small = sum(counts.values()) <= BROADCAST_SHINGLES
-    ranked = known.groupBy("item_id").agg(F.sort_array(F.collect_set("shingle")).alias("all"), F.max("n").alias("n"))
-    signed = ranked.select("item_id", F.explode(F.slice("all", F.lit(1), F.least(signature_length(F.col("n"), containment), F.size("all")))).alias("shingle")).distinct()
+    if not counts:
+        return docs.sparkSession.createDataFrame([], "doc_id long, item_id long, shared long, n_shingles long, containment double")
+    ranked = known.groupBy("item_id", "width").agg(F.sort_array(F.collect_set("shingle")).alias("all"), F.max("n").alias("n"))
+    signed = ranked.select("item_id", "width", F.explode(F.slice("all", F.lit(1), F.least(signature_length(F.col("n"), containment), F.size("all")))).alias("shingle")).distinct()
 
-    def few(frame: DataFrame) -> DataFrame:
-        return F.broadcast(frame) if small else frame
+    def few(frame: DataFrame, rows: int) -> DataFrame:
+        return F.broadcast(frame) if rows <= BROADCAST_SHINGLES else frame
 
-    # One pass over the documents: the shingles that any item has, each once a document.
+    total = sum(counts.values())
+    probed = None
+    for w in counts:
+        part = shingles(docs, "doc_id", "text", w).select("doc_id", "shingle").join(few(signed.where(F.col("width") == w).select("shingle", "item_id"), total), "shingle").select("doc_id", "item_id")
+        probed = part if probed is None else probed.unionByName(part)
+    candidates = saved(probed.distinct())
+    ids = candidates.select("doc_id").distinct()
+    some = docs.join(few(ids, ids.count()), "doc_id", "left_semi")
     held = None
     for w in counts:
-        part = shingles(docs, "doc_id", "text", w).join(few(known.where(F.col("width") == w).select("shingle", "second").distinct()), ["shingle", "second"], "left_semi")
+        mine = known.where(F.col("width") == w).select("item_id", "shingle", "second", "n")
+        part = shingles(some, "doc_id", "text", w).join(few(mine, total), ["shingle", "second"]).select("doc_id", "item_id", "shingle", "second", "n")
         held = part if held is None else held.unionByName(part)
-    if held is None:
-        return docs.sparkSession.createDataFrame([], "doc_id long, item_id long, shared long, n_shingles long, containment double")
-    held = saved(held.distinct())
-    candidates = held.join(few(signed), "shingle").select("doc_id", "item_id").distinct()
-    overlap = held.join(few(known.select("item_id", "shingle", "second", "n")), ["shingle", "second"]).join(candidates, ["doc_id", "item_id"], "left_semi")
+    overlap = held.distinct().join(candidates, ["doc_id", "item_id"], "left_semi")
     found = overlap.groupBy("doc_id", "item_id").agg(F.count("*").alias("shared"), F.max("n").alias("n_shingles"))
     return found.withColumn("containment", F.col("shared") / F.col("n_shingles")).where(F.col("shared") * 100 >= F.col("n_shingles") * round(100 * containment))
 
