@@ -126,10 +126,11 @@ def op3_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def archive_replicas(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The leaves of an archive of the pages, and of a copy in which some records are damaged."""
+    """The leaves of an archive of the pages, and of a copy in which some records are damaged and some are lost."""
     record = warc_audit.record(F.col("page_id"), F.col("url"), F.col("html"))
     damaged = F.when(F.col("page_id") % 97 == 13, F.concat(F.lit("#"), F.substring(record, F.lit(2), F.char_length(record)))).otherwise(record)
-    return tuple(warc_audit.leaves(pages.select("page_id", r.alias("record"))) for r in (record, damaged))
+    whole, lossy = pages.select("page_id", record.alias("record")), pages.where("page_id IS NULL OR page_id % 101 <> 7").select("page_id", damaged.alias("record"))
+    return warc_audit.leaves(whole), warc_audit.leaves(lossy)
 
 
 @_query
@@ -141,7 +142,7 @@ ORACLES["op6_warc_audit"] = r"""
 WITH r AS (SELECT page_id, CAST(page_id // 1000 AS BIGINT) AS file, 'WARC/1.0' || chr(13) || chr(10) || 'WARC-Type: resource' || chr(13) || chr(10) || 'WARC-Record-ID: <urn:page:' || CAST(page_id AS VARCHAR)
     || '>' || chr(13) || chr(10) || 'WARC-Target-URI: ' || coalesce(url, '') || chr(13) || chr(10) || 'Content-Type: text/html; charset=utf-8' || chr(13) || chr(10) || 'Content-Length: '
     || CAST(octet_length(encode(coalesce(html, ''))) AS VARCHAR) || chr(13) || chr(10) || chr(13) || chr(10) || coalesce(html, '') || chr(13) || chr(10) || chr(13) || chr(10) AS rec FROM pages),
-h AS (SELECT page_id, file, CAST(octet_length(encode(rec)) AS BIGINT) AS length, sha256(rec) AS digest, sha256(CASE WHEN page_id % 97 = 13 THEN '#' || substr(rec, 2) ELSE rec END) AS replica_digest FROM r)
-SELECT file, CAST(row_number() OVER w - 1 AS BIGINT) AS ord, page_id, CAST(sum(length) OVER w - length AS BIGINT) AS "offset", length, digest, replica_digest, CASE WHEN digest = replica_digest THEN 'ok' ELSE 'damaged' END AS status
+h AS (SELECT page_id, file, CAST(octet_length(encode(rec)) AS BIGINT) AS length, sha256(rec) AS digest, CASE WHEN page_id % 101 <> 7 THEN sha256(CASE WHEN page_id % 97 = 13 THEN '#' || substr(rec, 2) ELSE rec END) END AS replica_digest FROM r)
+SELECT file, CAST(row_number() OVER w - 1 AS BIGINT) AS ord, page_id, CAST(sum(length) OVER w - length AS BIGINT) AS "offset", length, digest, replica_digest, CASE WHEN replica_digest IS NULL THEN 'missing' WHEN digest = replica_digest THEN 'ok' ELSE 'damaged' END AS status
 FROM h WINDOW w AS (PARTITION BY file ORDER BY page_id)
 """

@@ -1,12 +1,16 @@
 """Fixity audit of archive replicas by Merkle trees.
 
-A record's leaf is the SHA-256 of its bytes, a node's digest the SHA-256 of its ``FAN_OUT`` children's digests in order of
-offset. Within a file leaves are ordered by offset; above files, nodes join ordered ranges of file numbers. The audit
-compares the replicas' roots and reads, level by level, only the children of nodes that differ, down to the records.
-
-A record that one replica lacks differs at its leaf and is named missing or extra. Null html is an empty body, a null url
-an empty one; records without a page_id go to file -1. Rows that repeat a page_id are records of their own, ordered by
-their digest. Two empty replicas agree. Other columns of the pages are ignored.
+A record's leaf is the SHA-256 of its bytes, a node's digest the SHA-256 of its at most ``FAN_OUT`` children's digests, each
+with its key, in order. Keys are ranges of record ids, which are also the order of offsets: a file holds ``RECORDS_PER_FILE``
+ids, a leaf stands at its id's place within the file, and above files nodes join ordered ranges of file numbers. So a record
+that one replica lacks leaves its place empty and moves no other record into another node. The audit compares the replicas'
+roots and reads, level by level, only the children of nodes that differ, down to the records. Every node carries the range
+of offsets that its records span in its replica.
+
+A record that one replica lacks is named missing or extra, one whose bytes differ damaged. Null html is an empty body, a null
+url an empty one. Records without a page_id are dealt by their digest to ``STRAY_FILES`` files of their own, numbered from -1
+down. Rows that repeat a page_id (or share the place of a stray) are numbered in the order of their digests and compared in
+that order. Two empty replicas agree. Other columns of the pages are ignored.
 """
 
 from __future__ import annotations
@@ -16,7 +20,7 @@ from pyspark.sql import functions as F
 
 from marquee.llm.common import saved
 
-FAN_OUT, RECORDS_PER_FILE = 16, 1000
+FAN_OUT, RECORDS_PER_FILE, STRAY_FILES = 16, 1000, 1024
 
 
 def record(page_id: Column, url: Column, html: Column) -> Column:
@@ -29,61 +33,66 @@ def record(page_id: Column, url: Column, html: Column) -> Column:
 
 
 def leaves(records: DataFrame) -> DataFrame:
-    """file, ord, page_id, offset, length and digest of records(page_id, record): 1000 page_ids a file, in order."""
-    hashed = records.select("page_id", F.coalesce(F.floor(F.col("page_id") / RECORDS_PER_FILE), F.lit(-1)).cast("long").alias("file"), F.octet_length("record").cast("long").alias("length"), F.sha2("record", 256).alias("digest"))
-    order = Window.partitionBy("file").orderBy("page_id", "digest")
+    """file, place, nth, ord, page_id, offset, length and digest of records(page_id, record): 1000 page_ids a file, in order."""
+    digest = F.sha2("record", 256)
+    stray = -1 - F.pmod(F.crc32(digest.cast("binary")), F.lit(STRAY_FILES))
+    file = F.coalesce(F.floor(F.col("page_id") / RECORDS_PER_FILE), stray).cast("long")
+    hashed = records.select("page_id", file.alias("file"), F.coalesce(F.pmod("page_id", F.lit(RECORDS_PER_FILE)), F.lit(0)).cast("long").alias("place"), F.octet_length("record").cast("long").alias("length"), digest.alias("digest"))
+    order, same = Window.partitionBy("file").orderBy("page_id", "digest"), Window.partitionBy("file", "page_id").orderBy("digest")
     before = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return hashed.select("file", (F.row_number().over(order) - 1).cast("long").alias("ord"), "page_id", (F.sum("length").over(before) - F.col("length")).alias("offset"), "length", "digest")
+    return hashed.select("file", "place", (F.row_number().over(same) - 1).cast("long").alias("nth"), (F.row_number().over(order) - 1).cast("long").alias("ord"), "page_id", (F.sum("length").over(before) - F.col("length")).alias("offset"), "length", "digest")
+
+
+#: A node's key, from the outermost part to the innermost; a level above divides the innermost part that isn't 0 everywhere.
+KEY = ["file", "place", "nth"]
+
 
+def _up(part: str) -> list[Column]:
+    """The key of a node's parent, one level up in part."""
+    at = KEY.index(part)
+    whole = F.floor(F.col(part) / FAN_OUT).cast("long")
+    return [F.col(k) if i < at else whole.alias(k) if i == at else F.lit(0).cast("long").alias(k) for i, k in enumerate(KEY)]
 
-def _parents(nodes: DataFrame, key: list[Column], ord_: Column) -> DataFrame:
-    """Digests of the nodes above; at most FAN_OUT children each, so a node's list is bounded."""
-    children = F.array_sort(F.collect_list(F.struct("file", "ord", "digest")))
-    return nodes.groupBy("replica", *key, ord_).agg(F.sha2(F.array_join(F.transform(children, lambda c: c["digest"]), ""), 256).alias("digest"))
 
+def tree(both: DataFrame) -> list[tuple[DataFrame, str]]:
+    """The levels of the replicas' trees, leaves first, as (replica, file, place, nth, digest, start, stop) and the part of the key that the next level divides; the last has one node a replica and sign of file."""
+    level = both.select("replica", *KEY, "digest", F.col("offset").alias("start"), (F.col("offset") + F.col("length")).alias("stop"))
+    tops = level.agg(F.max("nth"), F.max("place"), F.greatest(F.max("file"), -F.min("file"))).first()
+    levels = []
+    for part, top in zip(reversed(KEY), tops, strict=True):
+        top = top or 0
+        while top > (1 if part == "file" else 0):  # floors of negative file numbers end at -1
+            levels.append((level, part))
+            parents = level.select("replica", *_up(part), F.struct(*KEY, "digest").alias("kid"), "start", "stop").groupBy("replica", *KEY)
+            joined = parents.agg(F.sha2(_listed(F.collect_list("kid")), 256).alias("digest"), F.min("start").alias("start"), F.max("stop").alias("stop"))
+            level = saved(joined)
+            top //= FAN_OUT
+    return [*levels, (level, "")]
 
-def tree(both: DataFrame) -> list[DataFrame]:
-    """The levels of the replicas' trees, leaves first: (replica, file, ord, digest); the last has one node a replica."""
-    level = both.select("replica", "file", "ord", "digest")
-    most = level.agg(F.max("ord"), F.max("file"), F.min("file")).first()
-    levels, records, files = [level], (most[0] or 0) + 1, max((most[1] or 0) + 2, 1)
-    while records > 1 or files > 1:
-        if records > 1:
-            level = _parents(level, [F.col("file")], F.expr(f"ord div {FAN_OUT}").alias("ord"))
-            records = -(-records // FAN_OUT)
-        else:
-            level = _parents(level, [F.expr(f"(file + 1) div {FAN_OUT} - 1").alias("file")], F.lit(0).cast("long").alias("ord"))
-            files = -(-files // FAN_OUT)
-        level = saved(level)
-        levels.append(level)
-    return levels
+
+def _listed(kids: Column) -> Column:
+    """The keys and digests of at most FAN_OUT children, in order."""
+    return F.array_join(F.transform(F.array_sort(kids), lambda c: F.concat_ws(":", *(c[k].cast("string") for k in KEY), c["digest"])), ",")
 
 
 def audit(a: DataFrame, b: DataFrame) -> DataFrame:
-    """file, ord, digest_a and digest_b of every leaf that differs between two replicas' leaves(file, ord, digest)."""
-    both = saved(a.select(F.lit("a").alias("replica"), "file", "ord", "digest").unionByName(b.select(F.lit("b").alias("replica"), "file", "ord", "digest")))
-    levels = tree(both)
+    """file, place, nth, digest_a, digest_b and the offset ranges start_a, stop_a, start_b, stop_b of every leaf that differs between two replicas' leaves()."""
+    both = saved(a.withColumn("replica", F.lit("a")).unionByName(b.withColumn("replica", F.lit("b"))))
     open_ = None
-    for at in range(len(levels) - 1, -1, -1):
-        level = levels[at]
+    for level, part in reversed(tree(both)):
         if open_ is not None:
-            inner = at + 1 < len(levels) and _by_record(levels, at)
-            up = level.withColumns({"up_file": F.col("file") if inner else F.expr(f"(file + 1) div {FAN_OUT} - 1"), "up_ord": F.expr(f"ord div {FAN_OUT}") if inner else F.lit(0).cast("long")})
-            level = up.join(open_.select(F.col("file").alias("up_file"), F.col("ord").alias("up_ord")), ["up_file", "up_ord"], "left_semi")
-        sides = level.groupBy("file", "ord").agg(*(F.max(F.when(F.col("replica") == r, F.col("digest"))).alias(f"digest_{r}") for r in "ab"))
+            up = level.select("*", *(c.alias(f"up_{k}") for k, c in zip(KEY, _up(part), strict=True)))
+            level = up.join(open_.select(*(F.col(k).alias(f"up_{k}") for k in KEY)), [f"up_{k}" for k in KEY], "left_semi")
+        sides = level.groupBy(*KEY).agg(*(F.max(F.when(F.col("replica") == r, F.col(c))).alias(f"{c}_{r}") for r in "ab" for c in ("digest", "start", "stop")))
         open_ = saved(sides.where("NOT (digest_a <=> digest_b)"))
     return open_
 
 
-def _by_record(levels: list[DataFrame], at: int) -> bool:
-    """Whether level at + 1 was made from level at by joining records of a file (else by joining files)."""
-    return levels[at].agg(F.max("ord")).first()[0] not in (None, 0)
-
-
 def report(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Every record of either replica with its place, digests and status: ok, damaged, missing (from b) or extra (in b)."""
-    bad = audit(a, b).select("file", "ord", F.lit(True).alias("bad"))
-    sides = a.select("file", "ord", "page_id", "offset", "length", "digest").join(b.select("file", "ord", F.col("page_id").alias("page_b"), F.col("offset").alias("offset_b"), F.col("length").alias("length_b"), F.col("digest").alias("replica_digest")), ["file", "ord"], "full")
-    status = F.when(F.col("bad").isNull(), "ok").when(F.col("replica_digest").isNull(), "missing").when(F.col("digest").isNull(), "extra").otherwise("damaged")
-    out = sides.join(bad, ["file", "ord"], "left")
-    return out.select("file", "ord", F.coalesce("page_id", "page_b").alias("page_id"), F.coalesce("offset", "offset_b").alias("offset"), F.coalesce("length", "length_b").alias("length"), "digest", "replica_digest", status.alias("status"))
+    """Every record of either replica with its place in its file (in a, or else in b), digests and status: ok, damaged, missing (from b) or extra (in b)."""
+    bad = audit(a, b).select(*KEY, F.lit(True).alias("bad"))
+    names = ["ord", "page_id", "offset", "length", "digest"]
+    sides = a.select(*KEY, *names).join(b.select(*KEY, *(F.col(c).alias(f"{c}_b") for c in names)), KEY, "full")
+    status = F.when(F.col("bad").isNull(), "ok").when(F.col("digest_b").isNull(), "missing").when(F.col("digest").isNull(), "extra").otherwise("damaged")
+    out = sides.join(bad, KEY, "left")
+    return out.select("file", *(F.coalesce(c, f"{c}_b").alias(c) for c in names[:-1]), "digest", F.col("digest_b").alias("replica_digest"), status.alias("status"))

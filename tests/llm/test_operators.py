@@ -79,6 +79,24 @@ def test_decontamination(docs, texts, empty, spark):
     assert decontamination.contained(docs, table.limit(0)).count() == 0
 
 
+def test_decontamination_odd_rows(spark):
+    item = " ".join(f"q{i}" for i in range(30))
+    docs = spark.createDataFrame([(1, f"a b {item} c", 0, 9), (1, "x", 0, 9), (None, item, 0, 9), (2, item.upper() + " end", 0, 9), (3, " ".join(f"q{i}" for i in range(25)), 0, 9), (4, " ".join(f"q{i}" for i in range(22)), 0, 9), (5, "w " * 50_000 + item, 0, 9), (6, None, 0, 9)], "doc_id long, text string, item_id long, n long")
+    items = spark.createDataFrame([(7, item, 1), (7, item, 2), (None, item, 3), (8, "Q1 q2", 4), (9, "", 5), (10, None, 6)], "item_id long, text string, doc_id long")
+    got = {(r.doc_id, r.item_id, r.shared) for r in decontamination.contained(docs, items).collect()}
+    # Item 7 has 26 shingles and needs 20: 25 words hold 21 of them, 22 words hold 18.
+    assert got == {(1, 7, 26), (2, 7, 26), (5, 7, 26), (3, 7, 21), (1, 8, 1), (2, 8, 1), (3, 8, 1), (4, 8, 1), (5, 8, 1)}
+
+
+def test_decontamination_signatures_decide(spark, monkeypatch):
+    """With signatures of other items' shingles nothing is a candidate, so the search is what finds the pairs."""
+    item = " ".join(f"q{i}" for i in range(30))
+    docs, items = spark.createDataFrame([(1, item)], "doc_id long, text string"), spark.createDataFrame([(7, item)], "item_id long, text string")
+    assert decontamination.contained(docs, items).count() == 1
+    monkeypatch.setattr(decontamination, "signature_length", lambda n, c=0.75: (n * 0).cast("int"))
+    assert decontamination.contained(docs, items).count() == 0
+
+
 def test_fingerprints(docs, texts, empty):
     got = {r.doc_id: r for r in fingerprints.compare_with_edits(docs).collect()}
     order = sorted(((d, t or "") for d, t in texts), reverse=True)
@@ -247,14 +265,32 @@ def test_html_extract_keeps_copied_articles(spark):
 def test_warc_audit(spark):
     pages = spark.createDataFrame([(i, f"u{i}" if i % 5 else None, "x" * i if i % 7 else None) for i in range(2500)], "page_id long, url string, html string")
     got = warc_audit.report(*queries.archive_replicas(pages)).collect()
-    assert {r.page_id for r in got if r.status == "damaged"} == {i for i in range(2500) if i % 97 == 13} and len(got) == 2500
+    lost = {i for i in range(2500) if i % 101 == 7}
+    assert {r.page_id for r in got if r.status == "damaged"} == {i for i in range(2500) if i % 97 == 13} - lost and len(got) == 2500
+    assert {r.page_id for r in got if r.status == "missing"} == lost
     a, _ = queries.archive_replicas(pages)
     assert warc_audit.audit(a, a).count() == 0
-    lost = warc_audit.report(a, a.where("page_id <> 2499")).where("status <> 'ok'").collect()
-    assert [(r.page_id, r.status) for r in lost] == [(2499, "missing")]
     assert warc_audit.audit(a.limit(0), a.limit(0)).count() == 0
 
 
+def test_warc_audit_of_a_replica_with_its_own_records(spark):
+    rows = [(i, f"u{i}", "body") for i in range(1500)] + [(-1, "a", "b"), (-900, "a", "b"), (40_000, "far", "b"), (None, "n", "one"), (None, "n", "two"), (7, "again", "x"), (7, "again", "x")]
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string")
+    own = spark.createDataFrame([r for r in rows if r[0] not in (900, -900) and r[2] != "two"] + [(1999, "new", "x"), (7, "again", "y")], frame.schema)
+
+    def leaves(f):
+        from pyspark.sql import functions as F
+
+        return warc_audit.leaves(f.select("page_id", warc_audit.record(F.col("page_id"), F.col("url"), F.col("html")).alias("record")))
+
+    a, b = leaves(frame), leaves(own)
+    bad = sorted((r.page_id is None, r.page_id or 0, r.status) for r in warc_audit.report(a, b).where("status <> 'ok'").collect())
+    assert [x for x in bad if x[1] != 7 or x[0]] == [(False, -900, "missing"), (False, 900, "missing"), (False, 1999, "extra"), (True, 0, "missing")]
+    assert {x[2] for x in bad if x[1] == 7} <= {"damaged", "extra"} and sum(x[2] == "extra" for x in bad if x[1] == 7) == 1
+    found = {r.start_a: r.stop_a for r in warc_audit.audit(a, b).where("file = 0 AND place = 900").collect()}
+    assert all(stop > start > 0 for start, stop in found.items()) and len(found) == 1
+
+
 def test_toxicity(spark):
     r = random.Random(2)
     plain = ["".join(r.choices("abcdefgh", k=5)) for _ in range(200)]
