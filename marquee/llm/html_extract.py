@@ -3,17 +3,23 @@
 A page's tree is condensed: siblings with one label (tag and class) are one node, as a wrapper would repeat it. Per host the
 page with the least page_id is the example; simple tree matching aligns every page's tree with it. Text that stays the
 same at an aligned node on ``CONSTANT`` of the host's distinct pages (five at least) is template; copies of one article count
-once, and no article or main element loses all its text as template. Nodes whose text varies are slots.
-Content is what varies within the article or main element; on pages with neither, in the slot with most text outside links.
-Menus, headers, footers, asides, notices, adverts, forms, scripts, styles and comments go by tag, role or class name.
+once. Nodes whose text varies are slots, and how much varying text outside links each slot holds over all pages of the host
+decides where the content is: in the host's article elements, else its main element, else in the innermost node that holds
+``SHARE`` of it, with the headings and paragraphs that stand beside that node. A page's content is what varies inside the
+nodes that align with that region (all of the region, if nothing in it varies). Pages of hosts with fewer pages, and pages
+whose layout has no such node, are judged alone: article, else main, else the innermost node with most text outside links.
+Menus, page headers, footers, asides, notices, adverts, forms, scripts, styles and comments go by tag, role or class name
+in any case; a header within an article is part of it.
 
 Null and empty html gives an empty text. Pages without a host form one group of their own. Rows that repeat a page_id give
 a row each. References are decoded once; white space within a block becomes one space and blocks are joined by line ends.
+A start tag that never ends is text. Nothing recurses and the scan is linear, so deep, unclosed and long pages are only long.
 An empty table gives an empty result. Columns other than page_id, url and html are ignored.
 """
 
 from __future__ import annotations
 
+import bisect
 import functools
 import html as entities
 import re
@@ -24,7 +30,7 @@ from pyspark.sql import functions as F
 
 from marquee.llm.common import saved
 
-CONSTANT, PAGES, BROADCAST_HOSTS = 0.8, 5, 20_000
+CONSTANT, SHARE, PAGES, BROADCAST_BYTES = 0.8, 0.7, 5, 64_000_000
 # Fixed tag and class names.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr br img".split())
@@ -33,36 +39,67 @@ RAW = frozenset("script style textarea title noscript iframe".split())
 CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre search section summary table ul".split())
 SELF_CLOSING = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 ROLES = frozenset("navigation banner complementary contentinfo search menu menubar dialog alert form".split())
+#: Elements that hold running text rather than parts of a page.
+FLOW = frozenset("p h1 h2 h3 h4 h5 h6 hgroup ul ol dl blockquote pre figure hr".split())
 _NAMES = re.compile(
     r"(?:^|[-_\s])(?:ads?|advert\w*|banner|breadcrumbs?|comments?|commentlist|consent|cookies?|disclaimer|disqus|footer|gdpr|header|masthead|menu|modal|nav|navbar|navigation|newsletter|notices?|notification|pager|pagination|popup|promo\w*|"
-    r"related|replies|respond|share|sharing|sidebar|side-bar|social|sponsor\w*|subscribe|toolbar|widget)(?:$|[-_\s])",
+    r"related(?!-work|_work)|replies|respond|share|sharing|sidebar|side-bar|social|sponsor\w*|subscribe|toolbar|widget)(?:$|[-_\s])",
     re.I,
 )
-_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+#: What may follow "<" in markup, up to the end of a tag's name.
+_OPEN = re.compile(r"<(?:!--|[!?]|(/?)([a-zA-Z][^\s/>]*))")
+_TAG_END = re.compile(r"(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>")
 _ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 _SPACE = re.compile(r"\s+")
 
 
 class Node:
-    __slots__ = ("kids", "label", "number", "by_label")
+    """A node of a condensed tree; number and last are its place in preorder and that of the last node below it."""
 
-    def __init__(self, label: str):
-        self.label, self.kids, self.by_label, self.number = label, [], {}, 0
+    __slots__ = ("by_label", "kids", "label", "last", "number", "up")
+
+    def __init__(self, label: str, up: Node | None = None):
+        self.label, self.up, self.kids, self.by_label, self.number, self.last = label, up, [], {}, 0, 0
 
     def child(self, label: str) -> Node:
         if label not in self.by_label:
-            self.by_label[label] = Node(label)
+            self.by_label[label] = Node(label, self)
             self.kids.append(self.by_label[label])
         return self.by_label[label]
 
-    def numbered(self, start: int = 0) -> int:
-        self.number = start
-        for k in self.kids:
-            start = k.numbered(start + 1)
-        return start
-
-    def shape(self) -> str:
-        return self.label + ("(" + ",".join(k.shape() for k in self.kids) + ")" if self.kids else "")
+    @property
+    def tag(self) -> str:
+        return self.label.split(".", 1)[0]
+
+    def listed(self) -> list[Node]:
+        """This node and all below in preorder, numbered."""
+        out, todo = [], [self]
+        while todo:
+            x = todo.pop()
+            x.number = len(out)
+            out.append(x)
+            todo += reversed(x.kids)
+        for x in reversed(out):
+            x.last = x.kids[-1].last if x.kids else x.number
+        return out
+
+
+def shape(nodes: list[Node]) -> str:
+    """A tree as lines of depth and label, in preorder."""
+    depth, lines = {}, []
+    for x in nodes:
+        depth[x.number] = depth[x.up.number] + 1 if x.up is not None else 0
+        lines.append(f"{depth[x.number]} {x.label}")
+    return "\n".join(lines)
+
+
+def from_shape(lines: str) -> list[Node]:
+    at: list[Node] = []
+    for line in lines.split("\n"):
+        depth, label = line.split(" ", 1)
+        del at[int(depth) :]
+        at.append(at[-1].child(label) if at else Node(label))
+    return at[0].listed()
 
 
 @functools.lru_cache(4096)
@@ -77,12 +114,42 @@ def _attributes(tag: str, raw: str) -> tuple[str, bool, bool]:
     return tag + ("." + got["class"].split()[0] if got.get("class", "").split() else ""), dropped, main or tag == "main" or role == "main"
 
 
-def parse(page: str) -> tuple[Node, list[tuple[Node, str, str, bool, float]]]:
-    """The condensed tree, and the blocks in page order: (node, text, region, dropped, share of text in links); region is article, main or empty."""
+def _tags(page: str):
+    """(text before, closing, name, attributes) of each tag, and at last (text, None, "", ""); comments and declarations have an empty name."""
+    at, done = 0, len(page)
+    while at < done:
+        m = _OPEN.search(page, at)
+        if m is None:
+            break
+        start = m.start()
+        if m[0] == "<!--":
+            stop = page.find("-->", m.end())
+            yield page[at:start], False, "", ""
+            at = stop + 3 if stop >= 0 else done
+            continue
+        end = _TAG_END.match(page, m.end()) if m[2] else None
+        stop = end.end() if end else page.find(">", m.end()) + 1
+        if not stop:
+            break  # no tag ends from here on
+        name = (m[2] or "").lower()
+        yield page[at:start], bool(m[1]), name, page[m.end() : stop - 1]
+        at = stop
+        if name in RAW and not m[1]:
+            inner = re.compile(f"</{name}", re.I).search(page, at)
+            at = inner.start() if inner else done
+    yield page[at:], None, "", ""
+
+
+Block = tuple[Node, str, str, bool, float]
+
+
+def parse(page: str) -> tuple[list[Node], list[Block]]:
+    """The condensed tree in preorder, and the blocks in page order: (node, text, region, dropped, share of text in links); region is article, main or empty."""
     root = Node("#")
-    # Open elements: tag, node, dropped, region.
+    # Open elements: tag, node, dropped, region; and how many of each tag are open.
     stack: list[tuple[str, Node, bool, str]] = [("#", root, False, "")]
-    blocks: list[tuple[Node, str, str, bool, float]] = []
+    open_: dict[str, int] = {}
+    blocks: list[Block] = []
     parts: list[str] = []
     linked = [0, 0]
 
@@ -96,36 +163,34 @@ def parse(page: str) -> tuple[Node, list[tuple[Node, str, str, bool, float]]]:
             linked[0] = linked[1] = 0
 
     def close(tag: str, until: frozenset[str] | set[str] = frozenset()) -> None:
+        if not open_.get(tag):
+            return
         for i in range(len(stack) - 1, 0, -1):
             if stack[i][0] == tag:
                 end_block()
+                for x in stack[i:]:
+                    open_[x[0]] -= 1
                 del stack[i:]
                 return
             if stack[i][0] in until:
                 return
 
-    at, in_link = 0, 0
-    while at < len(page):
-        m = _TOKEN.search(page, at)
-        text = page[at : m.start() if m else len(page)]
+    in_link = 0
+    for text, closing, tag, raw in _tags(page):
         if text:
             parts.append(text)
             n = len(text.strip())
             linked[0] += n
             linked[1] += n * (in_link > 0)
-        if not m:
-            break
-        at = m.end()
-        tag = (m[2] or "").lower()
         if not tag:
             continue
         if tag in INLINE:
             if tag == "br":
                 parts.append(" ")
             elif tag == "a":
-                in_link = max(0, in_link + (-1 if m[1] else 1))
+                in_link = max(0, in_link + (-1 if closing else 1))
             continue
-        if m[1]:
+        if closing:
             close(tag)
             continue
         end_block()
@@ -134,77 +199,132 @@ def parse(page: str) -> tuple[Node, list[tuple[Node, str, str, bool, float]]]:
         if tag in SELF_CLOSING:
             for other in SELF_CLOSING[tag]:
                 close(other, {"ul", "ol", "table", "dl", "select"})
-        label, dropped, main = _attributes(tag, m[3])
+        label, dropped, main = _attributes(tag, raw)
         _, node, gone, region = stack[-1]
         node = node.child(label)
+        if tag == "header" and region == "article":
+            dropped = False
         if main and region != "article":
-            region = "main" if tag == "main" or not label.startswith("article") and "articleBody" not in m[3] else "article"
-        gone = gone or dropped
-        if tag in RAW:
-            stop = re.compile(f"</{tag}", re.I).search(page, at)
-            at = stop.start() if stop else len(page)
+            region = "main" if tag == "main" or not label.startswith("article") and "articleBody" not in raw else "article"
         if tag not in VOID:
-            stack.append((tag, node, gone, region))
+            stack.append((tag, node, gone or dropped, region))
+            open_[tag] = open_.get(tag, 0) + 1
     end_block()
-    root.numbered()
-    return root, blocks
-
-
-def match(a: Node, b: Node) -> list[tuple[int, int]]:
-    """Simple tree matching: the numbers of the aligned nodes of two trees with equal root labels."""
-    memo: dict[tuple[int, int], tuple[int, list[tuple[int, int]]]] = {}
-
-    def size(x: Node, y: Node) -> int:
-        if x.label != y.label:
-            return 0
-        key = (x.number, y.number)
-        if key not in memo:
-            n, m = len(x.kids), len(y.kids)
-            best = [[0] * (m + 1) for _ in range(n + 1)]
-            for i in range(1, n + 1):
-                for j in range(1, m + 1):
-                    best[i][j] = max(best[i - 1][j], best[i][j - 1], best[i - 1][j - 1] + size(x.kids[i - 1], y.kids[j - 1]))
-            pairs, i, j = [], n, m
-            while i and j:
-                if best[i][j] == best[i - 1][j]:
-                    i -= 1
-                elif best[i][j] == best[i][j - 1]:
-                    j -= 1
-                else:
-                    i, j = i - 1, j - 1
-                    pairs.append((i, j))
-            memo[key] = (best[n][m] + 1, pairs)
-        return memo[key][0]
-
-    size(a, b)
-    out, todo = [], [(a, b)] if a.label == b.label else []
+    return root.listed(), blocks
+
+
+def _heaviest(items: list[tuple[int, int, int]]) -> tuple[int, list[int]]:
+    """Of (position, weight, key) in order, the subsequence of rising positions with most weight: its weight and keys."""
+    if all(a[0] < b[0] for a, b in zip(items, items[1:], strict=False)):
+        return sum(x[1] for x in items), [x[2] for x in items]
+    # Ends of the best subsequences so far, by position with weights rising, too.
+    ends: list[int] = []
+    best: list[tuple[int, int]] = []
+    before: list[int] = []
+    for i, (position, weight, _) in enumerate(items):
+        j = bisect.bisect_left(ends, position)
+        total, link = (best[j - 1][0] + weight, best[j - 1][1]) if j else (weight, -1)
+        before.append(link)
+        k = j
+        while k < len(ends) and best[k][0] <= total:
+            k += 1
+        ends[j:k], best[j:k] = [position], [(total, i)]
+    keys, i = [], best[-1][1]
+    while i >= 0:
+        keys.append(items[i][2])
+        i = before[i]
+    return best[-1][0], keys
+
+
+def match(a: list[Node], b: list[Node]) -> dict[int, int]:
+    """Simple tree matching: the aligned nodes of two trees, by number. Siblings have distinct labels, so each pair of aligned nodes needs the heaviest common order of its children's labels only."""
+    if a[0].label != b[0].label:
+        return {}
+    pairs, below = [(a[0], b[0])], []
+    for x, y in pairs:  # grows while it is read
+        mine = []
+        for kid in x.kids:
+            if (other := y.by_label.get(kid.label)) is not None:
+                mine.append(len(pairs))
+                pairs.append((kid, other))
+        below.append(mine)
+    weight, chosen = [1] * len(pairs), [[]] * len(pairs)
+    for i in range(len(pairs) - 1, -1, -1):
+        if below[i]:
+            more, chosen[i] = _heaviest([(pairs[j][1].number, weight[j], j) for j in below[i]])
+            weight[i] += more
+    out, todo = {}, [0]
     while todo:
-        x, y = todo.pop()
-        out.append((x.number, y.number))
-        todo += [(x.kids[i], y.kids[j]) for i, j in memo[(x.number, y.number)][1]]
+        i = todo.pop()
+        out[pairs[i][0].number] = pairs[i][1].number
+        todo += chosen[i]
     return out
 
 
+def _held(nodes: list[Node], weights: dict[int, int]) -> list[int]:
+    """The weight of each node and all below it."""
+    held = [weights.get(x.number, 0) for x in nodes]
+    for x in reversed(nodes[1:]):
+        held[x.up.number] += held[x.number]
+    return held
+
+
+def _innermost(nodes: list[Node], held: list[int]) -> Node:
+    node = nodes[0]
+    while (inner := max((k for k in node.kids if k.tag not in FLOW), key=lambda k: held[k.number], default=None)) is not None and held[inner.number] >= SHARE * held[0]:
+        node = inner
+    return node
+
+
+def content_region(nodes: list[Node], weights: dict[int, int]) -> list[Node]:
+    """The topmost nodes of an example that hold a host's content, by the varying text of its slots."""
+    held = _held(nodes, weights)
+    if not held[0]:
+        return []
+    for tag in ("article", "main"):
+        found: list[Node] = []
+        for x in nodes:
+            if x.tag == tag and held[x.number] and not (found and x.number <= found[-1].last):
+                found.append(x)
+        if found:
+            return found
+    node = _innermost(nodes, held)
+    while node.up is not None and not weights.get(node.up.number) and all(k is node or not held[k.number] or k.tag in FLOW for k in node.up.kids):
+        node = node.up
+    return [node]
+
+
 class Aligner:
-    """A worker's examples and alignments, remembered by shape."""
+    """A worker's examples, alignments and regions, remembered."""
 
     def __init__(self):
-        self.examples: dict[str, Node] = {}
+        self.examples: dict[str, list[Node]] = {}
         self.aligned: dict[tuple[str, str], dict[int, int]] = {}
+        self.regions: dict[tuple[str, tuple], list[Node]] = {}
 
-    def align(self, tree: Node, example: str) -> dict[int, int]:
-        if example not in self.examples:
+    def example(self, lines: str) -> list[Node]:
+        if lines not in self.examples:
             if len(self.examples) > 500:
                 self.examples = {}
-            self.examples[example] = parse(example)[0]
-        other = self.examples[example]
-        key = (tree.shape(), other.shape())
+            self.examples[lines] = from_shape(lines)
+        return self.examples[lines]
+
+    def align(self, tree: list[Node], example: str) -> dict[int, int]:
+        key = (shape(tree), example)
         if key not in self.aligned:
             if len(self.aligned) > 2000:
                 self.aligned = {}
-            self.aligned[key] = dict(match(tree, other))
+            self.aligned[key] = match(tree, self.example(example))
         return self.aligned[key]
 
+    def region(self, example: str, slots: tuple[tuple[int, int], ...]) -> list[Node]:
+        key = (example, slots)
+        if key not in self.regions:
+            if len(self.regions) > 500:
+                self.regions = {}
+            self.regions[key] = content_region(self.example(example), dict(slots))
+        return self.regions[key]
+
 
 def _hash(text: str) -> int:
     import xxhash
@@ -212,7 +332,7 @@ def _hash(text: str) -> int:
     return xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass")) - 2**63
 
 
-def _region(kept: list[tuple[Node, str, str, bool, float]]) -> list[tuple[Node, str, str, bool, float]]:
+def _region(kept: list[Block]) -> list[Block]:
     """The blocks of the article, else of main, else none."""
     for region in ("article", "main"):
         if inside := [b for b in kept if b[2] == region]:
@@ -220,92 +340,107 @@ def _region(kept: list[tuple[Node, str, str, bool, float]]) -> list[tuple[Node,
     return []
 
 
-def _identity(blocks: list[tuple[Node, str, str, bool, float]]) -> int:
+def _identity(blocks: list[Block]) -> int:
     """A hash of a page's article or main text, or of all its text that isn't dropped; copies of one article share it."""
     kept = [b for b in blocks if not b[3]]
     return _hash("\n".join(b[1] for b in _region(kept) or kept))
 
 
+def _example(batches):
+    """host and the shape of the example's tree."""
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([batch.column("host"), pa.array([shape(parse(page or "")[0]) for page in batch.column("html").to_pylist()], pa.string())], ["host", "example"])
+
+
 def _aligned_texts(batches):
-    """host, node, hash of each distinct block text of a page, by the example's node, and the page's identity; node -1 stands for the page."""
+    """host, node, hash of each distinct block text of a page by the example's node, its characters outside links and dropped parts, and the page's identity; node -1 stands for the page."""
     aligner = Aligner()
     for batch in batches:
-        host, node, digest, same = [], [], [], []
+        rows: list[tuple[str, int, int, int, int]] = []
         for h, page, example in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist(), batch.column("example").to_pylist(), strict=True):
             tree, blocks = parse(page or "")
-            to = aligner.align(tree, example or "")
+            to = aligner.align(tree, example)
             identity = _identity(blocks)
-            for n, x in {(-1, 0), *((to[b[0].number], _hash(b[1])) for b in blocks if b[0].number in to)}:
-                host.append(h)
-                node.append(n)
-                digest.append(x)
-                same.append(identity)
-        yield pa.RecordBatch.from_arrays([pa.array(host, pa.string()), pa.array(node, pa.int32()), pa.array(digest, pa.int64()), pa.array(same, pa.int64())], ["host", "node", "digest", "same"])
+            mine = {(-1, 0): 0}
+            for node, text, _, dropped, linked in blocks:
+                if node.number in to:
+                    key = (to[node.number], _hash(text))
+                    mine[key] = mine.get(key, 0) + (0 if dropped else round(len(text) * (1 - linked)))
+            rows += [(h, n, x, c, identity) for (n, x), c in mine.items()]
+        host, node, digest, chars, same = zip(*rows, strict=True) if rows else ((),) * 5
+        yield pa.RecordBatch.from_arrays([pa.array(host, pa.string()), pa.array(node, pa.int32()), pa.array(digest, pa.int64()), pa.array(chars, pa.int64()), pa.array(same, pa.int64())], ["host", "node", "digest", "chars", "same"])
+
+
+def _alone(tree: list[Node], kept: list[Block]) -> list[Block]:
+    """The content blocks of a page by itself."""
+    if inside := _region(kept):
+        return inside
+    slots = [b for b in kept if b[4] < 0.6]
+    weights: dict[int, int] = {}
+    for b in slots:
+        weights[b[0].number] = weights.get(b[0].number, 0) + len(b[1])
+    regions = content_region(tree, weights)
+    return [b for b in slots if any(r.number <= b[0].number <= r.last for r in regions)]
 
 
-def main_text(page: str, example: str, template: set[tuple[int, int]], aligner: Aligner) -> str:
-    """The content blocks of a page; template holds (node of the example, text hash)."""
+def main_text(page: str, aligner: Aligner, example: str | None = None, template: set[tuple[int, int]] = frozenset(), slots: tuple[tuple[int, int], ...] = ()) -> str:
+    """The content blocks of a page; template holds (node of the example, text hash), slots (node of the example, varying characters)."""
     tree, blocks = parse(page)
-    if not blocks:
-        return ""
     kept = [b for b in blocks if not b[3]]
-    inside = _region(kept)
-    if template:
-        to = aligner.align(tree, example)
-        kept = [b for b in kept if (to.get(b[0].number, -1), _hash(b[1])) not in template]
-        inside = [b for b in inside if (to.get(b[0].number, -1), _hash(b[1])) not in template] or inside
-    if inside:
-        return "\n".join(b[1] for b in inside)
-    slots = [b for b in kept if b[4] < 0.6]
-    if not slots:
+    if not kept:
         return ""
-    # No article: the innermost node that holds most of the text that varies.
-    length: dict[int, int] = {}
-    for b in slots:
-        length[b[0].number] = length.get(b[0].number, 0) + len(b[1])
-    total, node = sum(length.values()), tree
+    if example is None:
+        return "\n".join(b[1] for b in _alone(tree, kept))
+    to = aligner.align(tree, example)
+    varying = [b for b in kept if (to.get(b[0].number, -1), _hash(b[1])) not in template]
+    wanted = {r.number for r in aligner.region(example, slots)}
+    regions = [x for x in tree if to.get(x.number) in wanted]
 
-    def held(x: Node) -> int:
-        return length.get(x.number, 0) + sum(held(k) for k in x.kids)
+    def inside(some: list[Block]) -> list[Block]:
+        return [b for b in some if any(r.number <= b[0].number <= r.last for r in regions)]
 
-    while (inner := max(node.kids, key=held, default=None)) is not None and inner.kids and held(inner) >= 0.7 * total:
-        node = inner
-    inside_numbers, todo = set(), [node]
-    while todo:
-        x = todo.pop()
-        inside_numbers.add(x.number)
-        todo += x.kids
-    return "\n".join(b[1] for b in slots if b[0].number in inside_numbers)
+    semantic = any(r.tag in ("article", "main") for r in regions)
+    found = inside(varying) or (inside(kept) if semantic else [])
+    if not semantic:
+        found = [b for b in found if b[4] < 0.6]
+    return "\n".join(b[1] for b in found or _alone(tree, varying) or (_region(kept) if not regions else []))
 
 
 def _extract(batches):
     aligner = Aligner()
     for batch in batches:
-        template = batch.column("template").to_pylist()
+        columns = (batch.column(c).to_pylist() for c in ("html", "example", "template", "slots"))
         text = [
-            main_text(page or "", example or "", {(t["node"], t["digest"]) for t in temp or ()}, aligner)
-            for page, example, temp in zip(batch.column("html").to_pylist(), batch.column("example").to_pylist(), template, strict=True)
+            main_text(page or "", aligner, example, {(t["node"], t["digest"]) for t in template or ()}, tuple((s["node"], s["chars"]) for s in slots or ()))
+            for page, example, template, slots in zip(*columns, strict=True)
         ]
         yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(text, pa.string()), pa.array([len(t) for t in text], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
 
 def extract(pages: DataFrame) -> DataFrame:
-    """page_id, url, text and n_chars of every row of pages(page_id, url, html)."""
+    """page_id, url, text and n_chars of every row of pages(page_id, url, html).
+
+    Of a host only the shape of its example, its template and its slots are sent to its pages; they are broadcast if they
+    are at most ``BROADCAST_BYTES`` together, else joined by host, where both sides are plain shuffles that AQE can split.
+    """
     host = F.lower(F.coalesce(F.regexp_extract("url", r"^[\s\S]*?://([^/?#]*)", 1), F.lit("")))
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", host.alias("host"))
-    hosts = saved(pages.groupBy("host").agg(F.count("*").alias("pages"), F.min("page_id").alias("page_id")))
-    small = hosts.count() <= BROADCAST_HOSTS
-
-    def few(frame: DataFrame) -> DataFrame:
-        return F.broadcast(frame) if small else frame
-
-    first = pages.join(few(hosts.where(f"pages >= {PAGES}").select("host", "page_id")), ["host", "page_id"]).groupBy("host").agg(F.max("html").alias("example"))
-    examples = saved(first)
-    seen = pages.select("host", "html").join(few(examples), "host").mapInArrow(_aligned_texts, "host string, node int, digest long, same long")
-    counted = saved(seen.groupBy("host", "node", "digest").agg(F.count_distinct("same").alias("n")))
-    distinct = counted.where(f"node = -1 AND n >= {PAGES}").select("host", F.col("n").alias("pages"))
-    counted = counted.where("node >= 0").join(few(distinct), "host").where(F.col("n") >= CONSTANT * F.col("pages"))
-    # At most pages * blocks / CONSTANT texts a host: no more than a page holds.
-    template = saved(counted.groupBy("host").agg(F.collect_list(F.struct("node", "digest")).alias("template")))
-    known = examples.join(template, "host")
-    return pages.join(few(known), "host", "left").mapInArrow(_extract, "page_id long, url string, text string, n_chars long")
+    hosts = pages.groupBy("host").agg(F.count("*").alias("pages"), F.min("page_id").alias("page_id"))
+    hosts = saved(hosts.where(f"pages >= {PAGES} AND page_id IS NOT NULL").select("host", "page_id"))
+
+    def few(frame: DataFrame, size: str) -> DataFrame:
+        bytes_ = frame.agg(F.sum(F.expr(size))).first()[0] or 0
+        return F.broadcast(frame) if bytes_ <= BROADCAST_BYTES else frame
+
+    first = pages.join(few(hosts, "octet_length(host) + 16"), ["host", "page_id"]).groupBy("host").agg(F.max("html").alias("html"))
+    examples = saved(first.mapInArrow(_example, "host string, example string"))
+    seen = pages.select("host", "html").join(few(examples, "octet_length(host) + octet_length(example)"), "host").mapInArrow(_aligned_texts, "host string, node int, digest long, chars long, same long")
+    counted = saved(seen.groupBy("host", "node", "digest").agg(F.count_distinct("same").alias("n"), F.sum("chars").alias("chars")))
+    distinct = saved(counted.where(f"node = -1 AND n >= {PAGES}").select("host", F.col("n").alias("pages")))
+    counted = counted.where("node >= 0").join(few(distinct, "octet_length(host) + 8"), "host").withColumn("constant", F.col("n") >= CONSTANT * F.col("pages"))
+    # At most blocks / CONSTANT constant texts a host, no more than a page holds; and a slot a node of the example.
+    template = counted.where("constant").groupBy("host").agg(F.collect_list(F.struct("node", "digest")).alias("template"))
+    slots = counted.where("NOT constant AND chars > 0").groupBy("host", "node").agg(F.sum("chars").alias("chars")).groupBy("host").agg(F.array_sort(F.collect_list(F.struct("node", "chars"))).alias("slots"))
+    known = saved(examples.join(distinct, "host", "left_semi").join(template, "host", "left").join(slots, "host", "left"))
+    known = few(known, "octet_length(host) + octet_length(example) + 16 * (coalesce(size(template), 0) + coalesce(size(slots), 0))")
+    return pages.join(known, "host", "left").mapInArrow(_extract, "page_id long, url string, text string, n_chars long")

@@ -252,6 +252,69 @@ def test_html_extract(spark):
     assert (got[90], got[91], got[92], got[93]) == ("", "", "only text\nmore", "long text without article one\ntwo")
 
 
+def _plain_host(spark, n=12):
+    """A host without article elements or class names: menu, teasers, notice, footer, and a headline beside the body."""
+    rows = []
+    for i in range(n):
+        teaser = "".join(f"<div><a href='/{i + j}'>Teaser {i} {j} of other pages</a></div>" for j in range(4))
+        body = "".join(f"<p>Paragraph {j} of page {i} tells {i * j} things at length.</p>" for j in range(3 + i % 4))
+        html = f"<body><div><ul><li>Home</li><li>About us</li></ul></div><div><h2>Title {i}</h2><section>{body}</section></div><table><tr><td>{teaser}</td></tr></table><div><span>We value your privacy, agree to all</span></div><center>All rights reserved</center></body>"
+        rows.append((i, f"http://plain.org/{i}", html))
+    return spark.createDataFrame(rows, "page_id long, url string, html string")
+
+
+def test_html_extract_decides_by_slots(spark, monkeypatch):
+    pages = _plain_host(spark)
+    want = {i: "\n".join([f"Title {i}", *(f"Paragraph {j} of page {i} tells {i * j} things at length." for j in range(3 + i % 4))]) for i in range(12)}
+    assert {r.page_id: r.text for r in html_extract.extract(pages).collect()} == want
+    monkeypatch.setattr(html_extract, "PAGES", 1000)  # no wrappers
+    alone = {r.page_id: r.text for r in html_extract.extract(pages).collect()}
+    assert all(alone[i] != want[i] for i in range(12))
+
+
+def test_html_extract_drops_constant_text_of_articles(spark):
+    rows = [(i, f"http://c.org/{i}", f"<body><article><h1>N{i}</h1><p>Read more of our daily letter</p><p>Story {i}</p></article></body>") for i in range(6)]
+    got = {r.page_id: r.text for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: f"N{i}\nStory {i}" for i in range(6)}
+
+
+def test_html_extract_deep_unclosed_and_long_pages(spark):
+    import time
+
+    deep = "<div>" * 20_000 + "deep text" + "</div>" * 20_000
+    rows = [(1, "http://d.org/1", deep), (2, "http://d.org/2", "<a " * 16_000), (3, "http://d.org/3", "<p>x</p>" + "<a href='" * 8_000), (4, "http://d.org/4", "<!-- open " + "y" * 1000), (4, "http://d.org/4", "5 < 6 &lt; 7"), (5, None, "<article><header><h1>Head</h1></header><p>Body</p><div class='related-work'>Work</div></article><header>Site</header>"), (6, "http://d.org/6", "".join(f"<i-{k}>w{k}</i-{k}>" for k in range(3000)))]
+    begin = time.time()
+    pages = spark.createDataFrame(rows * 2, "page_id long, url string, html string")
+    got = {(r.page_id, r.text) for r in html_extract.extract(pages).collect()}
+    assert time.time() - begin < 60
+    assert {(1, "deep text"), (4, ""), (4, "5 < 6 < 7"), (5, "Head\nBody\nWork")} <= got
+    assert html_extract.extract(pages.limit(0)).count() == 0
+    many = " ".join(f"<div class=c{k}>{k}</div>" for k in range(4000))
+    assert len(html_extract.match(html_extract.parse(many)[0], html_extract.parse(" ".join(f"<div class=c{k}>{k}</div>" for k in reversed(range(4000))))[0])) == 2
+
+
+def test_tree_matching_is_the_best_alignment():
+    r = random.Random(4)
+
+    def tree(depth):
+        return "".join(f"<{t}>{tree(depth - 1) if depth else 'x'}</{t}>" for t in r.sample(["div", "section", "ul", "ol", "table", "tr"], r.randint(0, 4)))
+
+    def size(x, y):
+        """Simple tree matching as published: a table of prefixes of both children lists."""
+        if x.label != y.label:
+            return 0
+        best = [[0] * (len(y.kids) + 1) for _ in range(len(x.kids) + 1)]
+        for i, p in enumerate(x.kids):
+            for j, q in enumerate(y.kids):
+                best[i + 1][j + 1] = max(best[i][j + 1], best[i + 1][j], best[i][j] + size(p, q))
+        return best[-1][-1] + 1
+
+    for _ in range(60):
+        a, b = html_extract.parse(tree(3))[0], html_extract.parse(tree(3))[0]
+        assert len(html_extract.match(a, b)) == size(a[0], b[0])
+        assert html_extract.shape(html_extract.from_shape(html_extract.shape(a))) == html_extract.shape(a)
+
+
 def test_html_extract_keeps_copied_articles(spark):
     copy = page("One", "<p>The same article.</p>")
     rows = [(i, f"http://m.org/a?q={i}", copy.replace("We use cookies", f"We use cookies {i}")) for i in range(9)]
