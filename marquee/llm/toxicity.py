@@ -2,9 +2,10 @@
 
 fit() takes at most ``SAMPLE`` labelled training rows, those with the least hash of doc_id. Lexicon terms are words, and
 stems that begin words, which occur in toxic documents in at least ``SUPPORT`` different surroundings (so that copies of
-one text don't count) and hardly in others. Each distinct word of a text runs through the trie once: the walk keeps one row
-of the Levenshtein automaton a node and leaves a branch as soon as no state is within ``EDITS``. A term keeps its
-misspellings only if these are as rare in the clean training rows. Hits within quotation marks or beside a reporting word
+one text don't count) and hardly in others; the best ``TERMS`` are the model. A word is a run of letters, with single digits
+or signs between letters as part of it. Each distinct word of a text runs through the trie once: the walk keeps the last two
+rows of the Levenshtein automaton a node, counts a swap of neighbours as one edit, and leaves a branch as soon as no state is
+within ``EDITS``. A term keeps its misspellings only if these are as rare in the clean training rows. Hits within quotation marks or beside a reporting word
 count as quoted, others as abuse; a logistic model over both, the strongest term and the share of hits gives the score.
 
 Null and empty texts have no hits and get the score of a text without any. Rows that repeat a doc_id are scored each.
@@ -32,7 +33,7 @@ STEMS = (5, 6, 7)
 REMEMBERED = 150_000
 #: Texts that are scored at once.
 AT_ONCE = 250
-_WORD = re.compile(r"[^\W\d_]+")
+_WORD = re.compile(r"[^\W\d_]+(?:[\d*@$!#][^\W\d_]+)*")
 # Fixed word lists.
 REPORTING = frozenset("said says wrote writes called quoted quote word term dit écrit appelé mot sagte schrieb nannte wort dijo escribió llamó palabra".split())
 QUOTES = frozenset("\"“”„«»‘’")
@@ -50,20 +51,24 @@ class Trie:
             node[""] = t
 
     def near(self, word: str, edits: int) -> tuple[str, int] | None:
-        """The nearest term within edits (the first by order if several are as near) and its distance."""
+        """The nearest term within edits (the first by order if several are as near) and its distance; a swap of neighbours is one edit."""
         best: tuple[int, str] | None = None
-        todo = [(self.root, list(range(len(word) + 1)))]
+        first = list(range(len(word) + 1))
+        todo = [(self.root, "", first, first)]
         while todo:
-            node, row = todo.pop()
+            node, last, before, row = todo.pop()
             if (t := node.get("")) is not None and row[-1] <= edits and (best is None or (row[-1], t) < best):
                 best = (row[-1], t)
             for c, child in node.items():
                 if c:
                     new = [row[0] + 1]
                     for j, w in enumerate(word):
-                        new.append(min(new[j] + 1, row[j + 1] + 1, row[j] + (w != c)))
-                    if min(new) <= edits:
-                        todo.append((child, new))
+                        n = min(new[j] + 1, row[j + 1] + 1, row[j] + (w != c))
+                        if j and last and w == last and word[j - 1] == c:
+                            n = min(n, before[j - 1] + 1)
+                        new.append(n)
+                    if min(new) <= edits or min(row) < edits:
+                        todo.append((child, c, row, new))
         return None if best is None else (best[1], best[0])
 
 
@@ -85,6 +90,8 @@ class Matcher:
         self.model, self.trie = model, Trie(sorted(model.fuzzy))
         self.heads = {t[: len(t) // 2] for t in model.fuzzy}
         self.tails = {t[len(t) // 2 :] for t in model.fuzzy}
+        # A swap at the middle leaves neither half whole.
+        self.heads |= {t[: len(t) // 2 - 1] + t[len(t) // 2] for t in model.fuzzy}
         self.head_sizes, self.tail_sizes = sorted({len(h) for h in self.heads}), sorted({len(t) for t in self.tails})
         self.stem_sizes = sorted({len(s) for s in model.stems})
         self.known: set[str] = set()
@@ -98,7 +105,7 @@ class Matcher:
         for n in self.stem_sizes:
             if word[:n] in m.stems:
                 return word[:n], m.stems[word[:n]], 0
-        # One edit leaves a term's first half whole at the word's start, or its second half at the end.
+        # One edit but a swap at the middle leaves a term's first half whole at the word's start, or its second half at the end.
         if any(word[:n] in self.heads for n in self.head_sizes) or any(word[-n:] in self.tails for n in self.tail_sizes):
             if (found := self.trie.near(word, EDITS)) is not None:
                 return found[0], m.words[found[0]], found[1]

@@ -119,6 +119,97 @@ def test_collision_rate_is_generalised_jaccard(spark):
     assert abs(likeness - true) < 0.1
 
 
+def plain_signature(text, samples):
+    """Consistent weighted sampling written out with the xxhash library: (identity, value) of each sample."""
+    import math
+    import re
+    import struct
+    from collections import Counter
+
+    import xxhash
+
+    weight = Counter()
+    for w in re.findall(r"[^\x20\x09-\x0D]+", text):
+        weight[xxhash.xxh64_intdigest(w.encode(), 42)] += len(w)
+    out = []
+    for k in range(samples):
+        found = []
+        for term, size in weight.items():
+            bits = xxhash.xxh64_intdigest(struct.pack("<i", k), xxhash.xxh64_intdigest(struct.pack("<Q", term), 42))
+            r = fingerprints.GAMMA[bits & 255]
+            u, v, beta = ((((bits >> shift) & ((1 << width) - 1)) + 1) / 2.0**width for shift, width in ((8, 20), (28, 20), (48, 16)))
+            t = math.floor(math.log(size) / r + beta)
+            value = math.log(-math.log(u * v)) - r * (t - beta) - r
+            found.append((value, (term ^ (t % 2**64)) & (2**24 - 1)))
+        out.append(min(found)[::-1])
+    return out
+
+
+def test_fingerprints_equal_plain_sampling(docs, texts, spark):
+    got = {r.doc_id: r.signature for r in fingerprints.fingerprints(docs).collect()}
+    for d, t in texts[:8] + texts[-3:]:
+        if (t or "").split():
+            for sample, (identity, value) in zip(got[d], plain_signature(t, fingerprints.SAMPLES), strict=True):
+                assert sample & (2**24 - 1) == identity and abs((sample >> 24) / 2**32 - 80 - value) < 1e-6
+
+
+def test_likeness_error_of_production_signatures(spark):
+    """32 samples tell similarity within three standard errors on 60 pairs of known similarity."""
+    r = random.Random(9)
+    rows, true = [], []
+    for i in range(60):
+        a = [f"{x:05d}" for x in r.sample(range(10_000), 100)]
+        cut = r.randint(5, 60)
+        rows += [(2 * i, " ".join(a)), (2 * i + 1, " ".join(a[cut:] + [f"{x}" for x in r.sample(range(20_000, 90_000), cut)]))]
+        true.append((100 - cut) / (100 + cut))
+    got = {x.doc_id: x.signature for x in fingerprints.fingerprints(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    errors = [sum(x == y for x, y in zip(got[2 * i], got[2 * i + 1], strict=True)) / 32 - true[i] for i in range(60)]
+    assert max(map(abs, errors)) < 0.3 and abs(sum(errors) / 60) < 0.04
+
+
+def test_fingerprints_odd_rows(spark):
+    rows = [(None, "n one", "x", 1), (None, None, "x", 1), (3, "same text here", "x", 1), (3, "same text here", "x", 1), (2, "", "x", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, fingerprint string, part int")
+    got = sorted(((r.doc_id or -1, r.n_chars, r.near_edited, r.near_next) for r in fingerprints.compare_with_edits(docs).collect()), key=str)
+    assert len(got) == 5 and sum(x[0] == 3 for x in got) == 2 and {x[0] for x in got} == {-1, 2, 3}
+    assert max(x[3] for x in got if x[0] == 3) == 1.0
+    one = fingerprints.compare_with_edits(docs.where("doc_id = 2")).collect()
+    assert [(r.n_chars, r.near_edited, r.near_next) for r in one] == [(0, 1.0, 1.0)]
+
+
+def test_substring_dedup_odd_rows(spark):
+    w = " ".join(f"w{i}" for i in range(20))
+    rows = [(None, w, 1), (None, w, 1), (5, w, 2), (5, w, 2), (4, w + " tail", 3), (9, "x " * 30 + w, 4)]
+    got = sorted(((r.doc_id or -1, r.n_words, r.n_removed) for r in substring_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string, span int")).collect()))
+    assert got == [(-1, 20, 0), (-1, 20, 0), (4, 21, 0), (5, 20, 20), (5, 20, 20), (9, 50, 20)]
+
+
+def test_packing_needs_no_more_sequences_than_plain_best_fit(spark):
+    import numpy as np
+
+    r = random.Random(21)
+    texts = [" ".join(r.choices(["the", "of", "and"], k=r.choice([r.randint(1, 60), r.randint(100, 200), r.randint(250, 700)]))) for _ in range(600)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(20)
+    rows = packing.pack(docs, queries.tokenizer_path(), 256).collect()
+    used = len({x.sequence_id for x in rows})
+    plain = packing.best_fit(np.array([x.length for x in rows]), 256)[0].max() + 1
+    least = -(-sum(x.length for x in rows) // 256)
+    assert least <= used <= plain * 1.05
+    dealt = packing.pack(docs, queries.tokenizer_path(), 256, items_at_once=10).collect()
+    assert sorted((x.doc_id, x.piece, x.length) for x in dealt) == sorted((x.doc_id, x.piece, x.length) for x in rows)
+    ends = {}
+    for x in dealt:
+        ends.setdefault(x.sequence_id, []).append((x.offset, x.length))
+    assert all(sum(n for _, n in v) <= 256 and sorted(o for o, _ in v)[0] == 0 for v in ends.values()) and len(ends) <= plain * 1.3
+
+
+def test_packing_odd_rows(spark):
+    rows = [(None, "a b"), (None, None), (7, "the the"), (7, "the the"), (8, "of " * 3000)]
+    got = packing.pack(spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, bin int"), queries.tokenizer_path(), 256).collect()
+    assert sum(r.length for r in got) >= 3000 and sum(r.doc_id == 7 for r in got) == 2 and sum(r.doc_id is None for r in got) == 2
+    assert sorted(r.piece for r in got if r.doc_id == 8) == list(range(sum(r.doc_id == 8 for r in got)))
+
+
 def test_packing(docs, texts, empty):
     import numpy as np
     from tokenizers import Tokenizer
@@ -385,6 +476,11 @@ def test_toxicity_keeps_clashing_columns(spark):
 
 def test_levenshtein_automaton():
     trie = toxicity.Trie(["idiot", "moron"])
+    assert [trie.near(w, 1) for w in ("idoit", "id1ot", "mroon", "idiots", "toidi")] == [("idiot", 1), ("idiot", 1), ("moron", 1), ("idiot", 1), None]
+    assert toxicity._WORD.findall("an id1ot, st*pid a1b2 x99y end1") == ["an", "id1ot", "st*pid", "a1b", "x", "y", "end"]
+    model = toxicity.Model({"zrotten": 2.0, "qqvile": 1.0}, {}, {"zrotten", "qqvile"}, [0.0] * 5)
+    swaps = [t[:i] + t[i + 1] + t[i] + t[i + 2 :] for t in model.fuzzy for i in range(len(t) - 1)]
+    assert all(toxicity.Matcher(model).look_up(w) is not None for w in swaps)
     assert trie.near("idot", 1) == ("idiot", 1) and trie.near("moron", 1) == ("moron", 0) and trie.near("morose", 1) is None
 
 
