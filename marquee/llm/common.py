@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 
@@ -18,20 +19,50 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def work_dir(spark: SparkSession) -> str:
-    """A new folder under spark.checkpoint.dir; a temporary one only where that is unset."""
+def work_root(spark: SparkSession) -> str:
+    """This application's folder under spark.checkpoint.dir. Where that is unset, a temporary folder will do in local mode only."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="marquee-")
         spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+    return f"{base.rstrip('/')}/marquee-{spark.sparkContext.applicationId}"
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def clear(spark: SparkSession) -> None:
+    """Deletes all work tables of this application; call it when the results are written."""
+    _delete(spark, work_root(spark))
 
 
 def saved(df: DataFrame) -> DataFrame:
     """Writes df to the shared folder and reads it back: its lineage ends there and lost executors lose nothing."""
-    path = work_dir(df.sparkSession)
+    path = f"{work_root(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.saved_path = path
+    return out
+
+
+def discard(table_: DataFrame) -> None:
+    """Deletes what saved() wrote; only what was derived from it and saved itself may be used afterwards."""
+    _delete(table_.sparkSession, table_.saved_path)
+
+
+#: Rows of an Arrow batch. Rows are whole texts here; Spark's own limit of 10,000 can be hundreds of megabytes a worker.
+BATCH_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Sets the session's Arrow batches to at most ``BATCH_ROWS`` rows; smaller settings stay."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, BATCH_ROWS)
 
 
 def partitions(spark: SparkSession, times: int = 1) -> int:
@@ -39,13 +70,16 @@ def partitions(spark: SparkSession, times: int = 1) -> int:
 
 
 def give_back() -> None:
-    """Returns freed memory at the end of a task, as a worker stays for tasks of other kinds."""
+    """Returns freed memory to the system at the end of a task, as a worker stays for tasks of other kinds."""
+    import ctypes
     import gc
 
     import pyarrow as pa
 
     gc.collect()
     pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only glibc has it
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def words(text: Column) -> Column:

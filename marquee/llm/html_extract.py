@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marquee.llm.common import saved
+from marquee.llm.common import saved, small_batches
 
 CONSTANT, SHARE, PAGES, BROADCAST_BYTES = 0.8, 0.7, 5, 64_000_000
 # Fixed tag and class names.
@@ -423,6 +423,7 @@ def extract(pages: DataFrame) -> DataFrame:
     Of a host only the shape of its example, its template and its slots are sent to its pages; they are broadcast if they
     are at most ``BROADCAST_BYTES`` together, else joined by host, where both sides are plain shuffles that AQE can split.
     """
+    small_batches(pages.sparkSession)
     host = F.lower(F.coalesce(F.regexp_extract("url", r"^[\s\S]*?://([^/?#]*)", 1), F.lit("")))
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", host.alias("host"))
     hosts = pages.groupBy("host").agg(F.count("*").alias("pages"), F.min("page_id").alias("page_id"))

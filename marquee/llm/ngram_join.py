@@ -8,6 +8,9 @@ order gives right results, a rare-first one gives few candidates), and each clas
 smaller one, are candidates if the length and positional filters let them pass; a suffix filter and then the exact overlap
 of the whole sets decide, once a pair.
 
+Of the shingles that list exactly the same classes only the first in the order stays: the first shingle that two classes
+share is the one at which they must meet, and it is never the later one of such shingles.
+
 Groups of classes under one shingle are never paired all with all. A round compares each class with the pivots of its group;
 then groups in which nothing across components is left are done. Rounds repeat until the pairs left over all groups are at
 most ``SPARE`` times the listed shingles; those are compared by the filters within one join. So a group of many near copies collapses after a round
@@ -27,10 +30,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marquee.llm.common import block_words, grams, mix, saved, text_blocks
+from marquee.llm.common import block_words, discard, grams, mix, saved, small_batches, text_blocks
 from marquee.llm.components import components
 
 SHINGLE, THRESHOLD, BUCKETS, SPARE = 5, 0.75, 1 << 16, 256
+#: Class ids are broadcast up to this many (16 MB).
+BROADCAST_IDS = 1_000_000
 BANDS = 5  # a doubling of the size
 _SHIFT = np.uint64(48)
 _SHORT = np.uint64(0xE7037ED1A0B428DB)
@@ -176,7 +181,10 @@ def _passes(threshold: float):
 
 
 def _check(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """The links among pairs(a, b); texts has cid, text of every class that can occur."""
+    """The links among pairs(a, b); texts has cid, text of every class that can occur. Texts that no pair needs are left out before the shuffle if the ids fit a broadcast."""
+    ids = saved(pairs.select(F.col("a").alias("cid")).unionByName(pairs.select(F.col("b").alias("cid"))).distinct())
+    if ids.count() <= BROADCAST_IDS:
+        texts = texts.join(F.broadcast(ids), "cid", "left_semi")
     left = pairs.join(texts.select(F.col("cid").alias("a"), F.col("text").alias("text_a")), "a")
     both = left.join(texts.select(F.col("cid").alias("b"), F.col("text").alias("text_b")), "b").select("a", "b", "text_a", "text_b")
     return saved(both.mapInArrow(_verify(k, percent), "a long, b long"))
@@ -185,6 +193,7 @@ def _check(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFram
 def similar(docs: DataFrame, threshold: float = THRESHOLD, k: int = SHINGLE) -> DataFrame:
     """doc_id, n_shingles, class_id (least doc_id with the same set) and component_id of every row of docs(doc_id, text)."""
     percent = round(threshold * 100)
+    small_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     scan = saved(docs.mapInArrow(_scan(k), "doc_id long, n long, cid long, bucket int"))
     counts = np.zeros(BUCKETS, np.int64)
@@ -193,9 +202,11 @@ def similar(docs: DataFrame, threshold: float = THRESHOLD, k: int = SHINGLE) ->
     rows = scan.where("bucket IS NULL").drop("bucket")
     classes = rows.where("n > 0 AND doc_id IS NOT NULL").groupBy("cid").agg(F.min("doc_id").alias("class_id"))
 
-    listed = docs.where("doc_id IS NOT NULL").mapInArrow(_prefixes(k, counts, threshold), "token long, cid long, n int, pos int")
-    several = listed.groupBy("token").agg(F.min("cid").alias("lo"), F.max("cid").alias("hi"), F.max(_index_row(threshold)).alias("any")).where("lo < hi AND any").select("token")
+    listed = saved(docs.where("doc_id IS NOT NULL").mapInArrow(_prefixes(k, counts, threshold), "token long, cid long, n int, pos int"))
+    several = listed.groupBy("token").agg(F.count("*").alias("m"), F.max(_index_row(threshold)).alias("any")).where("m > 1 AND any").select("token")
     shared = saved(listed.join(several, "token").groupBy("token", "cid").agg(F.first("n").alias("n"), F.first("pos").alias("pos")))
+    discard(listed)
+    shared = saved(_distinct_groups(shared))
     involved = shared.select("cid").distinct().join(classes, "cid").select("cid", F.col("class_id").alias("doc_id"))
     texts = saved(docs.join(involved, "doc_id").select("cid", "text").mapInArrow(_own(k), "cid long, text string"))
     stars = _stars(shared, texts, threshold, k)
@@ -206,6 +217,14 @@ def similar(docs: DataFrame, threshold: float = THRESHOLD, k: int = SHINGLE) ->
     return out.join(ids, "component", "left").select("doc_id", F.col("n").alias("n_shingles"), class_id.alias("class_id"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", class_id)).alias("component_id"))
 
 
+def _distinct_groups(shared: DataFrame) -> DataFrame:
+    """shared without shingles that list one class only, or the same classes as an earlier one; times tells for how many a shingle stands."""
+    marks = [F.bit_xor(F.xxhash64("cid", F.lit(i))).alias(f"mark{i}") for i in range(2)]  # each class is listed once a shingle
+    groups = shared.groupBy("token").agg(F.count("*").alias("m"), *marks, F.min(F.struct("cid", "pos")).alias("least"))
+    firsts = groups.where("m > 1").groupBy("m", "mark0", "mark1").agg(F.min(F.struct("least", "token")).alias("first"), F.count("*").alias("times"))
+    return shared.join(firsts.select(F.col("first.token").alias("token"), "times"), "token")
+
+
 def _stars(shared: DataFrame, texts: DataFrame, threshold: float, k: int) -> DataFrame:
     """node, component of every class that is linked with another."""
     spark, percent = shared.sparkSession, round(threshold * 100)
@@ -213,8 +232,8 @@ def _stars(shared: DataFrame, texts: DataFrame, threshold: float, k: int) -> Dat
     stars = spark.createDataFrame([], "node long, component long")
     tested = spark.createDataFrame([], "a long, b long")
     # The class with most shared shingles is the pivot: what near copies were made from shares more than they do.
-    degree = shared.groupBy("cid").agg(F.count("*").alias("degree"))
-    live = shared.join(degree, "cid").withColumns({"component": F.col("cid"), "index": _index_row(threshold), "band": F.floor(F.log2("n") * BANDS).cast("int")})
+    degree = shared.groupBy("cid").agg(F.sum("times").alias("degree"))
+    live = shared.drop("times").join(degree, "cid").withColumns({"component": F.col("cid"), "index": _index_row(threshold), "band": F.floor(F.log2("n") * BANDS).cast("int")})
     for turn in range(size):
         members = live.groupBy("token", "component").agg(F.count("*").alias("c"), F.count_if("index").alias("i"))
         sums = [F.sum("c").alias("m"), F.sum("i").alias("i"), F.sum(F.col("c") * F.col("i")).alias("within"), F.max(F.struct("c", "component")).alias("top")]

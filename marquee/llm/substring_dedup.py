@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marquee.llm.common import block_words, grams, mix, saved, text_blocks
+from marquee.llm.common import block_words, grams, mix, saved, small_batches, text_blocks
 
 GRAM = 5
 _SECOND = np.uint64(0xA0761D6478BD642F)
@@ -126,6 +126,7 @@ def _cut(length: int, k: int):
 
 def remove_repeats(docs: DataFrame, length: int = 13, k: int = GRAM) -> DataFrame:
     """doc_id, n_words, n_removed, kept_text and removed_spans (word positions: start, end, start, ...) of every row of docs(doc_id, text)."""
+    small_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     seen = docs.where("doc_id IS NOT NULL")
     spans = seen.mapInArrow(_spans(length, k), "anchor long, span long, doc_id long")

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marquee.llm.common import give_back, saved
+from marquee.llm.common import give_back, saved, small_batches
 
 SAMPLE, SUPPORT, PRECISION, TERMS, EDITS, WINDOW, THRESHOLD = 10_000, 4, 0.8, 1000, 1, 6, 0.7
 STEMS = (5, 6, 7)
@@ -179,6 +179,7 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.01) -> np.ndarray:
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """A model from at most sample labelled rows of docs that aren't held out; lexicon and rows of features, both bounded, come to the driver."""
+    small_batches(docs.sparkSession)
     usable = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), (F.col("toxic") > 0).cast("int").alias("toxic"))
     usable = usable.where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     chosen = usable.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
@@ -217,6 +218,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
 
 def score(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataFrame:
     """The columns of keep (doc_id unless told) of docs(doc_id, text, ...) with held_out, score and predicted; these replace columns of the same name."""
+    small_batches(docs.sparkSession)
     keep = [c for c in (["doc_id"] if keep is None else keep) if c.lower() not in ("held_out", "score", "predicted")]
     own = held_out(F.col("doc_id")) if "doc_id" in docs.columns else F.lit(False)
 
