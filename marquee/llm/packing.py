@@ -16,32 +16,34 @@ are documents of their own with the same doc_id. An empty table gives an empty l
 from __future__ import annotations
 
 import functools
-import re
 import zlib
+from typing import TYPE_CHECKING
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marquee.llm.common import give_back, saved
+from marquee.llm.common import give_back, saved, small_batches
+
+if TYPE_CHECKING:
+    import pandas as pd
 
 CAPACITY, SLACK, FAN_IN, ITEMS = 4096, 16, 8, 200_000
-#: Chunks and word parts that a worker remembers.
-REMEMBERED = 300_000
+#: Word parts that a worker remembers, about 40 bytes each.
+REMEMBERED = 400_000
 #: Bytes of text that are encoded at once (and one text at least).
-TEXT_AT_ONCE = 2_000_000
+TEXT_AT_ONCE = 2_500_000
 #: Pieces that are packed at once within a partition.
 AT_ONCE = 200_000
 #: Latin letters and then marks: the tokenizer splits such a chunk between the two, and lower case is all it changes.
-_PLAIN = re.compile(r"^([A-Za-zÀ-ÖØ-öø-ÿ]{0,99})([!-&(-/:;=?@\[-`{|}~]{0,99})$", re.M)
+_PLAIN = r"^(?P<a>[A-Za-zÀ-ÖØ-öø-ÿ]*)(?P<b>[!-&(-/:;=?@\[-`{|}~]*)$"
 
 
 class Encoder:
-    """Token ids of whole texts. Spaces and line ends bound tokens, so each distinct chunk between them is encoded once and remembered."""
+    """Token ids of whole texts. Spaces and line ends bound tokens, so each distinct word part between them is encoded once and remembered."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer, pre_tokenizers
@@ -49,54 +51,54 @@ class Encoder:
         self.whole = Tokenizer.from_file(path)
         self.bare = Tokenizer(self.whole.model)  # one model in memory
         self.bare.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-        self.forget()
-
-    def forget(self) -> None:
-        self.parts: dict[str, bytes] = {"": b""}
         self._forget()
 
     def _forget(self) -> None:
-        self.number: dict[str, int] = {}
+        self.known = pa.array([], pa.string())
         self.ids, self.starts, self.sizes = (np.zeros(0, t) for t in ("<u4", np.int64, np.int64))
 
-    def _learn(self, chunks: list[str]) -> None:
-        plain = _PLAIN.findall("\n".join(chunks))
-        low = [a.lower() for a, _ in plain]
-        if len(self.parts) > REMEMBERED:
-            self.parts = {"": b""}
-        if new := list({*low, *(b for _, b in plain)} - self.parts.keys()):
-            e = self.bare.encode(new, is_pretokenized=True, add_special_tokens=False)
-            cut = (4 * np.searchsorted(np.array(e.word_ids), np.arange(len(new) + 1))).tolist()
-            raw = np.array(e.ids, "<u4").tobytes()
-            self.parts.update(zip(new, map(raw.__getitem__, map(slice, cut, cut[1:])), strict=True))
-        get = self.parts.__getitem__
-        names = [a + b for a, b in plain]
-        found = [get(x) + get(b) for x, (_, b) in zip(low, plain, strict=True)]
-        if len(names) < len(chunks):
-            other = list(set(chunks) - set(names))
-            names += other
-            found += [np.array(e.ids, "<u4").tobytes() for e in self.whole.encode_batch(other, add_special_tokens=False)]
-        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
-        self.number.update(zip(names, range(len(self.number), len(self.number) + len(names)), strict=True))
-        self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(sizes) - sizes])
-        self.sizes = np.concatenate([self.sizes, sizes])
-        self.ids = np.concatenate([self.ids, np.frombuffer(b"".join(found), "<u4")])
+    def _learn(self, keys: pa.Array, at_once: int = 20_000) -> None:
+        """Encodes new keys: word parts, or whole chunks behind a line end."""
+        odd = pc.starts_with(keys, "\n")
+        ids, sizes = [self.ids], [self.sizes]
+        plain, chunks = keys.filter(pc.invert(odd)), keys.filter(odd)
+        for i in range(0, len(plain), at_once):
+            some = plain.slice(i, at_once).to_pylist()
+            e = self.bare.encode(some, is_pretokenized=True, add_special_tokens=False)
+            ids.append(np.array(e.ids, "<u4"))
+            sizes.append(np.bincount(np.array(e.word_ids, np.int64), minlength=len(some)))
+        for i in range(0, len(chunks), at_once):
+            got = [e.ids for e in self.whole.encode_batch([c[1:] for c in chunks.slice(i, at_once).to_pylist()], add_special_tokens=False)]
+            ids.append(np.array([x for g in got for x in g], "<u4"))
+            sizes.append(np.array([len(g) for g in got], np.int64))
+        self.known = pa.concat_arrays([self.known, plain, chunks])
+        self.ids, self.sizes = np.concatenate(ids), np.concatenate(sizes)
+        self.starts = np.cumsum(self.sizes) - self.sizes
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts of a string array without nulls, and where each text's begin (and the last one's end)."""
-        if len(self.number) > REMEMBERED:
-            self._forget()
         split = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
         bounds = np.asarray(split.offsets)
         coded = split.flatten().dictionary_encode()
-        chunks = coded.dictionary.to_pylist()
-        if new := [c for c in chunks if c not in self.number]:
-            self._learn(new)
-        numbers = np.fromiter(map(self.number.__getitem__, chunks), np.int64, len(chunks))[coded.indices.to_numpy()]
-        sizes = self.sizes[numbers]
+        names = coded.dictionary
+        parts = pc.extract_regex(names, _PLAIN)
+        plain = pc.and_(pc.is_valid(parts), pc.less(pc.utf8_length(names), 100))
+        first = pc.if_else(plain, pc.utf8_lower(pc.struct_field(parts, "a")), pc.binary_join_element_wise("\n", names, ""))
+        second = pc.if_else(plain, pc.struct_field(parts, "b"), "")
+        keys = pa.concat_arrays([first, second]).dictionary_encode()
+        del parts, first, second
+        if len(self.known) > REMEMBERED:
+            self._forget()
+        place = pc.index_in(keys.dictionary, self.known)
+        if place.null_count:
+            self._learn(keys.dictionary.filter(pc.is_null(place)))
+            place = pc.index_in(keys.dictionary, self.known)
+        both = place.to_numpy()[keys.indices.to_numpy()].reshape(2, -1)
+        at = both[:, coded.indices.to_numpy()].T.ravel()  # two parts a chunk
+        sizes = self.sizes[at]
         ends = np.concatenate([[0], np.cumsum(sizes)])
-        ids = self.ids[np.repeat(self.starts[numbers] - ends[:-1], sizes) + np.arange(ends[-1])]
-        return ids, ends[bounds - bounds[0]]
+        ids = self.ids[np.repeat(self.starts[at] - ends[:-1], sizes) + np.arange(ends[-1])]
+        return ids, ends[2 * (bounds - bounds[0])]
 
 
 @functools.cache
@@ -167,7 +169,6 @@ def _local(path: str, capacity: int, end_id: int, keep_ids: bool):
                 first, got = first + n, []
         if got:
             yield packed(got, part, first)[0]
-        encoder(path).forget()
         give_back()
 
     return run
@@ -177,6 +178,8 @@ def _merge(capacity: int):
     """Packs the items (bin, fill) of a tree node; each one's host is the item at the start of its sequence."""
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
+        import pandas as pd  # not in the workers that encode
+
         frame = frame.sort_values(["fill", "bin"], ascending=[False, True], kind="stable")
         fill = frame["fill"].to_numpy()
         place, offset = best_fit(fill, capacity)
@@ -193,7 +196,7 @@ def _dealt(items: DataFrame, width: int, most: int) -> DataFrame:
     """items with node and deal: so many of one node and deal as one task takes. There are at most as many nodes as partitions."""
     nodes = items.withColumn("node", F.expr(f"part div {width}"))
     deals = nodes.groupBy("node").agg(F.ceil(F.count("*") / most).cast("int").alias("deals"))
-    return nodes.join(F.broadcast(deals), "node").withColumn("deal", F.pmod(F.xxhash64("bin"), F.col("deals"))).drop("deals")
+    return nodes.join(F.broadcast(deals), "node").withColumn("deal", F.pmod(F.xxhash64("bin", F.lit(width)), F.col("deals"))).drop("deals")
 
 
 def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = 1, keep_ids: bool = False, items_at_once: int = ITEMS) -> DataFrame:
@@ -201,6 +204,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int
 
     tokenizer: path of a tokenizer file whose pre-tokenizer parts words at spaces and at the border of letters and marks.
     """
+    small_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     pieces = saved(docs.mapInArrow(_local(tokenizer, capacity, end_id, keep_ids), _LOCAL))
     items = pieces.where(f"offset = 0 AND fill < {capacity - SLACK}").select("bin", "part", "fill")
