@@ -254,10 +254,10 @@ def ranker_affinity(logs: DataFrame, film_entity: DataFrame, smoothing: float =
 
 
 def candidate_affinity(candidates: DataFrame, film_entity: DataFrame, affinity: DataFrame) -> DataFrame:
-    """A row per (user, film, family): affinity mean, max, min, support, matched entities and their share."""
+    """A row per (user, film, family): affinity mean (an exact sum, so that row order doesn't matter), max, min, support, matched entities and their share."""
     rows = candidates.select("user_id", "film_id").join(film_entity.select("film_id", "family", "entity_id"), "film_id").join(affinity, ["user_id", "family", "entity_id"], "left")
     a = F.coalesce("affinity", F.lit(0.0))
-    return rows.groupBy("user_id", "film_id", "family").agg(F.round(F.avg(a), 4).alias("mean"), F.max(a).alias("best"), F.min(a).alias("worst"), F.coalesce(F.sum("support"), F.lit(0)).alias("support"), F.count("affinity").alias("matched"), F.round(F.count("affinity") / F.count("*"), 6).alias("matched_fraction"))
+    return rows.groupBy("user_id", "film_id", "family").agg(F.round(F.sum(a.cast("decimal(18,6)")).cast("double") / F.count("*"), 9).alias("mean"), F.max(a).alias("best"), F.min(a).alias("worst"), F.coalesce(F.sum("support"), F.lit(0)).alias("support"), F.count("affinity").alias("matched"), F.round(F.count("affinity") / F.count("*"), 6).alias("matched_fraction"))
 
 
 def weighted_preferences(logs: DataFrame, films: DataFrame, column: str) -> DataFrame:

@@ -34,15 +34,17 @@ def with_strata(popular: DataFrame) -> DataFrame:
 def popularity_candidates(logs: DataFrame, popular: DataFrame, depth: int, mode: str = "global") -> DataFrame:
     """user_id, film_id, popularity_rank of each user's first depth unwatched films in popularity order.
 
-    No user reaches beyond depth plus the most films that a user has watched, so only so many films are joined.
+    A user needs the first depth + (own watched films) places only, so each user's places are listed and those watched are
+    left out; the films are looked up by place at the end. No side is crossed with the other.
     mode: 'global' keeps the film's rank, 'post_exclusion' counts anew after the watched films are out.
     """
-    users = logs.select("user_id").distinct()
-    most = logs.groupBy("user_id").agg(F.count("*").alias("c")).agg(F.max("c").alias("most"))
-    reach = popular.crossJoin(F.broadcast(most)).where(F.col("popularity_rank") <= depth + F.col("most")).select("film_id", "popularity_rank")
-    open_ = users.join(reach, how="cross").join(logs.select("user_id", "film_id"), ["user_id", "film_id"], "left_anti")
+    ranks = popular.select("film_id", "popularity_rank")
+    watched = logs.select("user_id", "film_id").join(ranks, "film_id").select("user_id", "popularity_rank")
+    own = logs.groupBy("user_id").agg(F.count("*").alias("own"))
+    places = own.select("user_id", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("own") + depth)).alias("popularity_rank"))
+    open_ = places.join(watched, ["user_id", "popularity_rank"], "left_anti")
     place = F.row_number().over(Window.partitionBy("user_id").orderBy("popularity_rank"))
-    out = open_.withColumn("place", place).where(F.col("place") <= depth)
+    out = open_.withColumn("place", place).where(F.col("place") <= depth).join(ranks, "popularity_rank")
     return out.select("user_id", "film_id", ("popularity_rank" if mode == "global" else F.col("place").cast("bigint").alias("popularity_rank")))
 
 

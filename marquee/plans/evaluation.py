@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from marquee.operators import evaluation as E
-from marquee.operators import quality, ranking
-from marquee.plans.core import ORACLE, candidate_union, inventory, sql
+from marquee.operators import quality, ranking, vectors
+from marquee.plans.core import DEPTH, ORACLE, candidate_union, inventory, sql
 from marquee.plans.registry import query
 from marquee.sources.bridge import derived
 
@@ -15,8 +17,12 @@ ORACLE |= {
     "split": f"""SELECT user_id, film_id, rating, CASE WHEN rating >= 3.5 AND e AND p = 1 THEN 'validation' WHEN rating >= 3.5 AND e AND p = 2 THEN 'test' ELSE 'context' END AS role FROM (SELECT *, row_number() OVER (PARTITION BY user_id, rating >= 3.5 ORDER BY {_KEY}) AS p,
         count(*) FILTER (rating >= 3.5) OVER (PARTITION BY user_id) >= 3 AS e FROM logs WHERE rating IS NOT NULL)""",
     "targetrank": "SELECT t.user_id, t.film_id, r.rrf_rank AS rank FROM (SELECT user_id, film_id FROM logs WHERE rating >= 4.5) t LEFT JOIN ranked r USING (user_id, film_id)",
-    "simrank": "SELECT l.user_id, l.film_id, s.stratum, CASE WHEN popularity_rank % 7 = 0 THEN NULL ELSE 1 + (l.user_id * 31 + l.film_id * 17) % 120 END AS rank FROM logs l JOIN strata s USING (film_id) WHERE rating >= 4.5",
+    "ctx": "SELECT user_id, film_id, rating FROM split WHERE role = 'context'",
 }
+#: The tables up to the fused candidates, from the context alone.
+_CONTEXT = ["pop", "strata", "userdim", "uservec", "svdall", "svd", "popcand", "cand", "rrf", "ranked"]
+ORACLE |= {f"c_{n}": re.sub(rf"\b(logs|{'|'.join(_CONTEXT)})\b", lambda m: "ctx" if m[0] == "logs" else f"c_{m[0]}", ORACLE[n]) for n in _CONTEXT}
+ORACLE["held"] = "SELECT t.user_id, t.film_id, s.stratum, r.rrf_rank AS rank, r.svd_rank, r.popularity_rank FROM (SELECT user_id, film_id FROM split WHERE role = 'test') t JOIN strata s USING (film_id) LEFT JOIN c_ranked r USING (user_id, film_id)"
 
 
 def split(spark, sf_dir):
@@ -27,11 +33,18 @@ def strata(spark, sf_dir):
     return ranking.with_strata(ranking.popularity(derived(spark, sf_dir, "logs")))
 
 
-def simulated_ranks(spark, sf_dir):
-    """A target rank for every high rating, by a fixed rule, some of them misses."""
-    rows = derived(spark, sf_dir, "logs").where("rating >= 4.5").join(strata(spark, sf_dir).select("film_id", "stratum", "popularity_rank"), "film_id")
-    rank = F.when(F.col("popularity_rank") % 7 != 0, 1 + (F.col("user_id") * 31 + F.col("film_id") * 17) % 120)
-    return rows.select("user_id", "film_id", "stratum", rank.alias("rank"))
+def candidates_of_context(spark, sf_dir):
+    """Every user's candidates of both sources, from the context rows of the split alone."""
+    logs, items = split(spark, sf_dir).where("role = 'context'"), derived(spark, sf_dir, "item_vectors")
+    svd = vectors.exact_top_k(vectors.user_profiles(logs, items), items, DEPTH, logs)
+    return ranking.union_sources(svd, ranking.popularity_candidates(logs, ranking.popularity(logs), DEPTH))
+
+
+def held_out_ranks(spark, sf_dir):
+    """The ranks of every held-out target among its user's candidates; null where it isn't one."""
+    targets = split(spark, sf_dir).where("role = 'test'").select("user_id", "film_id").join(strata(spark, sf_dir).select("film_id", "stratum"), "film_id")
+    ranks = ranking.fused(candidates_of_context(spark, sf_dir)).join(ranking.popularity(split(spark, sf_dir).where("role = 'context'")).select("film_id"), "film_id", "left_semi").select("user_id", "film_id", F.col("rrf_rank").alias("rank"), "svd_rank", "popularity_rank")
+    return targets.join(ranks, ["user_id", "film_id"], "left").select("user_id", "film_id", "stratum", "rank", "svd_rank", "popularity_rank")
 
 
 @query("leave_two_out", sql("SELECT user_id, film_id, rating, role FROM split"))
@@ -58,7 +71,7 @@ def training_holdouts(spark, sf_dir):
 
 
 def _labels(spark, sf_dir):
-    return derived(spark, sf_dir, "logs").where("user_id % 3 = 0 AND film_id % 2 = 0 AND rating >= 3.5").select("user_id", "film_id", F.lit(2).alias("label"))
+    return split(spark, sf_dir).where("role <> 'context'").select("user_id", "film_id", F.lit(2).alias("label"))
 
 
 def _open_candidates(spark, sf_dir):
@@ -68,8 +81,8 @@ def _open_candidates(spark, sf_dir):
     return rows.unionByName(extra)
 
 
-@query("negative_sample", sql(f"""WITH c AS (SELECT user_id, film_id, membership, popularity_rank FROM cand UNION ALL SELECT user_id, film_id, 'both', 5 FROM logs WHERE user_id % 3 = 0 AND film_id % 2 = 0 AND rating >= 3.5),
-    l AS (SELECT user_id, film_id, 2 AS label FROM logs WHERE user_id % 3 = 0 AND film_id % 2 = 0 AND rating >= 3.5),
+@query("negative_sample", sql(f"""WITH c AS (SELECT user_id, film_id, membership, popularity_rank FROM cand UNION ALL SELECT user_id, film_id, 'both', 5 FROM split WHERE role <> 'context'),
+    l AS (SELECT user_id, film_id, 2 AS label FROM split WHERE role <> 'context'),
     s0 AS (SELECT c.*, coalesce(label, 0) AS label, {_KEY.replace('user_id', 'c.user_id').replace('film_id', 'c.film_id')} AS h, CASE WHEN label > 0 THEN 'positive' END AS tb FROM c LEFT JOIN l USING (user_id, film_id)),
     s1 AS (SELECT *, 100 - count(*) FILTER (tb = 'positive') OVER (PARTITION BY user_id) AS room FROM s0),
     """ + ", ".join(f"""s{i + 2} AS (SELECT * REPLACE (CASE WHEN tb IS NULL AND coalesce({cond}, false) AND row_number() OVER (PARTITION BY user_id, tb IS NULL AND coalesce({cond}, false) ORDER BY h) <= floor(room * {share}) THEN '{name}' ELSE tb END AS tb) FROM s{i + 1})"""
@@ -80,9 +93,9 @@ def negative_sample(spark, sf_dir):
     return E.sampled_groups(_open_candidates(spark, sf_dir), _labels(spark, sf_dir), 100)
 
 
-@query("target_rank", sql("SELECT t.user_id, t.film_id, CASE WHEN max(o.positives) IS NOT NULL THEN 1 + count(*) FILTER (p.positives > o.positives OR (p.positives = o.positives AND p.film_id < t.film_id)) END AS rank FROM (SELECT user_id, film_id FROM split WHERE role = 'test' AND user_id % 10 = 0) t LEFT JOIN pop o USING (film_id) CROSS JOIN pop p GROUP BY t.user_id, t.film_id"))
+@query("target_rank", sql("SELECT t.user_id, t.film_id, CASE WHEN max(o.positives) IS NOT NULL THEN 1 + count(*) FILTER (p.positives > o.positives OR (p.positives = o.positives AND p.film_id < t.film_id)) END AS rank FROM (SELECT user_id, film_id FROM split WHERE role = 'test') t LEFT JOIN pop o USING (film_id) CROSS JOIN pop p GROUP BY t.user_id, t.film_id"))
 def target_rank(spark, sf_dir):
-    targets = split(spark, sf_dir).where("role = 'test' AND user_id % 10 = 0").select("user_id", "film_id")
+    targets = split(spark, sf_dir).where("role = 'test'").select("user_id", "film_id")
     # All users share one order of the films, so the rank is the film's own.
     popular = ranking.popularity(derived(spark, sf_dir, "logs")).select("film_id", F.col("popularity_rank").alias("rank"))
     return targets.join(popular, "film_id", "left").select("user_id", "film_id", "rank")
@@ -91,19 +104,19 @@ def target_rank(spark, sf_dir):
 _M = "count(*) AS targets, " + ", ".join(f"round(avg(CASE WHEN rank <= {k} THEN 1.0::DOUBLE ELSE 0 END), 6) AS recall_{k}" for k in E.CUTOFFS) + ", " + ", ".join(f"round(avg(CASE WHEN rank <= {k} THEN 1 / log2(rank + 1.0::DOUBLE) ELSE 0 END), 6) AS ndcg_{k}" for k in E.CUTOFFS[:2]) + ", round(avg(CASE WHEN rank <= 10 THEN 1.0::DOUBLE / rank ELSE 0 END), 6) AS mrr_10"
 
 
-@query("ranking_metrics", sql(f"SELECT stratum, {_M} FROM simrank GROUP BY stratum"))
+@query("ranking_metrics", sql(f"SELECT stratum, {_M} FROM held GROUP BY stratum"))
 def ranking_metrics(spark, sf_dir):
-    return E.metrics(simulated_ranks(spark, sf_dir), ["stratum"])
+    return E.metrics(held_out_ranks(spark, sf_dir), ["stratum"])
 
 
-@query("metric_views", sql(f"WITH r AS (SELECT round(avg(CASE WHEN rank IS NOT NULL THEN 1.0::DOUBLE ELSE 0 END), 6) AS candidate_recall FROM simrank) SELECT *, candidate_recall FROM (SELECT {_M}, 'global' AS \"view\" FROM simrank UNION ALL SELECT {_M}, 'conditional' FROM simrank WHERE rank IS NOT NULL), r".replace("SELECT *, candidate_recall FROM (", "SELECT * FROM (")))
+@query("metric_views", sql(f"WITH r AS (SELECT round(avg(CASE WHEN rank IS NOT NULL THEN 1.0::DOUBLE ELSE 0 END), 6) AS candidate_recall FROM held) SELECT *, candidate_recall FROM (SELECT {_M}, 'global' AS \"view\" FROM held UNION ALL SELECT {_M}, 'conditional' FROM held WHERE rank IS NOT NULL), r".replace("SELECT *, candidate_recall FROM (", "SELECT * FROM (")))
 def metric_views(spark, sf_dir):
-    return E.views(simulated_ranks(spark, sf_dir))
+    return E.views(held_out_ranks(spark, sf_dir))
 
 
-@query("metric_segments", sql(f"SELECT 'stratum' AS segment, stratum AS value, {_M} FROM simrank GROUP BY stratum UNION ALL SELECT 'band', CAST(user_id % 3 AS VARCHAR), {_M} FROM simrank GROUP BY user_id % 3"))
+@query("metric_segments", sql(f"SELECT 'stratum' AS segment, stratum AS value, {_M} FROM held GROUP BY stratum UNION ALL SELECT 'band', CAST(user_id % 3 AS VARCHAR), {_M} FROM held GROUP BY user_id % 3"))
 def metric_segments(spark, sf_dir):
-    return E.segments(simulated_ranks(spark, sf_dir).withColumn("band", F.col("user_id") % 3), ["stratum", "band"])
+    return E.segments(held_out_ranks(spark, sf_dir).withColumn("band", F.col("user_id") % 3), ["stratum", "band"])
 
 
 @query("graded_ndcg", sql("""WITH g AS (SELECT user_id, film_id, CASE WHEN rating >= 4.5 THEN 7 WHEN rating >= 4 THEN 3 WHEN rating >= 3.5 THEN 1 ELSE 0 END AS g, popularity_rank FROM logs JOIN pop USING (film_id) WHERE rating IS NOT NULL),
@@ -117,9 +130,9 @@ def graded_ndcg(spark, sf_dir):
     return E.graded_ndcg(rows.select("user_id", "film_id", (-F.col("popularity_rank")).cast("double").alias("score"), relevance(F.col("rating")).alias("label")), 20)
 
 
-@query("metrics_over_folds", sql(f"WITH f AS (SELECT stratum, user_id % 5 AS fold, {_M} FROM simrank GROUP BY stratum, user_id % 5) SELECT stratum, round(avg(recall_20), 6) AS recall_20_mean, round(stddev_pop(recall_20), 6) AS recall_20_std, round(avg(ndcg_20), 6) AS ndcg_20_mean, round(stddev_pop(ndcg_20), 6) AS ndcg_20_std FROM f GROUP BY stratum"))
+@query("metrics_over_folds", sql(f"WITH f AS (SELECT stratum, user_id % 5 AS fold, {_M} FROM held GROUP BY stratum, user_id % 5) SELECT stratum, round(avg(recall_20), 6) AS recall_20_mean, round(stddev_pop(recall_20), 6) AS recall_20_std, round(avg(ndcg_20), 6) AS ndcg_20_mean, round(stddev_pop(ndcg_20), 6) AS ndcg_20_std FROM f GROUP BY stratum"))
 def metrics_over_folds(spark, sf_dir):
-    rows = E.metrics(simulated_ranks(spark, sf_dir).withColumn("fold", F.col("user_id") % 5), ["stratum", "fold"])
+    rows = E.metrics(held_out_ranks(spark, sf_dir).withColumn("fold", F.col("user_id") % 5), ["stratum", "fold"])
     return E.over_runs(rows, ["stratum"], ["recall_20", "ndcg_20"])
 
 
@@ -141,19 +154,18 @@ def mean_jaccard(spark, sf_dir):
     return E.mean_jaccard(rows.where("svd_rank <= 50"), top, logs.select("user_id").distinct())
 
 
-@query("hit_attribution", sql("WITH t AS (SELECT user_id, film_id FROM logs WHERE rating >= 4.5), c AS (SELECT t.*, film_id % 2 = 0 AS svd, film_id % 3 = 0 AS popularity, film_id % 5 = 0 AS third FROM t) SELECT svd, popularity, third, count(*) AS targets, round(count(*) / sum(count(*)) OVER (), 6) AS share FROM c GROUP BY svd, popularity, third"))
+@query("hit_attribution", sql("WITH c AS (SELECT svd_rank IS NOT NULL AS svd, popularity_rank IS NOT NULL AS popularity, coalesce(rank <= 50, false) AS third FROM held) SELECT svd, popularity, third, count(*) AS targets, round(count(*) / sum(count(*)) OVER (), 6) AS share FROM c GROUP BY svd, popularity, third"))
 def hit_attribution(spark, sf_dir):
-    t = derived(spark, sf_dir, "logs").where("rating >= 4.5").select("user_id", "film_id")
-    return E.hit_attribution(t, {n: t.where(F.col("film_id") % k == 0) for n, k in (("svd", 2), ("popularity", 3), ("third", 5))})
+    rows = held_out_ranks(spark, sf_dir)
+    return E.hit_attribution(rows.select("user_id", "film_id"), {n: rows.where(c).select("user_id", "film_id") for n, c in (("svd", "svd_rank IS NOT NULL"), ("popularity", "popularity_rank IS NOT NULL"), ("third", "rank <= 50"))})
 
 
-_SWEEP = "sweep AS (SELECT budget, ratio, round(avg(CASE WHEN coalesce(a <= round(budget * ratio) OR b <= budget - round(budget * ratio), false) THEN 1.0::DOUBLE ELSE 0 END), 6) AS recall FROM (SELECT CASE WHEN film_id % 4 <> 0 THEN rank * 10 END AS a, CASE WHEN film_id % 3 <> 0 THEN rank * 7 END AS b FROM simrank), (VALUES (200), (500), (1000), (2000)) x(budget), (VALUES (0.2::DOUBLE), (0.5::DOUBLE), (0.8::DOUBLE)) y(ratio) GROUP BY budget, ratio)"
+_SWEEP = "sweep AS (SELECT budget, ratio, round(avg(CASE WHEN coalesce(a <= round(budget * ratio) OR b <= budget - round(budget * ratio), false) THEN 1.0::DOUBLE ELSE 0 END), 6) AS recall FROM (SELECT svd_rank AS a, popularity_rank AS b FROM held), (VALUES (50), (100), (200), (400)) x(budget), (VALUES (0.2::DOUBLE), (0.5::DOUBLE), (0.8::DOUBLE)) y(ratio) GROUP BY budget, ratio)"
 
 
 def _sweep(spark, sf_dir):
-    rows = simulated_ranks(spark, sf_dir)
-    rows = rows.select(F.when(F.col("film_id") % 4 != 0, F.col("rank") * 10).alias("svd_rank"), F.when(F.col("film_id") % 3 != 0, F.col("rank") * 7).alias("popularity_rank"))
-    return E.allocation_sweep(rows, [200, 500, 1000, 2000], [0.2, 0.5, 0.8])
+    rows = held_out_ranks(spark, sf_dir)
+    return E.allocation_sweep(rows.select("svd_rank", "popularity_rank"), [50, 100, 200, 400], [0.2, 0.5, 0.8])
 
 
 @query("allocation_sweep", sql(f"WITH {_SWEEP} SELECT budget, ratio, recall FROM sweep"))
@@ -171,14 +183,14 @@ def marginal_value(spark, sf_dir):
     return E.marginal_value(_sweep(spark, sf_dir))
 
 
-@query("chosen_budget", sql(f"WITH {_SWEEP}, m AS (SELECT budget, round(recall - lag(recall) OVER (ORDER BY budget), 6) AS gain FROM (SELECT budget, max(recall) AS recall FROM sweep GROUP BY budget)) SELECT coalesce(min(budget) FILTER (budget >= 1000 AND gain < 0.02), max(budget) FILTER (budget <= 4000)) AS budget FROM m"))
+@query("chosen_budget", sql(f"WITH {_SWEEP}, m AS (SELECT budget, round(recall - lag(recall) OVER (ORDER BY budget), 6) AS gain FROM (SELECT budget, max(recall) AS recall FROM sweep GROUP BY budget)) SELECT coalesce(min(budget) FILTER (budget >= 100 AND gain < 0.02), max(budget) FILTER (budget <= 400)) AS budget FROM m"))
 def chosen_budget(spark, sf_dir):
-    return E.chosen_budget(E.marginal_value(_sweep(spark, sf_dir)))
+    return E.chosen_budget(E.marginal_value(_sweep(spark, sf_dir)), least=100, most=400)
 
 
 @query("bootstrap_interval")
 def bootstrap_interval(spark, sf_dir):
-    rows = simulated_ranks(spark, sf_dir).groupBy("user_id").agg(F.avg(F.when(F.col("rank") <= 20, 1 / F.log2(F.col("rank") + 1.0)).otherwise(0.0)).alias("delta"))
+    rows = held_out_ranks(spark, sf_dir).groupBy("user_id").agg(F.avg(F.when(F.col("rank") <= 20, 1 / F.log2(F.col("rank") + 1.0)).otherwise(0.0)).alias("delta"))
     return E.bootstrap(rows, 1000)
 
 
@@ -187,10 +199,10 @@ def metric_correlation(spark, sf_dir):
     return E.correlation(derived(spark, sf_dir, "logs").groupBy("user_id").agg(F.avg("rating").alias("a"), F.count("*").cast("double").alias("b")), "a", "b")
 
 
-@query("biggest_movers", sql("WITH r AS (SELECT user_id, film_id, ((user_id * 13 + film_id * 7) % 90) + 1 - rank AS change FROM simrank WHERE rank IS NOT NULL) SELECT * FROM (SELECT 'improved' AS direction, user_id, film_id, change FROM r ORDER BY change, user_id, film_id LIMIT 10) UNION ALL SELECT * FROM (SELECT 'worsened', user_id, film_id, change FROM r ORDER BY change DESC, user_id, film_id LIMIT 10)"))
+@query("biggest_movers", sql("WITH r AS (SELECT user_id, film_id, svd_rank - rank AS change FROM held WHERE rank IS NOT NULL AND svd_rank IS NOT NULL) SELECT * FROM (SELECT 'improved' AS direction, user_id, film_id, change FROM r ORDER BY change, user_id, film_id LIMIT 10) UNION ALL SELECT * FROM (SELECT 'worsened', user_id, film_id, change FROM r ORDER BY change DESC, user_id, film_id LIMIT 10)"))
 def biggest_movers(spark, sf_dir):
-    a = simulated_ranks(spark, sf_dir)
-    return E.movers(a, a.where("rank IS NOT NULL").withColumn("rank", (F.col("user_id") * 13 + F.col("film_id") * 7) % 90 + 1))
+    a = held_out_ranks(spark, sf_dir)
+    return E.movers(a, a.withColumn("rank", F.col("svd_rank")))
 
 
 @query("film_aggregates", sql("SELECT film_id, count(*) AS n, round(avg(rating), 6) AS mean, round(greatest(sum(rating * rating) / count(*) - (sum(rating) / count(*)) * (sum(rating) / count(*)), 0), 6) AS variance, count(*) FILTER (rating >= 3.5) AS positive, count(*) FILTER (rating <= 2.5) AS negative, round((sum(rating) + 20 * any_value(mu)) / (count(*) + 20), 6) AS smoothed FROM logs, (SELECT avg(rating) AS mu FROM logs) WHERE rating IS NOT NULL GROUP BY film_id"))
@@ -211,10 +223,10 @@ def ranker_affinity(spark, sf_dir):
     return E.ranker_affinity(derived(spark, sf_dir, "logs"), derived(spark, sf_dir, "film_entity"))
 
 
-@query("candidate_affinity", sql("SELECT c.user_id, c.film_id, family, round(avg(coalesce(affinity, 0)), 4) AS mean, max(coalesce(affinity, 0)) AS best, min(coalesce(affinity, 0)) AS worst, CAST(coalesce(sum(support), 0) AS BIGINT) AS support, count(affinity) AS matched, round(count(affinity) / count(*), 6) AS matched_fraction FROM popcand c JOIN film_entity USING (film_id) LEFT JOIN raff USING (user_id, family, entity_id) WHERE c.user_id % 10 = 0 GROUP BY c.user_id, c.film_id, family"))
+@query("candidate_affinity", sql("SELECT c.user_id, c.film_id, family, round(CAST(sum(CAST(coalesce(affinity, 0) AS DECIMAL(18, 6))) AS DOUBLE) / count(*), 9) AS mean, max(coalesce(affinity, 0)) AS best, min(coalesce(affinity, 0)) AS worst, CAST(coalesce(sum(support), 0) AS BIGINT) AS support, count(affinity) AS matched, round(count(affinity) / count(*), 6) AS matched_fraction FROM popcand c JOIN film_entity USING (film_id) LEFT JOIN raff USING (user_id, family, entity_id) GROUP BY c.user_id, c.film_id, family"))
 def candidate_affinity(spark, sf_dir):
     logs, entity = derived(spark, sf_dir, "logs"), derived(spark, sf_dir, "film_entity")
-    rows = ranking.popularity_candidates(logs, ranking.popularity(logs), 200).where("user_id % 10 = 0")
+    rows = ranking.popularity_candidates(logs, ranking.popularity(logs), 200)
     return E.candidate_affinity(rows, entity, E.ranker_affinity(logs, entity))
 
 
