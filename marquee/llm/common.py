@@ -82,6 +82,16 @@ def give_back() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
+def giving_back(run):
+    """run(batches) of mapInArrow, with give_back() after its last batch."""
+
+    def wrapped(batches):
+        yield from run(batches)
+        give_back()
+
+    return wrapped
+
+
 def words(text: Column) -> Column:
     """The words of a text; null and blank texts have none."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPACES), lambda w: w != "")
@@ -115,7 +125,7 @@ def _power(base: np.uint64, n: int) -> np.ndarray:
         steps = np.full(max(n, _BLOCK + 1), base)
         steps[0] = 1
         have = np.cumprod(steps, dtype=np.uint64)
-        if n <= 4 * _BLOCK:
+        if n <= _BLOCK + 1:
             _powers[int(base)] = have
     return have[:n]
 

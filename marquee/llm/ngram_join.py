@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marquee.llm.common import block_words, discard, grams, mix, saved, small_batches, text_blocks
+from marquee.llm.common import block_words, discard, giving_back, grams, mix, saved, small_batches, text_blocks
 from marquee.llm.components import components
 
 SHINGLE, THRESHOLD, BUCKETS, SPARE = 5, 0.75, 1 << 16, 256
@@ -187,7 +187,7 @@ def _check(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFram
         texts = texts.join(F.broadcast(ids), "cid", "left_semi")
     left = pairs.join(texts.select(F.col("cid").alias("a"), F.col("text").alias("text_a")), "a")
     both = left.join(texts.select(F.col("cid").alias("b"), F.col("text").alias("text_b")), "b").select("a", "b", "text_a", "text_b")
-    return saved(both.mapInArrow(_verify(k, percent), "a long, b long"))
+    return saved(both.mapInArrow(giving_back(_verify(k, percent)), "a long, b long"))
 
 
 def similar(docs: DataFrame, threshold: float = THRESHOLD, k: int = SHINGLE) -> DataFrame:
@@ -195,20 +195,20 @@ def similar(docs: DataFrame, threshold: float = THRESHOLD, k: int = SHINGLE) ->
     percent = round(threshold * 100)
     small_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    scan = saved(docs.mapInArrow(_scan(k), "doc_id long, n long, cid long, bucket int"))
+    scan = saved(docs.mapInArrow(giving_back(_scan(k)), "doc_id long, n long, cid long, bucket int"))
     counts = np.zeros(BUCKETS, np.int64)
     for r in scan.where("bucket IS NOT NULL").groupBy("bucket").agg(F.sum("n").alias("n")).collect():  # at most BUCKETS rows
         counts[r.bucket] = r.n
     rows = scan.where("bucket IS NULL").drop("bucket")
     classes = rows.where("n > 0 AND doc_id IS NOT NULL").groupBy("cid").agg(F.min("doc_id").alias("class_id"))
 
-    listed = saved(docs.where("doc_id IS NOT NULL").mapInArrow(_prefixes(k, counts, threshold), "token long, cid long, n int, pos int"))
+    listed = saved(docs.where("doc_id IS NOT NULL").mapInArrow(giving_back(_prefixes(k, counts, threshold)), "token long, cid long, n int, pos int"))
     several = listed.groupBy("token").agg(F.count("*").alias("m"), F.max(_index_row(threshold)).alias("any")).where("m > 1 AND any").select("token")
     shared = saved(listed.join(several, "token").groupBy("token", "cid").agg(F.first("n").alias("n"), F.first("pos").alias("pos")))
     discard(listed)
     shared = saved(_distinct_groups(shared))
     involved = shared.select("cid").distinct().join(classes, "cid").select("cid", F.col("class_id").alias("doc_id"))
-    texts = saved(docs.join(involved, "doc_id").select("cid", "text").mapInArrow(_own(k), "cid long, text string"))
+    texts = saved(docs.join(involved, "doc_id").select("cid", "text").mapInArrow(giving_back(_own(k)), "cid long, text string"))
     stars = _stars(shared, texts, threshold, k)
 
     out = rows.join(classes, "cid", "left").join(stars, F.col("cid") == F.col("node"), "left")

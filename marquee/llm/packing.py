@@ -33,9 +33,9 @@ if TYPE_CHECKING:
 
 CAPACITY, SLACK, FAN_IN, ITEMS = 4096, 16, 8, 200_000
 #: Word parts that a worker remembers, about 40 bytes each.
-REMEMBERED = 400_000
+REMEMBERED = 250_000
 #: Bytes of text that are encoded at once (and one text at least).
-TEXT_AT_ONCE = 2_500_000
+TEXT_AT_ONCE = 1_500_000
 #: Pieces that are packed at once within a partition.
 AT_ONCE = 200_000
 #: Latin letters and then marks: the tokenizer splits such a chunk between the two, and lower case is all it changes.

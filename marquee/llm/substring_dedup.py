@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marquee.llm.common import block_words, grams, mix, saved, small_batches, text_blocks
+from marquee.llm.common import block_words, giving_back, grams, mix, saved, small_batches, text_blocks
 
 GRAM = 5
 _SECOND = np.uint64(0xA0761D6478BD642F)
@@ -129,7 +129,7 @@ def remove_repeats(docs: DataFrame, length: int = 13, k: int = GRAM) -> DataFram
     small_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     seen = docs.where("doc_id IS NOT NULL")
-    spans = seen.mapInArrow(_spans(length, k), "anchor long, span long, doc_id long")
+    spans = seen.mapInArrow(giving_back(_spans(length, k)), "anchor long, span long, doc_id long")
     ends = [f(c).alias(f"{n}_{c}") for c in ("doc_id", "span") for n, f in (("lo", F.min), ("hi", F.max))]
     seeds = spans.groupBy("anchor").agg(*ends).where("lo_doc_id < hi_doc_id").select("anchor", (F.col("lo_span") < F.col("hi_span")).alias("differ"))
     seeded = saved(spans.join(seeds, "anchor").select("anchor", "span", "differ", "doc_id"))
@@ -137,12 +137,12 @@ def remove_repeats(docs: DataFrame, length: int = 13, k: int = GRAM) -> DataFram
     firsts = seeded.groupBy("anchor", "span").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.max("differ").alias("differ"))
     whole = seeded.join(firsts.where("lo < hi").select("anchor", "span", "lo"), ["anchor", "span"]).where("doc_id > lo").select("doc_id", "span")
     open_ = firsts.where("differ").groupBy(F.col("lo").alias("doc_id")).agg(F.collect_list("span").alias("spans"))
-    windows = saved(seen.join(open_, "doc_id").mapInArrow(_seeded(length, k), "one long, two long, doc_id long"))
+    windows = saved(seen.join(open_, "doc_id").mapInArrow(giving_back(_seeded(length, k)), "one long, two long, doc_id long"))
     least = windows.groupBy("one", "two").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("one", "two", "lo")
     parts = windows.join(least, ["one", "two"]).where("doc_id > lo").select("doc_id", F.lit(None).cast("long").alias("span"), F.struct("one", "two").alias("window"))
     found = whole.withColumn("window", F.lit(None).cast("struct<one:bigint,two:bigint>")).unionByName(parts)
     found = found.groupBy("doc_id").agg(F.collect_set("span").alias("spans"), F.collect_set("window").alias("windows"))
-    return docs.join(found, "doc_id", "left").mapInArrow(_cut(length, k), "doc_id long, n_words long, n_removed long, kept_text string, removed_spans array<long>")
+    return docs.join(found, "doc_id", "left").mapInArrow(giving_back(_cut(length, k)), "doc_id long, n_words long, n_removed long, kept_text string, removed_spans array<long>")
 
 
 def digest(result: DataFrame) -> DataFrame:
