@@ -40,7 +40,12 @@ def pending_matches(pending: DataFrame, arrivals: DataFrame, wait: str) -> DataF
 
 
 def _folder(spark: SparkSession) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="marquee-stream-")
+    """A new folder under spark.checkpoint.dir; where that is unset, a temporary one will do in local mode only."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = tempfile.mkdtemp(prefix="marquee-stream-")
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
 
