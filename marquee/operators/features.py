@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from marquee.operators.evaluation import metrics
 from marquee.operators.ranking import rrf_score
 from marquee.operators.vectors import dot
 
@@ -138,3 +139,22 @@ def target_scores(profiles: DataFrame, targets: DataFrame, vectors: DataFrame) -
     """user_id, film_id and the inner product of a target's vector with its user's; null without either."""
     rows = targets.select("user_id", "film_id").join(profiles.select("user_id", F.col("vec").alias("u")), "user_id", "left").join(vectors.select("film_id", F.col("vec").alias("v")), "film_id", "left")
     return rows.select("user_id", "film_id", F.round(dot(F.col("u"), F.col("v")), 6).alias("score"))
+
+
+def semantic_recall(targets: DataFrame, scopes: dict[str, Column], candidates: DataFrame, shelves: DataFrame) -> DataFrame:
+    """key, ranking metrics, retrieved, recommended and both recalls of each shelf over the targets in its scope.
+
+    targets(user_id, film_id, ...) has the columns of the scopes, of which null counts as false; shelves(key, user_id, film_id, rank).
+    A target that its shelf doesn't hold counts as zero in the metrics.
+    """
+    keys = F.filter(F.array(*(F.when(c, F.lit(k)) for k, c in scopes.items())), lambda k: k.isNotNull())
+    rows = targets.select("user_id", "film_id", F.explode(keys).alias("key")).join(shelves, ["key", "user_id", "film_id"], "left")
+    rows = rows.join(candidates.select("user_id", "film_id", F.lit(True).alias("got")), ["user_id", "film_id"], "left")
+    n = F.count("*")
+    found = rows.groupBy("key").agg(F.count("got").alias("retrieved"), F.count("rank").alias("recommended"), F.round(F.count("got") / n, 6).alias("candidate_recall"), F.round(F.count("rank") / n, 6).alias("category_recall"))
+    return metrics(rows, ["key"]).join(found, "key")
+
+
+def variant_report(shelves: DataFrame) -> DataFrame:
+    """variant, key, users, slots, films and the share of HEAD films of shelves(variant, key, user_id, film_id, head)."""
+    return shelves.groupBy("variant", "key").agg(F.count_distinct("user_id").alias("users"), F.count("*").alias("slots"), F.count_distinct("film_id").alias("films"), F.round(F.avg(F.col("head").cast("double")), 6).alias("head_share"))

@@ -7,6 +7,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from marquee.sources.work import saved
+
 STRATEGIES = ("mean", "positive_mean", "signed", "centered", "positive_weighted")
 
 
@@ -100,41 +102,65 @@ def exact_top_k(queries: DataFrame, items: DataFrame, depth: int, exclude: DataF
 def truncated_svd(logs: DataFrame, rank: int = 32, oversample: int = 10, iterations: int = 4, seed: int = 42) -> DataFrame:
     """film_id and vec (array<double>, unit length): item factors of the user by film matrix of ratings, missing as zero.
 
-    Randomized subspace iteration. The block of films x (rank + oversample) numbers is on the driver and sent to the
-    tasks, so this suits film counts up to a few million; the ratings stay distributed and each pass is one job.
+    Randomized subspace iteration. The block of rank + oversample numbers a film is a table: a pass joins it with the ratings,
+    sums by user, joins the sums again and sums by film. Only a square matrix of rank + oversample comes to the driver.
+    Each pass is written to the shared folder, where its lineage ends.
     """
-    rated = logs.where("rating IS NOT NULL").groupBy("user_id", "film_id").agg(F.max("rating").alias("rating"))
-    ids = np.array(sorted(r.film_id for r in rated.select("film_id").distinct().collect()))
-    users = rated.groupBy("user_id").agg(F.collect_list(F.struct("film_id", "rating")).alias("r")).cache()
-    wide = min(rank + oversample, len(ids))
-
-    def gram(block: np.ndarray) -> np.ndarray:
-        """A' A block, summed over partitions of users."""
-        sent = users.sparkSession.sparkContext.broadcast((ids, block))
-
-        def run(batches):
-            at, b = sent.value
-            total = np.zeros_like(b)
-            for batch in batches:
-                for row in batch.column("r"):
-                    i = np.searchsorted(at, row.values.field("film_id").to_numpy())
-                    v = row.values.field("rating").to_numpy()
-                    total[i] += np.outer(v, v @ b[i])
-            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["sum"])
-
-        out = np.zeros_like(block)
-        for row in users.mapInArrow(run, "sum binary").toLocalIterator():
-            out += np.frombuffer(row["sum"]).reshape(out.shape)
-        return out
-
-    q = np.linalg.qr(np.random.default_rng(seed).standard_normal((len(ids), wide)))[0]
-    for _ in range(iterations):
-        q = np.linalg.qr(gram(q))[0]
-    values, vectors = np.linalg.eigh(q.T @ gram(q))
-    users.unpersist()
-    keep = np.argsort(-values)[: min(rank, len(ids))]
-    factors = q @ vectors[:, keep]
-    length = np.linalg.norm(factors, axis=1, keepdims=True)
-    factors = factors / np.where(length > 1e-12, length, 1)
-    rows = pa.table({"film_id": pa.array(ids.astype(np.int64)), "vec": pa.array(factors.tolist(), pa.list_(pa.float64()))})
-    return logs.sparkSession.createDataFrame(rows)
+    rated = saved(logs.where("rating IS NOT NULL").groupBy("user_id", "film_id").agg(F.max("rating").alias("rating")))
+    films = rated.select("film_id").distinct()
+    wide = min(rank + oversample, films.count())
+    block = saved(films.select("film_id", *((F.xxhash64(F.lit(seed), F.lit(i), "film_id") / float(2**63)).alias(f"q{i}") for i in range(wide))))
+
+    def by_user(b: DataFrame) -> DataFrame:
+        return rated.join(b, "film_id").groupBy("user_id").agg(*(F.sum(F.col("rating") * F.col(c)).alias(c) for c in b.columns[1:]))
+
+    for i in range(iterations):
+        sums = by_user(block)
+        block = saved(rated.join(sums, "user_id").groupBy("film_id").agg(*(F.sum(F.col("rating") * F.col(c)).alias(c) for c in sums.columns[1:])))
+        for _ in range(2 if i == iterations - 1 else 1):  # twice: rounding of the first time matters for the result
+            values, turn = np.linalg.eigh(_gram(block))
+            keep = values > max(values[-1], 0) * 1e-13
+            block = saved(_turned(block, turn[:, keep] / np.sqrt(values[keep])))
+    values, turn = np.linalg.eigh(_gram(by_user(block)))
+    return _unit_rows(_turned(block, turn[:, np.argsort(-values)[:rank]]))
+
+
+def _matrix(batch: pa.RecordBatch) -> np.ndarray:
+    """All columns but the first."""
+    return np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns[1:]])
+
+
+def _gram(block: DataFrame) -> np.ndarray:
+    """The products of all pairs of columns but the first, summed over rows; each partition sends one small matrix."""
+    n = len(block.columns) - 1
+
+    def run(batches):
+        total = np.zeros((n, n))
+        for batch in batches:
+            m = _matrix(batch)
+            total += m.T @ m
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(n * n)), pa.array(total.ravel())], ["cell", "value"])
+
+    out = np.zeros(n * n)
+    for row in block.mapInArrow(run, "cell bigint, value double").groupBy("cell").agg(F.sum("value").alias("value")).collect():  # n * n rows
+        out[row.cell] = row.value
+    return out.reshape(n, n)
+
+
+def _turned(block: DataFrame, matrix: np.ndarray) -> DataFrame:
+    """block times matrix, with the first column kept."""
+    names = [f"q{i}" for i in range(matrix.shape[1])]
+
+    def run(batches):
+        for batch in batches:
+            m = _matrix(batch) @ matrix
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(m[:, i]) for i in range(m.shape[1]))], ["film_id", *names])
+
+    return block.mapInArrow(run, ", ".join([f"film_id {block.dtypes[0][1]}", *(f"{n} double" for n in names)]))
+
+
+def _unit_rows(block: DataFrame) -> DataFrame:
+    """film_id and vec: the other columns as an array of unit length; a zero row stays zero."""
+    vec = F.array(*block.columns[1:])
+    length = F.sqrt(F.aggregate("vec", F.lit(0.0), lambda s, x: s + x * x))
+    return block.select(F.col("film_id").cast("bigint").alias("film_id"), vec.alias("vec")).withColumn("length", length).select("film_id", F.when(F.col("length") > 1e-12, F.transform("vec", lambda x: x / F.col("length"))).otherwise(F.col("vec")).alias("vec"))

@@ -1,6 +1,6 @@
 """Every registered query of the library itself."""
 
-from marquee.plans import core, evaluation, features, ingest
+from marquee.plans import core, evaluation, features, ingest, training
 from marquee.plans.registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "core", "evaluation", "features", "ingest"]
+__all__ = ["ORACLES", "QUERIES", "core", "evaluation", "features", "ingest", "training"]

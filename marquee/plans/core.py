@@ -61,20 +61,21 @@ def sql(text: str) -> str:
     return oracle(f"WITH {heads}, {body[5:]}" if body[:5].upper() == "WITH " else f"WITH {heads} {body}")
 
 
-def inventory(spark: SparkSession, sf_dir: str, depth: int = DEPTH) -> DataFrame:
-    """Every user's fused candidates with strata."""
-    logs, items = derived(spark, sf_dir, "logs"), derived(spark, sf_dir, "item_vectors")
+def inventory(spark: SparkSession, sf_dir: str, depth: int = DEPTH, logs: DataFrame | None = None) -> DataFrame:
+    """Every user's fused candidates with strata, from all logs or those given."""
+    logs, items = derived(spark, sf_dir, "logs") if logs is None else logs, derived(spark, sf_dir, "item_vectors")
     popular = ranking.popularity(logs)
     svd = vectors.exact_top_k(vectors.user_profiles(logs, items), items, depth, logs)
     both = ranking.union_sources(svd, ranking.popularity_candidates(logs, popular, depth))
     return ranking.fused(both).join(ranking.with_strata(popular).select("film_id", "stratum"), "film_id")
 
 
-def parts(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    """The inputs of the shelves."""
-    logs, entity, items = (derived(spark, sf_dir, n) for n in ("logs", "film_entity", "item_vectors"))
+def parts(spark: SparkSession, sf_dir: str, logs: DataFrame | None = None) -> dict[str, DataFrame]:
+    """The inputs of the shelves, from all logs or those given."""
+    logs = derived(spark, sf_dir, "logs") if logs is None else logs
+    entity, items = (derived(spark, sf_dir, n) for n in ("film_entity", "item_vectors"))
     prefs = preferences.entity_preferences(logs, entity)
-    ranked = inventory(spark, sf_dir).persist()  # ten shelves read it
+    ranked = inventory(spark, sf_dir, logs=logs).persist()  # ten shelves read it
     return {"ranked": ranked, "users": preferences.profiles(logs, items), "preferences": prefs, "anchor_rows": preferences.anchors(logs, items), "film_entity": entity, "films": derived(spark, sf_dir, "films"), "vectors": items}
 
 
@@ -235,19 +236,19 @@ SHELF_SQL = {
 }
 
 
-def shelf_of(key: str, p: dict[str, DataFrame]) -> DataFrame:
-    good = preferences.qualified(p["preferences"], POLICY)
+def shelf_of(key: str, p: dict[str, DataFrame], policy: Policy = POLICY) -> DataFrame:
+    good = preferences.qualified(p["preferences"], policy)
     make = {
-        "top_picks": lambda: shelves.top_picks(p["ranked"], POLICY),
-        "hidden_gems": lambda: shelves.hidden_gems(p["ranked"], p["users"], POLICY),
-        "national_cinema": lambda: shelves.national_cinema(p["ranked"], p["film_entity"], POLICY),
-        "because_you_liked": lambda: shelves.because_you_liked(p["ranked"], p["anchor_rows"], p["vectors"], p["films"], POLICY),
-        "directors_you_love": lambda: shelves.directors_you_love(p["ranked"], p["film_entity"], good, POLICY),
-        "favorite_genre": lambda: shelves.favorite(p["ranked"], p["film_entity"], good, "genre", POLICY),
-        "favorite_decade": lambda: shelves.favorite(p["ranked"], p["film_entity"], good, "decade", POLICY),
-        "outside_usual": lambda: shelves.outside_usual(p["ranked"], p["users"], p["film_entity"], p["preferences"], POLICY),
-        "classic_cinema": lambda: shelves.classic_cinema(p["ranked"], p["films"], POLICY),
-        "world_cinema": lambda: shelves.world_cinema(p["ranked"], p["film_entity"], good, POLICY),
+        "top_picks": lambda: shelves.top_picks(p["ranked"], policy),
+        "hidden_gems": lambda: shelves.hidden_gems(p["ranked"], p["users"], policy),
+        "national_cinema": lambda: shelves.national_cinema(p["ranked"], p["film_entity"], policy),
+        "because_you_liked": lambda: shelves.because_you_liked(p["ranked"], p["anchor_rows"], p["vectors"], p["films"], policy),
+        "directors_you_love": lambda: shelves.directors_you_love(p["ranked"], p["film_entity"], good, policy),
+        "favorite_genre": lambda: shelves.favorite(p["ranked"], p["film_entity"], good, "genre", policy),
+        "favorite_decade": lambda: shelves.favorite(p["ranked"], p["film_entity"], good, "decade", policy),
+        "outside_usual": lambda: shelves.outside_usual(p["ranked"], p["users"], p["film_entity"], p["preferences"], policy),
+        "classic_cinema": lambda: shelves.classic_cinema(p["ranked"], p["films"], policy),
+        "world_cinema": lambda: shelves.world_cinema(p["ranked"], p["film_entity"], good, policy),
     }
     return make[key]()
 

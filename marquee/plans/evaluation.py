@@ -33,9 +33,9 @@ def strata(spark, sf_dir):
     return ranking.with_strata(ranking.popularity(derived(spark, sf_dir, "logs")))
 
 
-def candidates_of_context(spark, sf_dir):
-    """Every user's candidates of both sources, from the context rows of the split alone."""
-    logs, items = split(spark, sf_dir).where("role = 'context'"), derived(spark, sf_dir, "item_vectors")
+def candidates_of_context(spark, sf_dir, context=None):
+    """Every user's candidates of both sources, from the context rows of the split alone or from those given."""
+    logs, items = split(spark, sf_dir).where("role = 'context'") if context is None else context, derived(spark, sf_dir, "item_vectors")
     svd = vectors.exact_top_k(vectors.user_profiles(logs, items), items, DEPTH, logs)
     return ranking.union_sources(svd, ranking.popularity_candidates(logs, ranking.popularity(logs), DEPTH))
 
@@ -81,14 +81,20 @@ def _open_candidates(spark, sf_dir):
     return rows.unionByName(extra)
 
 
+def sampled_sql(cap: int) -> str:
+    """The tables up to sampled, of candidates c(user_id, film_id, membership, popularity_rank) and labels l(user_id, film_id, label)."""
+    steps = ", ".join(
+        f"""s{i + 2} AS (SELECT * REPLACE (CASE WHEN tb IS NULL AND coalesce({cond}, false) AND row_number() OVER (PARTITION BY user_id, tb IS NULL AND coalesce({cond}, false) ORDER BY h) <= floor(room * {share}) THEN '{name}' ELSE tb END AS tb) FROM s{i + 1})"""
+        for i, (name, share, cond) in enumerate((("both", 0.25, "membership = 'both'"), ("svd_only", 0.25, "membership = 'svd_only'"), ("popularity_only", 0.20, "membership = 'popularity_only'"), ("top", 0.125, "popularity_rank <= 500"), ("middle", 0.10, "popularity_rank BETWEEN 501 AND 2000")))
+    )
+    return f"""s0 AS (SELECT c.*, coalesce(label, 0) AS label, {_KEY.replace('user_id', 'c.user_id').replace('film_id', 'c.film_id')} AS h, CASE WHEN label > 0 THEN 'positive' END AS tb FROM c LEFT JOIN l USING (user_id, film_id)),
+    s1 AS (SELECT *, {cap} - count(*) FILTER (tb = 'positive') OVER (PARTITION BY user_id) AS room FROM s0), {steps},
+    s7 AS (SELECT *, count(tb) OVER (PARTITION BY user_id) AS have, row_number() OVER (PARTITION BY user_id, tb IS NULL ORDER BY h) AS p FROM s6),
+    sampled AS (SELECT user_id, film_id, label, coalesce(tb, 'fill') AS taken_by FROM s7 WHERE tb IS NOT NULL OR p <= {cap} - have)"""
+
+
 @query("negative_sample", sql(f"""WITH c AS (SELECT user_id, film_id, membership, popularity_rank FROM cand UNION ALL SELECT user_id, film_id, 'both', 5 FROM split WHERE role <> 'context'),
-    l AS (SELECT user_id, film_id, 2 AS label FROM split WHERE role <> 'context'),
-    s0 AS (SELECT c.*, coalesce(label, 0) AS label, {_KEY.replace('user_id', 'c.user_id').replace('film_id', 'c.film_id')} AS h, CASE WHEN label > 0 THEN 'positive' END AS tb FROM c LEFT JOIN l USING (user_id, film_id)),
-    s1 AS (SELECT *, 100 - count(*) FILTER (tb = 'positive') OVER (PARTITION BY user_id) AS room FROM s0),
-    """ + ", ".join(f"""s{i + 2} AS (SELECT * REPLACE (CASE WHEN tb IS NULL AND coalesce({cond}, false) AND row_number() OVER (PARTITION BY user_id, tb IS NULL AND coalesce({cond}, false) ORDER BY h) <= floor(room * {share}) THEN '{name}' ELSE tb END AS tb) FROM s{i + 1})"""
-    for i, (name, share, cond) in enumerate((("both", 0.25, "membership = 'both'"), ("svd_only", 0.25, "membership = 'svd_only'"), ("popularity_only", 0.20, "membership = 'popularity_only'"), ("top", 0.125, "popularity_rank <= 500"), ("middle", 0.10, "popularity_rank BETWEEN 501 AND 2000"))))
-    + """, s7 AS (SELECT *, count(tb) OVER (PARTITION BY user_id) AS have, row_number() OVER (PARTITION BY user_id, tb IS NULL ORDER BY h) AS p FROM s6)
-    SELECT user_id, film_id, label, coalesce(tb, 'fill') AS taken_by FROM s7 WHERE tb IS NOT NULL OR p <= 100 - have"""))
+    l AS (SELECT user_id, film_id, 2 AS label FROM split WHERE role <> 'context'), {sampled_sql(100)} SELECT * FROM sampled"""))
 def negative_sample(spark, sf_dir):
     return E.sampled_groups(_open_candidates(spark, sf_dir), _labels(spark, sf_dir), 100)
 

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from marquee.sources.work import folder, remove, versions
+
 
 def windowed(events: DataFrame, length: str, slide: str | None = None, late: str = "1 day") -> DataFrame:
     """start, end, event_type, n, total over tumbling or sliding windows of ts."""
@@ -39,14 +39,39 @@ def pending_matches(pending: DataFrame, arrivals: DataFrame, wait: str) -> DataF
     return p.join(a.withColumnRenamed("slug", "slug2"), F.expr(f"slug = slug2 AND arrived_at BETWEEN ts AND ts + INTERVAL {wait}"), "leftOuter").drop("slug2")
 
 
-def _folder(spark: SparkSession) -> str:
-    """A new folder under spark.checkpoint.dir; where that is unset, a temporary one will do in local mode only."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        base = tempfile.mkdtemp(prefix="marquee-stream-")
-    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+def task_states(events: DataFrame, terminal: list[str]) -> DataFrame:
+    """user_id, state, terminal, n of tasks: the first terminal state by event_id if any, which later events don't change, else the last state."""
+    final = F.col("event_type").isin(*terminal)
+    first = F.min_by(F.when(final, F.col("event_type")), F.when(final, F.col("event_id")))
+    out = events.groupBy("user_id").agg(first.alias("f"), F.max_by("event_type", "event_id").alias("l"), F.count("*").alias("n"))
+    return out.select("user_id", F.coalesce("f", "l").alias("state"), F.col("f").isNotNull().alias("terminal"), "n")
+
+
+def sync_requests(events: DataFrame, within: int = 900) -> DataFrame:
+    """event_id, user_id, reused of a stream or table of requests(event_id, user_id, ts, forced, failed), in order of (ts, event_id).
+
+    A request is reused if it isn't forced and the user's last run that didn't fail began at most within seconds before. Runs that
+    failed are never reused. The state is one time a user; a user's requests of one batch are ordered before they are judged.
+    """
+
+    def judge(key, frames, state):
+        import pandas as pd
+
+        last = state.get[0] if state.exists else None
+        rows = pd.concat(list(frames)).sort_values(["ts", "event_id"])
+        out = []
+        for event, at, forced, failed in zip(rows["event_id"], rows["ts"].astype("int64") // 10**3, rows["forced"], rows["failed"], strict=True):
+            reused = bool(not forced and last is not None and at - last <= within * 10**6)
+            if not reused and not failed:
+                last = int(at)
+            out.append((event, key[0], reused))
+        if last is not None:
+            state.update((last,))
+        yield pd.DataFrame(out, columns=["event_id", "user_id", "reused"])
+
+    # Times as microseconds, whatever unit a frame's times have.
+    rows = events.select("event_id", "user_id", F.unix_micros("ts").alias("ts"), "forced", "failed")
+    return rows.groupBy("user_id").applyInPandasWithState(judge, "event_id bigint, user_id bigint, reused boolean", "last bigint", "append", "NoTimeout")
 
 
 def _source(spark: SparkSession, path: str) -> DataFrame:
@@ -57,29 +82,40 @@ def _source(spark: SparkSession, path: str) -> DataFrame:
 
 
 def drained(spark: SparkSession, path: str, job: Callable[[DataFrame], DataFrame], mode: str) -> DataFrame:
-    """Runs a job over all that is at path now and returns its rows. A complete result keeps its last version only."""
-    out, check = _folder(spark), _folder(spark)
+    """Runs a job over all that is at path now and returns its rows: of a complete result its last version.
+
+    A batch is a table named by its number, so one that comes again replaces itself.
+    """
+    out, check = folder(spark), folder(spark)
     frame = job(_source(spark, path))
 
     def put(rows: DataFrame, batch: int) -> None:
-        rows.write.mode("overwrite" if mode == "complete" else "append").parquet(out)
+        rows.write.mode("overwrite").parquet(f"{out}/{batch}")
 
     frame.writeStream.outputMode(mode).option("checkpointLocation", check).trigger(availableNow=True).foreachBatch(put).start().awaitTermination()
-    return spark.read.schema(frame.schema).parquet(out)
+    done = versions(spark, out)
+    if not done:
+        return spark.createDataFrame([], frame.schema)
+    return spark.read.schema(frame.schema).parquet(*(f"{out}/{n}" for n in (done[-1:] if mode == "complete" else done)))
+
 
+def upsert_stream(spark: SparkSession, path: str, keys: list[str], value: str, order: str, work: str | None = None) -> DataFrame:
+    """keys and value of the last row by order, kept in a table that each batch rewrites under its number.
 
-def upsert_stream(spark: SparkSession, path: str, keys: list[str], value: str, order: str) -> DataFrame:
-    """keys and value of the last row by order, kept in a table that each batch rewrites; a batch that comes again changes nothing."""
-    out, check = _folder(spark), _folder(spark)
-    state = {"at": None}
+    A batch that comes again starts from the table before it and changes nothing. work: the folder of an earlier run to go on from;
+    table and checkpoint lie there, nothing is kept in the driver. The table before the last one stays until the next batch.
+    """
+    work = work or folder(spark)
+    out = f"{work}/table"
+    source = _source(spark, path).select(*keys, value, order)
 
     def put(rows: DataFrame, batch: int) -> None:
-        new = rows.select(*keys, value, order)
-        old = spark.read.parquet(state["at"]) if state["at"] else new.limit(0)
-        to = f"{out}/{batch}"
-        both = old.unionByName(new).groupBy(*keys).agg(F.max_by(value, order).alias(value), F.max(order).alias(order))
-        both.write.mode("overwrite").parquet(to)
-        state["at"] = to
-
-    _source(spark, path).writeStream.option("checkpointLocation", check).trigger(availableNow=True).foreachBatch(put).start().awaitTermination()
-    return spark.read.parquet(state["at"]).drop(order)
+        before = [n for n in versions(spark, out) if n < batch]
+        both = spark.read.schema(source.schema).parquet(f"{out}/{before[-1]}").unionByName(rows) if before else rows
+        both.groupBy(*keys).agg(F.max_by(value, order).alias(value), F.max(order).alias(order)).write.mode("overwrite").parquet(f"{out}/{batch}")
+        for n in before[:-1]:
+            remove(spark, f"{out}/{n}")
+
+    source.writeStream.option("checkpointLocation", f"{work}/checkpoint").trigger(availableNow=True).foreachBatch(put).start().awaitTermination()
+    done = versions(spark, out)
+    return (spark.read.schema(source.schema).parquet(f"{out}/{done[-1]}") if done else spark.createDataFrame([], source.schema)).drop(order)
