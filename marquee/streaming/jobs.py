@@ -60,7 +60,7 @@ def sync_requests(events: DataFrame, within: int = 900) -> DataFrame:
         last = state.get[0] if state.exists else None
         rows = pd.concat(list(frames)).sort_values(["ts", "event_id"])
         out = []
-        for event, at, forced, failed in zip(rows["event_id"], rows["ts"].astype("int64") // 10**3, rows["forced"], rows["failed"], strict=True):
+        for event, at, forced, failed in zip(rows["event_id"], rows["ts"], rows["forced"], rows["failed"], strict=True):
             reused = bool(not forced and last is not None and at - last <= within * 10**6)
             if not reused and not failed:
                 last = int(at)
@@ -69,7 +69,6 @@ def sync_requests(events: DataFrame, within: int = 900) -> DataFrame:
             state.update((last,))
         yield pd.DataFrame(out, columns=["event_id", "user_id", "reused"])
 
-    # Times as microseconds, whatever unit a frame's times have.
     rows = events.select("event_id", "user_id", F.unix_micros("ts").alias("ts"), "forced", "failed")
     return rows.groupBy("user_id").applyInPandasWithState(judge, "event_id bigint, user_id bigint, reused boolean", "last bigint", "append", "NoTimeout")
 
