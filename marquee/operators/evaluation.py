@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marquee.functions import ratings as R
+from marquee.operators.quality import ranged
 
 CUTOFFS = (10, 20, 50)
 
@@ -35,9 +36,12 @@ def folds(split: DataFrame, strata: DataFrame, seed: int = 42, n: int = 5) -> Da
     cuts = users.agg(*(F.percentile("size", F.lit(q)).alias(f"q{i}") for i, q in enumerate((0.25, 0.5, 0.75))))
     rows = users.crossJoin(F.broadcast(cuts)).join(strata.select("film_id", "stratum"), "film_id")
     rows = rows.withColumn("depth", R.quantile_bucket(F.col("size"), [F.col(f"q{i}") for i in range(3)]))
-    place = F.row_number().over(Window.partitionBy("depth", "stratum").orderBy(order_key(seed, "user_id")))
+    # There are twelve groups at most, so places come from one order of all rows less each group's first number.
+    rows = ranged(rows.select("user_id", "depth", "stratum", order_key(seed, "user_id").alias("h")), ["depth", "stratum", "h"], "number")
+    first = rows.groupBy("depth", "stratum").agg(F.min("number").alias("first"))
+    rows = rows.join(F.broadcast(first), ["depth", "stratum"])
     offset = F.when(F.col("stratum") == "HEAD", 0).when(F.col("stratum") == "MID", 1).otherwise(2) + F.col("depth")
-    return rows.select("user_id", "depth", "stratum", F.pmod(place + offset, F.lit(n)).cast("int").alias("fold"))
+    return rows.select("user_id", "depth", "stratum", F.pmod(F.col("number") - F.col("first") + 1 + offset, F.lit(n)).cast("int").alias("fold"))
 
 
 def partitions(fold_rows: DataFrame, fold: int, n: int = 5) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marquee.functions.cleaning import title_key
-from marquee.operators.quality import first_by
+from marquee.operators.quality import first_by, ranged
 
 
 def resolve(rows: DataFrame, mapping: DataFrame, key: str) -> DataFrame:
@@ -22,13 +22,8 @@ def new_identities(names: DataFrame, known: DataFrame, name: str = "name", id_:
     """name and id of names that aren't known, numbered after the greatest known id in order of name."""
     top = known.agg(F.coalesce(F.max(id_), F.lit(0)).alias("__top"))
     fresh = names.select(name).where(F.col(name).isNotNull()).distinct().join(known.select(name), name, "left_anti")
-    # Names are numbered within their first letters, and the counts of those (a short table) give the offsets.
-    head = F.substring(F.col(name), 1, 2)
-    sizes = fresh.groupBy(head.alias("__h")).agg(F.count("*").alias("__n"))
-    sizes = sizes.select("__h", F.coalesce(F.sum("__n").over(Window.orderBy("__h").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
-    inner = F.row_number().over(Window.partitionBy("__h").orderBy(name))
-    out = fresh.withColumn("__h", head).withColumn("__i", inner).join(sizes, "__h").crossJoin(F.broadcast(top))
-    return out.select(name, (F.col("__top") + F.col("__before") + F.col("__i")).cast("bigint").alias(id_))
+    out = ranged(fresh, [name], "__i").crossJoin(F.broadcast(top))
+    return out.select(name, (F.col("__top") + F.col("__i")).cast("bigint").alias(id_))
 
 
 def exploded_relation(films: DataFrame, list_column: str, entities: DataFrame) -> DataFrame:

@@ -52,9 +52,13 @@ def user_profiles(logs: DataFrame, vectors: DataFrame, strategy: str = "positive
     rated = logs.where("rating IS NOT NULL").join(vectors, "film_id")
     rated = rated.withColumn("user_mean", F.avg("rating").over(Window.partitionBy("user_id"))) if strategy == "centered" else rated
     w, share = profile_weights(strategy)
-    cells = rated.select("user_id", w.alias("w"), share.alias("share"), F.posexplode("vec").alias("d", "x")).where("w <> 0")
-    sums = cells.groupBy("user_id", "d").agg((F.sum(F.col("w") * F.col("x").cast("double")) / F.sum("share")).alias("x"))
-    vec = sums.groupBy("user_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("d", "x"))), lambda s: s["x"]).alias("vec"))
+    first = vectors.select(F.size("vec").alias("n")).first()
+    if first is None:
+        return rated.select("user_id", F.array().cast("array<double>").alias("vec"))  # no rows
+    # One sum a dimension, combined before the shuffle; no row per rating and dimension.
+    weighed = rated.select("user_id", w.alias("w"), share.alias("share"), "vec").where("w <> 0")
+    sums = weighed.groupBy("user_id").agg(F.sum("share").alias("share"), *(F.sum(F.col("w") * F.col("vec")[i].cast("double")).alias(f"s{i}") for i in range(first.n)))
+    vec = sums.select("user_id", F.array(*(F.try_divide(F.col(f"s{i}"), F.col("share")) for i in range(first.n))).alias("vec"))
     return vec.where(norm(F.col("vec")) > 1e-12)
 
 
@@ -62,23 +66,25 @@ def exact_top_k(queries: DataFrame, items: DataFrame, depth: int, exclude: DataF
     """user_id, film_id, svd_score, svd_rank: the depth films of greatest inner product for every row of queries(user_id, vec).
 
     Queries and items meet block by block; each block product keeps its depth best per query, so what is shuffled is
-    queries x blocks x depth rows, and no side is broadcast. exclude(user_id, film_id) is left out before depth counts.
+    queries x blocks x depth rows, and no side is broadcast. exclude(user_id, film_id) is left out before depth counts: each
+    query carries its own excluded films into the blocks. Pairs without a finite score are left out.
     """
 
     def blocked(df: DataFrame, key: str, rows: int, out: str) -> DataFrame:
         n = F.pmod(F.xxhash64(key), F.lit(1 << 30))
         count = max(1, -(-df.count() // rows))
-        packed = df.select(F.pmod(n, F.lit(count)).alias("block"), F.struct(F.col(key).cast("bigint").alias("id"), F.col("vec").cast("array<double>").alias("vec")).alias("row"))
+        others = [F.col(c) for c in df.columns if c not in (key, "vec")]
+        packed = df.select(F.pmod(n, F.lit(count)).alias("block"), F.struct(F.col(key).cast("bigint").alias("id"), F.col("vec").cast("array<double>").alias("vec"), *others).alias("row"))
         return packed.groupBy("block").agg(F.collect_list("row").alias(out)).select(out)
 
     q = queries.select("user_id", "vec")
-    if exclude is not None:
-        seen = exclude.groupBy("user_id").agg(F.collect_set("film_id").alias("seen"))
-        most = seen.agg(F.max(F.size("seen"))).first()[0] or 0
+    if exclude is None:
+        q = q.withColumn("seen", F.array().cast("array<bigint>"))
     else:
-        most = 0
+        seen = exclude.groupBy("user_id").agg(F.collect_set(F.col("film_id").cast("bigint")).alias("seen"))
+        q = q.join(seen, "user_id", "left").withColumn("seen", F.coalesce("seen", F.array().cast("array<bigint>")))
     pairs = blocked(q, "user_id", query_rows, "q").crossJoin(blocked(items.select("film_id", "vec"), "film_id", item_rows, "i"))
-    reach = depth + most
+    never = np.iinfo(np.int64).max
 
     def run(batches):
         for batch in batches:
@@ -87,14 +93,24 @@ def exact_top_k(queries: DataFrame, items: DataFrame, depth: int, exclude: DataF
                 ids_a, ids_b = a.field("id").to_numpy(), b.field("id").to_numpy()
                 x = np.asarray(a.field("vec").flatten()).reshape(len(ids_a), -1)
                 y = np.asarray(b.field("vec").flatten()).reshape(len(ids_b), -1)
-                scores = np.round(x @ y.T, 6)
-                order = np.lexsort((np.broadcast_to(ids_b, scores.shape), -scores), axis=1)[:, :reach]
-                users = np.repeat(ids_a, order.shape[1])
-                yield pa.RecordBatch.from_arrays([pa.array(users), pa.array(ids_b[order].ravel()), pa.array(np.take_along_axis(scores, order, 1).ravel())], ["user_id", "film_id", "svd_score"])
+                by_id = np.argsort(ids_b, kind="stable")
+                ids_b, scores = ids_b[by_id], np.round(x @ y[by_id].T, 6)
+                seen = a.field("seen")
+                owner, film = np.repeat(np.arange(len(ids_a)), seen.value_lengths().to_numpy()), seen.flatten().to_numpy()
+                at = np.minimum(np.searchsorted(ids_b, film), len(ids_b) - 1)
+                known = ids_b[at] == film
+                out = ~np.isfinite(scores)
+                out[owner[known], at[known]] = True
+                # One whole number tells the order: the score in millionths, then the id.
+                order = np.rint(np.where(out, 0, scores) * -1e6).astype(np.int64) * len(ids_b) + np.arange(len(ids_b))
+                order[out] = never
+                k = min(depth, len(ids_b))
+                best = np.argpartition(order, k - 1, axis=1)[:, :k]
+                keep = (np.take_along_axis(order, best, 1) != never).ravel()
+                columns = np.repeat(ids_a, k)[keep], ids_b[best].ravel()[keep], np.take_along_axis(scores, best, 1).ravel()[keep]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["user_id", "film_id", "svd_score"])
 
     best = pairs.mapInArrow(run, "user_id bigint, film_id bigint, svd_score double")
-    if exclude is not None:
-        best = best.join(exclude.select("user_id", "film_id"), ["user_id", "film_id"], "left_anti")
     place = F.row_number().over(Window.partitionBy("user_id").orderBy(F.col("svd_score").desc(), "film_id"))
     return best.withColumn("svd_rank", place.cast("bigint")).where(F.col("svd_rank") <= depth)
 
