@@ -97,9 +97,10 @@ def valid_count(c: Column) -> Column:
 
 
 def refresh_years(day: Column) -> Column:
-    """January: the year before; July: that and this year; other months: an empty array."""
+    """January: the year before; July: that and this year; any other month fails the query."""
     y = F.year(day)
-    return F.when(F.month(day) == 1, F.array(y - 1)).when(F.month(day) == 7, F.array(y - 1, y)).otherwise(F.array().cast("array<int>"))
+    wrong = F.raise_error(F.lit("the catalog is refreshed in January and July only")).cast("array<int>")
+    return F.when(F.month(day) == 1, F.array(y - 1)).when(F.month(day) == 7, F.array(y - 1, y)).otherwise(wrong)
 
 
 def sanitised(c: Column) -> Column:

@@ -178,6 +178,40 @@ def allocation_sweep(ranks: DataFrame, budgets: list[int], ratios: list[float])
     return ranks.crossJoin(F.broadcast(grid)).groupBy("budget", "ratio").agg(F.round(F.avg(F.coalesce(hit, F.lit(False)).cast("double")), 6).alias("recall"))
 
 
+def allocation_report(targets: DataFrame, candidates: DataFrame, strata: DataFrame, budgets: list[int], ratios: list[float]) -> DataFrame:
+    """budget, ratio, recall (all targets and each stratum), films a user, catalog films and mean popularity percentile of every allocation.
+
+    targets(stratum, svd_rank, popularity_rank), candidates(user_id, film_id, svd_rank, popularity_rank). Rows are first counted by
+    their two ranks, at most (depth + 1) squared cells, and films reduced to their best ranks; only these meet the grid.
+    """
+    cells = [(b, r, round(b * r), b - round(b * r)) for b in budgets for r in ratios]
+    grid = F.broadcast(targets.sparkSession.createDataFrame(cells, "budget int, ratio double, svd_depth int, popularity_depth int"))
+    hit = F.coalesce(F.col("svd_rank") <= F.col("svd_depth"), F.lit(False)) | F.coalesce(F.col("popularity_rank") <= F.col("popularity_depth"), F.lit(False))
+    keys, ranks = ["budget", "ratio"], ["svd_rank", "popularity_rank"]
+
+    def share(test: Column) -> Column:
+        return F.round(F.try_divide(F.sum(F.when(test & hit, F.col("n")).otherwise(0)), F.sum(F.when(test, F.col("n")).otherwise(0))), 6)
+
+    found = targets.groupBy("stratum", *ranks).agg(F.count("*").alias("n")).crossJoin(grid).groupBy(*keys)
+    recall = found.agg(share(F.lit(True)).alias("recall"), *(share(F.col("stratum") == s).alias(f"recall_{s.lower()}") for s in ("HEAD", "MID", "TAIL")))
+    users = candidates.agg(F.count_distinct("user_id").alias("users"))
+    rows = candidates.join(strata.select("film_id", F.col("percentile").cast("decimal(18,12)").alias("percentile")), "film_id")
+    counted = rows.groupBy(*ranks).agg(F.count("*").alias("n"), F.sum("percentile").alias("p")).crossJoin(grid).where(hit)
+    sizes = counted.groupBy(*keys).agg(F.sum("n").alias("n"), F.sum("p").alias("p")).crossJoin(F.broadcast(users))
+    sizes = sizes.select(*keys, F.round(F.col("n") / F.col("users"), 6).alias("mean_size"), F.round(F.col("p").cast("double") / F.col("n"), 6).alias("mean_percentile"))
+    best = rows.groupBy("film_id").agg(*(F.min(c).alias(c) for c in ranks)).crossJoin(grid).where(hit).groupBy(*keys).agg(F.count("*").alias("films"))
+    return recall.join(sizes, keys, "left").join(best, keys, "left")
+
+
+def recommended_sources(sweep: DataFrame, budget: DataFrame) -> DataFrame:
+    """One row: the chosen budget with its best ratio (the least of equal ones), depths and expected recall."""
+    rows = sweep.join(F.broadcast(budget), "budget")
+    best = F.max_by(F.struct("ratio", "recall"), F.struct("recall", -F.col("ratio")))
+    picked = rows.groupBy("budget").agg(best.alias("b")).select("budget", "b.ratio", "b.recall")
+    depth = F.round(F.col("budget") * F.col("ratio")).cast("bigint")
+    return picked.select("budget", "ratio", depth.alias("svd_depth"), (F.col("budget") - depth).alias("popularity_depth"), "recall")
+
+
 def near_winners(sweep: DataFrame, tolerance: float = 0.005) -> DataFrame:
     """Each budget's configurations within tolerance of its best recall; edge tells the least and greatest ratio."""
     w = Window.partitionBy("budget")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from marquee.functions.cleaning import title_key
+from marquee.functions.cleaning import parse_rating, safe_string, title_key
 from marquee.operators.quality import first_by, ranged
 
 
@@ -51,6 +51,30 @@ def watched_with_ratings(watched: DataFrame, ratings: DataFrame) -> DataFrame:
     return watched.join(ratings, [c for c in watched.columns if c in ratings.columns], "left")
 
 
+def valid_watches(rows: DataFrame) -> DataFrame:
+    """rows(username, slug, rating text, ...) with a slug; a rating that isn't valid makes the film unrated."""
+    out = rows.withColumn("slug", safe_string(F.col("slug"))).where("slug IS NOT NULL")
+    return out.withColumn("rating", parse_rating(F.col("rating")))
+
+
+def in_catalog(rows: DataFrame, films: DataFrame, key: str = "film_id") -> DataFrame:
+    """The rows whose film is in the catalog."""
+    return rows.join(films.select(key), key, "left_semi")
+
+
+def of_years(films: DataFrame, years: DataFrame, unknown: bool = True) -> DataFrame:
+    """Films of years(year), and those of no known year."""
+    hits = films.join(years.select("year").where("year IS NOT NULL"), "year", "left_semi").select(films.columns)
+    return hits.unionByName(films.where("year IS NULL")) if unknown else hits
+
+
+def first_seen(rows: DataFrame, keys: list[str], identity: list[str], order: str) -> DataFrame:
+    """keys, the identity of each key's first row by order, and whether its rows disagree on it."""
+    whole = F.struct(*identity)
+    out = rows.groupBy(*keys).agg(F.min_by(whole, order).alias("__i"), (F.count_distinct(whole) > 1).alias("conflict"))
+    return out.select(*keys, *(F.col("__i")[c].alias(c) for c in identity), "conflict")
+
+
 def promote_pending(pending: DataFrame, users: DataFrame, logs: DataFrame, processed: DataFrame) -> DataFrame:
     """id, user_id, film_id, rating, action of pending(id, username, slug, rating) whose film has been processed(slug, film_id).
 

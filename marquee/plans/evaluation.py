@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from marquee.operators import evaluation as E
 from marquee.operators import quality, ranking, vectors
 from marquee.plans.core import DEPTH, ORACLE, candidate_union, inventory, sql
-from marquee.plans.registry import query
+from marquee.plans.registry import ORACLES, query
 from marquee.sources.bridge import derived
 
 _KEY = "md5(concat_ws(':', '42', CAST(user_id AS VARCHAR), CAST(film_id AS VARCHAR)))"
@@ -59,7 +59,7 @@ def user_folds(spark, sf_dir):
     return E.folds(split(spark, sf_dir), strata(spark, sf_dir))
 
 
-@query("fold_partitions")
+@query("fold_partitions", f"SELECT user_id, CASE fold WHEN 0 THEN 'test' WHEN 1 THEN 'validation' ELSE 'train' END AS partition FROM ({ORACLES['user_folds']})")
 def fold_partitions(spark, sf_dir):
     return E.partitions(user_folds(spark, sf_dir), 0)
 

@@ -112,7 +112,11 @@ def pending_promotion(spark, sf_dir):
     return identity.promote_pending(pending, users, derived(spark, sf_dir, "logs"), processed)
 
 
-@query("profile_reconciliation")
+@query("profile_reconciliation", oracle("""SELECT CAST(a.user_id AS VARCHAR) AS username, a.user_id, CAST(a.film_id AS VARCHAR) AS slug, p_partkey AS film_id, a.rating,
+    CASE WHEN p_partkey IS NOT NULL AND l.user_id IS NULL THEN 'insert' WHEN p_partkey IS NOT NULL AND l.rating IS DISTINCT FROM a.rating THEN 'update' WHEN p_partkey IS NOT NULL THEN 'keep'
+        WHEN a.film_id >= 2000 OR a.film_id % 10 <> 0 THEN 'enqueue' WHEN a.film_id % 20 <> 0 THEN 'terminal' WHEN a.user_id % 7 = 0 AND a.rating IS DISTINCT FROM 3.0 THEN 'refresh' ELSE 'wait' END AS action
+    FROM (SELECT * FROM raw_logs QUALIFY row_number() OVER (PARTITION BY user_id, film_id ORDER BY seq DESC, source DESC, price DESC) = 1) a
+    LEFT JOIN (SELECT p_partkey FROM part WHERE p_partkey % 5 <> 0) ON p_partkey = a.film_id LEFT JOIN logs l ON l.user_id = a.user_id AND l.film_id = a.film_id AND l.user_id % 2 = 0"""))
 def profile_reconciliation(spark, sf_dir):
     raw = derived(spark, sf_dir, "raw_logs")
     profile = raw.select(F.col("user_id").cast("string").alias("username"), "user_id", F.col("film_id").cast("string").alias("slug"), "rating", F.struct("seq", "source", "price").alias("seq"))

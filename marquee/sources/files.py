@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from marquee.functions import cleaning as C
 from marquee.functions.ratings import bucket
 from marquee.operators.quality import DataError, conflict_checked, first_by, gate
+from marquee.operators.vectors import vector_audit
 
 LISTS = ("directors", "actors", "genres", "countries", "languages", "studios", "themes")
 SCALARS = {"title": C.safe_string, "original_title": C.safe_string, "synopsis": C.safe_string, "tagline": C.safe_string, "slug": C.safe_string, "tmdb_id": C.safe_int, "year": C.parse_year, "runtime": C.safe_int, "total_logs": C.safe_int, "avg_rating": C.safe_double}
@@ -79,6 +80,25 @@ def read_popularity(spark: SparkSession, path: str) -> DataFrame:
     return rows
 
 
+def append_interactions(rows: DataFrame, path: str) -> None:
+    """Appends resolved rows in one job, whose files appear together or not at all; a row without a user or film, or a pair given twice, fails it before."""
+    gate(rows.where("user_id IS NULL OR film_id IS NULL"), "an interaction has no user or film")
+    gate(rows.groupBy("user_id", "film_id").count().where("count > 1"), "an interaction is given twice")
+    rows.select("user_id", "film_id", "rating").write.mode("append").parquet(path)
+
+
+def write_vectors(vectors: DataFrame, path: str) -> None:
+    vectors.select("film_id", "vec").write.mode("errorifexists").parquet(path)
+
+
+def read_vectors(spark: SparkSession, path: str, tolerance: float = 1e-4) -> DataFrame:
+    """Stored item vectors; fails unless there are any, ids are unique, all have one length and every one is finite and of unit norm."""
+    rows = spark.read.parquet(path)
+    bad = vector_audit(rows, tolerance).where("rows_ = 0 OR rows_ <> ids OR dimensions <> 1 OR bad_values > 0 OR bad_norms > 0")
+    gate(bad, "a vector table is broken")
+    return rows
+
+
 def write_partitions(rows: DataFrame, path: str) -> None:
     """A ranking dataset by seed, fold and partition."""
     rows.write.mode("overwrite").partitionBy("seed", "fold", "partition").parquet(path)

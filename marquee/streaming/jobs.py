@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from marquee.sources.work import folder, remove, versions
@@ -39,6 +39,14 @@ def pending_matches(pending: DataFrame, arrivals: DataFrame, wait: str) -> DataF
     return p.join(a.withColumnRenamed("slug", "slug2"), F.expr(f"slug = slug2 AND arrived_at BETWEEN ts AND ts + INTERVAL {wait}"), "leftOuter").drop("slug2")
 
 
+def rolling_top(events: DataFrame, item: str, positive: Column, length: str, slide: str, k: int, late: str = "1 day") -> DataFrame:
+    """start, item, n, place: each window's k items with the most positive events. A stream calls it on batches (foreachBatch)."""
+    rows = events.withWatermark("ts", late) if events.isStreaming else events
+    counts = rows.where(positive).groupBy(F.window("ts", length, slide).alias("w"), item).agg(F.count("*").alias("n"))
+    place = F.row_number().over(Window.partitionBy("start").orderBy(F.col("n").desc(), item))
+    return counts.select(F.col("w.start").alias("start"), item, "n").withColumn("place", place).where(F.col("place") <= k)
+
+
 def task_states(events: DataFrame, terminal: list[str]) -> DataFrame:
     """user_id, state, terminal, n of tasks: the first terminal state by event_id if any, which later events don't change, else the last state."""
     final = F.col("event_type").isin(*terminal)
