@@ -92,6 +92,19 @@ def giving_back(run):
     return wrapped
 
 
+def numbered(df: DataFrame, order: list, out: str) -> DataFrame:
+    """df with out: 1, 2, ... by order. Rows are sorted by ranges and written once; the counts of the ranges, one row a partition, give the offsets."""
+    rows = saved(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__at", F.monotonically_increasing_id()))
+    part = F.shiftright("__at", 33)
+    before, offsets = 0, []
+    for row in sorted(rows.groupBy(part.alias("p")).count().collect()):
+        offsets.append((row.p, before))
+        before += row["count"]
+    offset = df.sparkSession.createDataFrame(offsets, "__p bigint, __before bigint")
+    number = F.col("__at").bitwiseAND(F.lit((1 << 33) - 1)) + 1 + F.col("__before")
+    return rows.withColumn("__p", part).join(F.broadcast(offset), "__p").withColumn(out, number).drop("__p", "__at", "__before")
+
+
 def words(text: Column) -> Column:
     """The words of a text; null and blank texts have none."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPACES), lambda w: w != "")

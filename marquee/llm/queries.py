@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marquee.llm import decontamination, fingerprints, html_extract, ngram_join, packing, secrets, substring_dedup, toxicity, url_filter, warc_audit
+from marquee.llm import decontamination, fingerprints, html_extract, ngram_join, packing, projection_forest, resampling, secrets, substring_dedup, toxicity, url_filter, vector_codes, warc_audit
 from marquee.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -146,3 +146,65 @@ h AS (SELECT page_id, file, CAST(octet_length(encode(rec)) AS BIGINT) AS length,
 SELECT file, CAST(row_number() OVER w - 1 AS BIGINT) AS ord, page_id, CAST(sum(length) OVER w - length AS BIGINT) AS "offset", length, digest, replica_digest, CASE WHEN replica_digest IS NULL THEN 'missing' WHEN digest = replica_digest THEN 'ok' ELSE 'damaged' END AS status
 FROM h WINDOW w AS (PARTITION BY file ORDER BY page_id)
 """
+
+
+@_query
+def op11_projection_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return projection_forest.search(table(spark, sf_dir, "embeddings"), "vec_id % 20 = 0")
+
+
+@_query
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compress(table(spark, sf_dir, "embeddings"))
+
+
+def _codes_sql(parts: int = 8, entries: int = 16, rounds: int = 6) -> str:
+    """Plain nearest entries, a table of distances a round; codebooks are rows (part, entry, list)."""
+    nearest = """SELECT s.vec_id, s.part, s.v, min_by(c.entry, list_distance_sq(s.v, c.v) * 64 + c.entry) AS entry, min(list_distance_sq(s.v, c.v)) AS d FROM s JOIN {book} c USING (part) GROUP BY s.vec_id, s.part, s.v"""
+    nearest = nearest.replace("list_distance_sq(s.v, c.v)", "CAST(list_sum(list_transform(range(1, len(s.v) + 1), lambda i: (s.v[i] - c.v[i]) * (s.v[i] - c.v[i]))) AS BIGINT)")
+    steps = [
+        "e AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(4096 * CAST(x AS DOUBLE)) AS BIGINT)) AS w FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)",
+        f"s AS MATERIALIZED (SELECT vec_id, part, w[part * len(w) // {parts} + 1:(part + 1) * len(w) // {parts}] AS v FROM e, range({parts}) AS r(part))",
+        f"f AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS entry FROM e QUALIFY entry < {entries})",
+        "b0 AS MATERIALIZED (SELECT part, entry, v FROM s JOIN f USING (vec_id))",
+    ]
+    for i in range(rounds):
+        steps.append(f"a{i} AS MATERIALIZED ({nearest.format(book=f'b{i}')})")
+        steps.append(f"""m{i} AS (SELECT part, entry, list(CAST(floor(total / n) AS BIGINT) ORDER BY pos) AS v
+ FROM (SELECT part, entry, pos, CAST(sum(x) AS DOUBLE) AS total, count(*) AS n FROM (SELECT part, entry, generate_subscripts(v, 1) AS pos, unnest(v) AS x FROM a{i}) GROUP BY part, entry, pos) GROUP BY part, entry)""")
+        steps.append(f"b{i + 1} AS MATERIALIZED (SELECT part, entry, coalesce(m.v, b.v) AS v FROM b{i} b LEFT JOIN m{i} m USING (part, entry))")
+    steps += [
+        f"z AS ({nearest.format(book=f'b{rounds}')})",
+        "k AS (SELECT vec_id, string_agg(format('{:02x}', entry), '' ORDER BY part) AS code, CAST(sum(d) AS BIGINT) AS error FROM z GROUP BY vec_id)",
+        f"h AS (SELECT sha256(string_agg(CAST(x AS VARCHAR), ',' ORDER BY part, entry, pos)) AS codebooks_sha256 FROM (SELECT part, entry, generate_subscripts(v, 1) AS pos, unnest(v) AS x FROM b{rounds}))",
+    ]
+    return "WITH " + ",\n".join(steps) + "\nSELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM k JOIN e USING (vec_id), h"
+
+
+ORACLES["op12_vector_codes"] = _codes_sql()
+
+
+@_query
+def op13_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return drawn.select("doc_id", "n_features", "weight", "score", F.col("rank").cast("bigint").alias("rank"))
+
+
+#: CRC-32 is folded over the bytes of a feature with its table of 256 remainders, made by eight halvings.
+ORACLES["op13_resampling"] = r"""
+WITH RECURSIVE h(i, c, k) AS (SELECT i, i, 0 FROM range(256) AS r(i) UNION ALL SELECT i, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, k + 1 FROM h WHERE k < 8),
+crc AS MATERIALIZED (SELECT list(CAST(c AS BIGINT) ORDER BY i) AS t FROM h WHERE k = 8),
+x AS (SELECT 0 AS side, doc_id AS id, text FROM documents UNION ALL SELECT 1, item_id, text FROM benchmark),
+w AS (SELECT side, id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM x),
+g AS MATERIALIZED (SELECT side, id, array_to_string(w[i:i + k - 1], ' ') AS f, count(*) AS n FROM w, range(1, 4) AS r(k), unnest(generate_series(1, len(w) - k + 1)) AS p(i) GROUP BY ALL),
+d AS (SELECT f, hex(encode(f)) AS x FROM (SELECT DISTINCT f FROM g)),
+b AS MATERIALIZED (SELECT f, xor(list_reduce(list_prepend(4294967295, list_transform(range(len(x) // 2), lambda i: CAST('0x' || x[2 * i + 1:2 * i + 2] AS BIGINT))), lambda c, v: xor(c >> 8, t[CAST(xor(c & 255, v) AS INT) + 1])), 4294967295) % 10000 AS bucket FROM d, crc),
+u AS (SELECT bucket, CAST(sum(n) FILTER (side = 0) AS DOUBLE) AS s, CAST(sum(n) FILTER (side = 1) AS DOUBLE) AS t FROM g JOIN b USING (f) GROUP BY bucket),
+l AS (SELECT bucket, floor(1000 * ln((coalesce(t, 0) + 1) * (sum(coalesce(s, 0)) OVER () + 10000) / ((coalesce(s, 0) + 1) * (sum(coalesce(t, 0)) OVER () + 10000)))) AS gain FROM u),
+v AS (SELECT id, sum(n) AS n_features, sum(n * gain) AS weight FROM g JOIN b USING (f) JOIN l USING (bucket) WHERE side = 0 GROUP BY id),
+q AS (SELECT w.id AS doc_id, len(w) AS words, CAST(coalesce(n_features, 0) AS BIGINT) AS n_features, CAST(coalesce(weight, 0) AS BIGINT) AS weight,
+      CAST(coalesce(weight, 0) + floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('42:' || CAST(w.id AS VARCHAR)), 1, 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296::DOUBLE))) AS BIGINT) AS score
+      FROM w LEFT JOIN v ON v.id = w.id WHERE side = 0),
+o AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS r, count(*) OVER () AS n FROM q WHERE words >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN r <= 5 * n // 100 THEN r END AS rank FROM q LEFT JOIN o USING (doc_id)
+"""
