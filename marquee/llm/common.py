@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import hashlib
 import tempfile
 import uuid
 
@@ -123,6 +124,9 @@ _Q = np.uint64(0xD6E8FEB86659FD93)
 _IS_SPACE = np.zeros(256, bool)
 _IS_SPACE[_SPACE_BYTES] = True
 _powers: dict[int, np.ndarray] = {}
+#: Sums modulo 2 ** 64 tell short words apart, but not long ones of a periodic build (the Thue-Morse words of 1,024 letters): words
+#: of more bytes than this are hashed by BLAKE2.
+_LONG_WORD = 64
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -172,6 +176,9 @@ def block_words(data: np.ndarray, offsets: np.ndarray, lower: bool = False):
     sums = np.zeros(n + 1, np.uint64)
     np.cumsum((_LOWER if lower else _TABLE)[data] * _power(_P, n), out=sums[1:])
     hashes = mix((sums[ends] - sums[starts]) * _power(_P_INV, n + 1)[starts] + (ends - starts).astype(np.uint64))
+    for i in np.flatnonzero(ends - starts > _LONG_WORD):
+        word = data[starts[i] : ends[i]].tobytes()
+        hashes[i] = int.from_bytes(hashlib.blake2b(word.lower() if lower else word, digest_size=8).digest(), "little")
     return starts, ends, hashes, np.searchsorted(starts, offsets)
 
 

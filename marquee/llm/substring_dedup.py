@@ -133,7 +133,7 @@ def remove_repeats(docs: DataFrame, length: int = 13, k: int = GRAM) -> DataFram
     ends = [f(c).alias(f"{n}_{c}") for c in ("doc_id", "span") for n, f in (("lo", F.min), ("hi", F.max))]
     seeds = spans.groupBy("anchor").agg(*ends).where("lo_doc_id < hi_doc_id").select("anchor", (F.col("lo_span") < F.col("hi_span")).alias("differ"))
     seeded = saved(spans.join(seeds, "anchor").select("anchor", "span", "differ", "doc_id"))
-    # Equal spans have one anchor; with it as part of the key, spans are told apart by over 100 bits.
+    # Equal spans have one anchor; with it as part of the key, two spans are confused only where it and their 64-bit hash agree.
     firsts = seeded.groupBy("anchor", "span").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.max("differ").alias("differ"))
     whole = seeded.join(firsts.where("lo < hi").select("anchor", "span", "lo"), ["anchor", "span"]).where("doc_id > lo").select("doc_id", "span")
     open_ = firsts.where("differ").groupBy(F.col("lo").alias("doc_id")).agg(F.collect_list("span").alias("spans"))

@@ -70,6 +70,18 @@ def test_ngram_join_links_copies_of_other_sizes(spark):
     assert got == want
 
 
+def test_words_that_agree_modulo_powers_of_two_stay_apart(spark):
+    a = "a"
+    for _ in range(10):
+        a += a.translate(str.maketrans("ab", "ba"))
+    b, rest = a.translate(str.maketrans("ab", "ba")), [f"w{i}" for i in range(20)]
+    rows = [(1, " ".join([a, *rest[:14]])), (2, " ".join([b, *rest[:12], "end"])), (3, f"{a} x"), (4, f"{b} x"), (5, f"{a.upper()} x")]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substring_dedup.digest(substring_dedup.remove_repeats(table)).collect()} == substring_dedup.brute_force(rows)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.similar(table).collect()}
+    assert got == ngram_join.brute_force(rows) and got[3][1] == got[5][1] == 3 and got[4][1] == 4
+
+
 def test_decontamination(docs, texts, empty, spark):
     items = [(0, " ".join(texts[2][1].split()[3:15])), (1, "one"), (2, None), (3, "not there at all in any text"), (4, texts[4][1]), (0, " ".join(texts[2][1].split()[3:15]))]
     table = spark.createDataFrame(items, "item_id long, text string")
