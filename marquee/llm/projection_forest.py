@@ -131,7 +131,7 @@ def usable(vectors: DataFrame, vector: str) -> DataFrame:
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
-    return np.asarray(column.flatten(), np.float64).reshape(len(column), -1)
+    return np.asarray(column.flatten(), np.float64).reshape(len(column), -1 if len(column) else 0)
 
 
 def _some(df: DataFrame, rows: int, of: int, salt: int) -> DataFrame:
@@ -197,6 +197,7 @@ class _Gathered:
 
 
 _FOUND = "query_id bigint, vec_id bigint, score double"
+_RESULT = "query_id bigint, rank int, vec_id bigint, score double"
 
 
 def _ranked(found: DataFrame, k: int) -> DataFrame:
@@ -251,7 +252,7 @@ def search(vectors: DataFrame, queries, vector: str = "embedding", k: int = 20,
     rows = usable(vectors, vector)
     n = rows.count()
     if n == 0:
-        return vectors.sparkSession.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
+        return vectors.sparkSession.createDataFrame([], _RESULT)
     sample = _some(rows, SAMPLE, n, 1).select("vec").toArrow()
     forest = fit(_matrix(sample.column("vec").combine_chunks()), min(LEAVES, -(-n // LEAF_ROWS)), trees)
     kind = rows.schema["vec"].dataType.simpleString()
@@ -268,7 +269,9 @@ def search(vectors: DataFrame, queries, vector: str = "embedding", k: int = 20,
         sizes[leaf] = count
     asked = index.where(queries)
     n_asked = asked.count()
-    tried = _some(asked, TRIALS, max(1, n_asked), 2).select("vec_id", "vec").toArrow()
+    if n_asked == 0:
+        return vectors.sparkSession.createDataFrame([], _RESULT)
+    tried = _some(asked, TRIALS, n_asked, 2).select("vec_id", "vec").toArrow()
     trial_ids, trial = tried.column("vec_id").to_numpy(), _matrix(tried.column("vec").combine_chunks())
     truth: dict[int, list] = {}
     for row in brute_force(index, (trial_ids, trial), k).select("query_id", "leaves").collect() if len(trial) else []:  # trials x k rows
