@@ -6,7 +6,8 @@ branch waits with the largest distance by which the query missed it on the way,
 ``effort`` rows. The effort is the least that reaches ``RECALL`` on a bounded sample of queries answered by brute force.
 
 Leaves and the queries that visit them meet in blocks, whose inner products keep the best of each query; no vector is joined with
-another one by one, and a leaf of many rows (copies can't be split) is dealt out over several blocks.
+another one by one, and a leaf of many rows (copies can't be split) is dealt out over several blocks. The sample rows in the
+leaves that a query visits give a bound which at least k of its rows reach: what lies below it isn't handed on.
 """
 
 from __future__ import annotations
@@ -19,12 +20,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from marquee.llm.common import saved
+from marquee.llm.common import saved, small_batches
 
 #: Trees of the forest; rows a leaf aimed at, and the most leaves a tree has (trees are sent to all tasks: 8 MB of planes at 64 dimensions).
 TREES, LEAF_ROWS, LEAVES = 16, 200, 1024
-#: Rows that trees are fitted on, at most.
-SAMPLE = 32_768
+#: Rows that trees are fitted on, and bounds taken from, at most (sent to all tasks, too).
+SAMPLE = 16_384
 #: Queries that the effort is measured on, at most, and the recall that it has to reach on them (0.9 is asked for).
 TRIALS, RECALL = 200, 0.94
 #: Rows of a block, on average.
@@ -148,15 +149,35 @@ def exact(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
-def best_pairs(queries: np.ndarray, q_ids: np.ndarray, rows: np.ndarray, ids: np.ndarray, k: int):
-    """(query id, row id, score) of each query's k best rows without its own; ties to smaller ids, copies have equal scores."""
+def _rough(q: np.ndarray, own: np.ndarray, rows: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """Inner products but for rounding, -inf with a query's own row."""
+    out = q @ rows.T
+    out[own[:, None] == ids[None, :]] = -np.inf
+    return out
+
+
+def bounds(queries: np.ndarray, q_ids: np.ndarray, rows: np.ndarray, ids: np.ndarray, held: list[np.ndarray], k: int) -> np.ndarray:
+    """For every query a score, but for rounding, that k of the rows held for it reach; -inf if it holds fewer."""
+    out = np.full(len(queries), -np.inf)
+    for at in range(0, len(queries), 256):
+        rough = _rough(queries[at : at + 256], q_ids[at : at + 256], rows, ids)
+        for i, one in enumerate(rough):
+            mine = one[held[at + i]]
+            if len(mine) >= k:
+                out[at + i] = np.partition(mine, len(mine) - k)[len(mine) - k]
+    return out
+
+
+def best_pairs(queries: np.ndarray, q_ids: np.ndarray, rows: np.ndarray, ids: np.ndarray, k: int, bound: np.ndarray | None = None):
+    """(query id, row id, score) of each query's k best rows without its own, of those that reach its bound if given; ties to smaller ids, copies have equal scores."""
     out = []
     for at in range(0, len(queries), 256):
         q, own = queries[at : at + 256], q_ids[at : at + 256]
-        rough = q @ rows.T
-        rough[own[:, None] == ids[None, :]] = -np.inf
+        rough = _rough(q, own, rows, ids)
         n = min(k, len(ids))
         least = np.partition(rough, len(ids) - n, axis=1)[:, len(ids) - n]
+        if bound is not None:
+            least = np.maximum(least, bound[at : at + 256])
         slack = 1e-9 * (1 + np.abs(np.where(np.isfinite(least), least, 0)))  # more than rounding of the rough product
         i, j = np.nonzero((rough >= (least - slack)[:, None]) & (rough > -np.inf))
         score = np.concatenate([exact(q[i[s : s + 100_000]], rows[j[s : s + 100_000]]) for s in range(0, len(i), 100_000)] or [np.zeros(0)])
@@ -236,9 +257,9 @@ def effort_for(forest: Forest, sizes: np.ndarray, trials: list[tuple[np.ndarray,
     return float(rows[order][min(int(np.searchsorted(share, recall)), len(rows) - 1)])
 
 
-def _blocks(rows: DataFrame, keys: list[str], id_: str, out: str) -> DataFrame:
-    """One row a block: keys and out, a list of (id, vec)."""
-    return rows.groupBy(*keys).agg(F.collect_list(F.struct(F.col(id_).alias("id"), "vec")).alias(out))
+def _blocks(rows: DataFrame, keys: list[str], id_: str, out: str, *more: str) -> DataFrame:
+    """One row a block: keys and out, a list of (id, vec, more)."""
+    return rows.groupBy(*keys).agg(F.collect_list(F.struct(F.col(id_).alias("id"), "vec", *more)).alias(out))
 
 
 def search(vectors: DataFrame, queries, vector: str = "embedding", k: int = 20, trees: int = TREES, recall: float = RECALL) -> DataFrame:
@@ -249,12 +270,15 @@ def search(vectors: DataFrame, queries, vector: str = "embedding", k: int = 20,
     A query's own vec_id isn't among its rows; ties go to smaller vec_ids, and copies of a vector have equal scores. Fewer than k
     other rows are all found. An empty table gives an empty result. Other columns aren't read.
     """
+    small_batches(vectors.sparkSession)
     rows = usable(vectors, vector)
     n = rows.count()
     if n == 0:
         return vectors.sparkSession.createDataFrame([], _RESULT)
-    sample = _some(rows, SAMPLE, n, 1).select("vec").toArrow()
-    forest = fit(_matrix(sample.column("vec").combine_chunks()), min(LEAVES, -(-n // LEAF_ROWS)), trees)
+    sample = _some(rows, SAMPLE, n, 1).select("vec_id", "vec").toArrow()
+    known, known_ids = _matrix(sample.column("vec").combine_chunks()), sample.column("vec_id").to_numpy()
+    forest = fit(known, min(LEAVES, -(-n // LEAF_ROWS)), trees)
+    known_leaves = forest.leaves_of(known)
     kind = rows.schema["vec"].dataType.simpleString()
 
     def assign(batches):
@@ -283,10 +307,16 @@ def search(vectors: DataFrame, queries, vector: str = "embedding", k: int = 20,
     def walk(batches):
         for batch in batches:
             x = _matrix(batch.column(1))
-            found = [forest.visits(q, sizes, effort) for q in x]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.list_(pa.int32()))], ["query_id", "vec", "leaves"])
-
-    walks = saved(asked.select("vec_id", "vec").mapInArrow(walk, f"query_id bigint, vec {kind}, leaves array<int>"))
+            found, held, visited = [], [], np.zeros(len(sizes), bool)
+            for q in x:
+                found.append(forest.visits(q, sizes, effort))
+                visited[:] = False
+                visited[found[-1]] = True
+                held.append(np.flatnonzero(visited[known_leaves].any(axis=1)))
+            bound = bounds(x, batch.column(0).to_numpy(), known, known_ids, held, k)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(bound), pa.array(found, pa.list_(pa.int32()))], ["query_id", "vec", "bound", "leaves"])
+
+    walks = saved(asked.select("vec_id", "vec").mapInArrow(walk, f"query_id bigint, vec {kind}, bound double, leaves array<int>"))
     visitors = dict(walks.select(F.explode("leaves").alias("leaf")).groupBy("leaf").count().collect())
     spark = vectors.sparkSession
     plan = F.broadcast(spark.createDataFrame([(i, int(-(-s // BLOCK)), -(-visitors[i] // BLOCK)) for i, s in enumerate(sizes) if s and i in visitors], "leaf int, blocks int, query_blocks int"))
@@ -295,10 +325,10 @@ def search(vectors: DataFrame, queries, vector: str = "embedding", k: int = 20,
         return F.pmod(F.xxhash64(id_), F.col(of)).cast("int")
 
     left = index.select("vec_id", "vec", F.explode("leaves").alias("leaf")).join(plan, "leaf").withColumn("block", part("vec_id", "blocks"))
-    right = walks.select("query_id", "vec", F.explode("leaves").alias("leaf")).join(plan, "leaf").withColumn("part", part("query_id", "query_blocks"))
+    right = walks.select("query_id", "vec", "bound", F.explode("leaves").alias("leaf")).join(plan, "leaf").withColumn("part", part("query_id", "query_blocks"))
     right = right.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     left = _blocks(left.repartition("leaf", "block"), ["leaf", "block"], "vec_id", "rows")
-    right = _blocks(right.repartition("leaf", "block"), ["leaf", "block", "part"], "query_id", "queries")
+    right = _blocks(right.repartition("leaf", "block"), ["leaf", "block", "part"], "query_id", "queries", "bound")
     pairs = left.join(right.hint("merge"), ["leaf", "block"]).select("rows", "queries")
 
     def multiply(batches):
@@ -306,7 +336,7 @@ def search(vectors: DataFrame, queries, vector: str = "embedding", k: int = 20,
         for batch in batches:
             for i in range(batch.num_rows):
                 a, b = batch.column(1)[i].values, batch.column(0)[i].values
-                yield from kept.add(best_pairs(_matrix(a.field("vec")), a.field("id").to_numpy(), _matrix(b.field("vec")), b.field("id").to_numpy(), k))
+                yield from kept.add(best_pairs(_matrix(a.field("vec")), a.field("id").to_numpy(), _matrix(b.field("vec")), b.field("id").to_numpy(), k, a.field("bound").to_numpy()))
         yield from kept.all()
 
     found = pairs.mapInArrow(multiply, _FOUND).distinct()
