@@ -323,6 +323,11 @@ def retraining_decision(logs: DataFrame, trained_films: DataFrame, trained: Data
     user_delta = F.when(F.col("model").isNull(), F.col("u")).when(F.col("bu") < 0, 0).otherwise(F.greatest(F.lit(0), F.col("u") - F.col("bu")))
     interaction_delta = F.when(F.col("model").isNull(), F.col("i")).when(F.col("bi") < 0, 0).otherwise(F.col("i") - F.col("bi"))
     rows = rows.select(user_delta.cast("bigint").alias("user_delta"), interaction_delta.cast("bigint").alias("interaction_delta"), "new_films", F.coalesce("age", F.lit(0.0)).alias("age_days"), F.coalesce(unknown, F.lit(False)).alias("unknown"), F.col("model").isNotNull().alias("model"))
+    return retraining_reasons(rows, forced, users, films, days)
+
+
+def retraining_reasons(rows: DataFrame, forced: bool = False, users: int = 100, films: int = 250, days: int = 180) -> DataFrame:
+    """user_delta, interaction_delta, new_films, age_days, reasons of rows with these deltas, unknown (the model's counts) and model (there is one)."""
     known = ~F.col("unknown")
     tests = [("forced", F.lit(forced)), ("bootstrap", F.col("unknown")), ("users", known & (F.col("user_delta") >= users)), ("films", known & (F.col("new_films") >= films)), ("age", known & F.col("model") & (F.col("age_days") >= days))]
     return rows.select("user_delta", "interaction_delta", "new_films", "age_days", F.filter(F.array(*(F.when(c, F.lit(n)) for n, c in tests)), lambda x: x.isNotNull()).alias("reasons"))

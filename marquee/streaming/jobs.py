@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from marquee.sources.work import folder, remove, versions
+from marquee.sources.work import folder, versions
+from marquee.streaming.keyed import KeyedTable, last_by
 
 
 def windowed(events: DataFrame, length: str, slide: str | None = None, late: str = "1 day") -> DataFrame:
@@ -106,23 +107,18 @@ def drained(spark: SparkSession, path: str, job: Callable[[DataFrame], DataFrame
     return spark.read.schema(frame.schema).parquet(*(f"{out}/{n}" for n in (done[-1:] if mode == "complete" else done)))
 
 
-def upsert_stream(spark: SparkSession, path: str, keys: list[str], value: str, order: str, work: str | None = None) -> DataFrame:
-    """keys and value of the last row by order, kept in a table that each batch rewrites under its number.
+def upsert_stream(spark: SparkSession, path: str, keys: list[str], value: str, order: str, work: str | None = None, buckets: int = 32) -> DataFrame:
+    """keys and value of the last row by order, kept in a keyed table of which a batch rewrites the buckets of its keys only.
 
     A batch that comes again starts from the table before it and changes nothing. work: the folder of an earlier run to go on from;
-    table and checkpoint lie there, nothing is kept in the driver. The table before the last one stays until the next batch.
+    table and checkpoint lie there, nothing is kept in the driver.
     """
     work = work or folder(spark)
-    out = f"{work}/table"
     source = _source(spark, path).select(*keys, value, order)
+    table = KeyedTable(spark, f"{work}/table", keys, source.schema, buckets)
 
     def put(rows: DataFrame, batch: int) -> None:
-        before = [n for n in versions(spark, out) if n < batch]
-        both = spark.read.schema(source.schema).parquet(f"{out}/{before[-1]}").unionByName(rows) if before else rows
-        both.groupBy(*keys).agg(F.max_by(value, order).alias(value), F.max(order).alias(order)).write.mode("overwrite").parquet(f"{out}/{batch}")
-        for n in before[:-1]:
-            remove(spark, f"{out}/{n}")
+        table.merge(rows, batch, last_by(keys, [value], [order]))
 
     source.writeStream.option("checkpointLocation", f"{work}/checkpoint").trigger(availableNow=True).foreachBatch(put).start().awaitTermination()
-    done = versions(spark, out)
-    return (spark.read.schema(source.schema).parquet(f"{out}/{done[-1]}") if done else spark.createDataFrame([], source.schema)).drop(order)
+    return table.read().drop(order)
