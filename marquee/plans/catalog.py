@@ -1,6 +1,6 @@
 """Every registered query of the library itself."""
 
-from marquee.plans import core, evaluation, features, ingest, records, streams, training
+from marquee.plans import core, evaluation, features, gates, ingest, records, runs, streams, training
 from marquee.plans.registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "core", "evaluation", "features", "ingest", "records", "streams", "training"]
+__all__ = ["ORACLES", "QUERIES", "core", "evaluation", "features", "gates", "ingest", "records", "runs", "streams", "training"]
