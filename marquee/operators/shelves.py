@@ -10,12 +10,12 @@ import functools
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marquee.functions import ratings as R
 from marquee.operators.preferences import DEFAULT, Policy, qualified, top_entities
-from marquee.operators.vectors import dot
 
 # Fixed shelf keys, roles and titles.
 ROLES = {
@@ -73,27 +73,54 @@ def national_cinema(ranked: DataFrame, film_entity: DataFrame, policy: Policy =
     return shelf(rows, "brazilian_cinema", policy.national_minimum, policy, [F.col(c) for c in BY_RANKS])
 
 
-def because_you_liked(ranked: DataFrame, anchor_rows: DataFrame, vectors: DataFrame, titles: DataFrame, policy: Policy = DEFAULT) -> DataFrame:
-    """The neighbourhood of the best anchor: of the greatest rating, then of the greatest mean similarity of its twenty nearest."""
+def neighbourhoods(ranked: DataFrame, anchor_rows: DataFrame, vectors: DataFrame, policy: Policy = DEFAULT) -> DataFrame:
+    """user_id, anchor_id, rating, film_id, similarity, place, rrf_rank, stratum: the nearest candidates of each of a user's anchors of the greatest rating.
+
+    One product of matrices a user, in whose task only the user's own anchors and candidates meet; what the policy keeps leaves it.
+    """
     high = F.max("rating").over(Window.partitionBy("user_id"))
     best = anchor_rows.withColumn("__most", high).where(F.col("rating") == F.col("__most"))
-    a = best.join(vectors.select("film_id", F.col("vec").alias("a")), "film_id").select("user_id", F.col("film_id").alias("anchor_id"), "rating", "a")
-    c = ranked.join(vectors.select("film_id", F.col("vec").alias("b")), "film_id")
-    near = a.join(c, "user_id").withColumn("similarity", F.round(dot(F.col("a"), F.col("b")), 6)).drop("a", "b")
-    each = Window.partitionBy("user_id", "anchor_id")
-    near = near.withColumn("place", F.row_number().over(each.orderBy(F.col("similarity").desc(), "rrf_rank", "film_id"))).withColumn("candidates", F.count("*").over(each))
-    if policy.anchor_neighbours is not None:
-        near = near.where(F.col("place") <= policy.anchor_neighbours)
-    elif policy.anchor_fraction is not None:
-        near = near.where(F.col("place") <= F.greatest(F.lit(policy.anchor_minimum), F.ceil(F.col("candidates") * policy.anchor_fraction)))
-    else:
-        near = near.where("similarity > 0")
+    a = best.join(vectors.select("film_id", "vec"), "film_id").select(F.col("user_id").cast("bigint").alias("user_id"), F.col("film_id").cast("bigint").alias("film_id"), F.col("rating").cast("double").alias("rating"), "vec")
+    c = ranked.join(vectors.select("film_id", "vec"), "film_id").select(F.col("user_id").cast("bigint").alias("user_id"), F.col("film_id").cast("bigint").alias("film_id"), F.col("rrf_rank").cast("bigint").alias("rrf_rank"), "stratum", "vec")
+    names = ["user_id", "anchor_id", "rating", "film_id", "similarity", "place", "rrf_rank", "stratum"]
+    types = [pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.string()]
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows or not right.num_rows:
+            return pa.table([pa.array([], t) for t in types], names)
+        x, y = (np.asarray(t["vec"].combine_chunks().flatten(), np.float64).reshape(t.num_rows, -1) for t in (left, right))
+        film, rank = right["film_id"].to_numpy(), right["rrf_rank"].to_numpy()
+        near = np.round(x @ y.T, 6)
+        if policy.anchor_neighbours is not None:
+            keep = np.full(len(x), min(policy.anchor_neighbours, len(y)))
+        elif policy.anchor_fraction is not None:
+            keep = np.full(len(x), min(len(y), max(policy.anchor_minimum, int(np.ceil(len(y) * policy.anchor_fraction)))))
+        else:
+            keep = (near > 0).sum(axis=1)
+        order = np.concatenate([np.lexsort((film, rank, -row))[:k] for row, k in zip(near, keep, strict=True)])
+        who = np.repeat(np.arange(len(x)), keep)
+        place = np.concatenate([np.arange(1, k + 1) for k in keep])
+        out = [left["user_id"].combine_chunks().take(pa.array(who)), left["film_id"].combine_chunks().take(pa.array(who)), left["rating"].combine_chunks().take(pa.array(who)), film[order], near[who, order], place, rank[order], right["stratum"].combine_chunks().take(pa.array(order))]
+        return pa.table([v if isinstance(v, pa.Array) else pa.array(v, t) for v, t in zip(out, types, strict=True)], names)
+
+    schema = "user_id bigint, anchor_id bigint, rating double, film_id bigint, similarity double, place bigint, rrf_rank bigint, stratum string"
+    return a.groupBy("user_id").cogroup(c.groupBy("user_id")).applyInArrow(run, schema)
+
+
+def chosen_anchors(near: DataFrame, policy: Policy = DEFAULT) -> DataFrame:
+    """user_id, anchor_id, rating, mean (similarity of the twenty nearest), size, overlap (of these with the first twenty candidates): each user's best anchor."""
     first = F.col("place") <= 20
     inside = F.count_if(first & (F.col("rrf_rank") <= 20))
     stats = near.groupBy("user_id", "anchor_id", "rating").agg(F.count("*").alias("size"), F.round(F.avg(F.when(first, F.col("similarity"))), 6).alias("mean"), (inside / (F.count_if(first) + 20 - inside)).alias("overlap"))
     stats = stats.where(F.col("size") >= policy.anchor_minimum)
     choice = stats.groupBy("user_id").agg(F.min(F.struct((-F.col("rating")).alias("r"), (-F.col("mean")).alias("m"), (-F.col("size")).alias("s"), "overlap", "anchor_id")).alias("c"))
-    rows = near.join(choice.select("user_id", F.col("c.anchor_id").alias("anchor_id")), ["user_id", "anchor_id"]).join(titles.select(F.col("film_id").alias("anchor_id"), "title"), "anchor_id", "left")
+    return choice.select("user_id", "c.anchor_id", (-F.col("c.r")).alias("rating"), (-F.col("c.m")).alias("mean"), (-F.col("c.s")).alias("size"), "c.overlap")
+
+
+def because_you_liked(ranked: DataFrame, anchor_rows: DataFrame, vectors: DataFrame, titles: DataFrame, policy: Policy = DEFAULT) -> DataFrame:
+    """The neighbourhood of the best anchor: of the greatest rating, then of the greatest mean similarity of its twenty nearest."""
+    near = neighbourhoods(ranked, anchor_rows, vectors, policy)
+    rows = near.join(chosen_anchors(near, policy).select("user_id", "anchor_id"), ["user_id", "anchor_id"]).join(titles.select(F.col("film_id").alias("anchor_id"), "title"), "anchor_id", "left")
     tier = F.when(F.col("rating") >= R.ANCHOR, "strong").otherwise("minimum")
     return shelf(rows, "because_you_liked", policy.anchor_minimum, policy, [F.col("similarity").desc(), F.col("rrf_rank"), F.col("film_id")], tier, 1, None, F.col("title"))
 

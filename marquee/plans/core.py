@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import functools
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,6 +10,7 @@ from marquee.operators import allocation, preferences, ranking, shelves, vectors
 from marquee.operators.preferences import Policy
 from marquee.plans.registry import query
 from marquee.sources.bridge import derived, oracle
+from marquee.sources.work import saved
 
 DEPTH = 200
 #: Shelf sizes for inventories of at most 400 films.
@@ -74,8 +73,8 @@ def parts(spark: SparkSession, sf_dir: str, logs: DataFrame | None = None) -> di
     """The inputs of the shelves, from all logs or those given."""
     logs = derived(spark, sf_dir, "logs") if logs is None else logs
     entity, items = (derived(spark, sf_dir, n) for n in ("film_entity", "item_vectors"))
-    prefs = preferences.entity_preferences(logs, entity)
-    ranked = inventory(spark, sf_dir, logs=logs).persist()  # ten shelves read it
+    prefs = saved(preferences.entity_preferences(logs, entity))
+    ranked = saved(inventory(spark, sf_dir, logs=logs))  # ten shelves read it
     return {"ranked": ranked, "users": preferences.profiles(logs, items), "preferences": prefs, "anchor_rows": preferences.anchors(logs, items), "film_entity": entity, "films": derived(spark, sf_dir, "films"), "vectors": items}
 
 
@@ -272,11 +271,14 @@ def world_cinema_eligible(spark, sf_dir):
     return shelves.world_eligible(p["ranked"], p["film_entity"], preferences.qualified(p["preferences"], POLICY), POLICY).select("user_id", "film_id", "rrf_rank")
 
 
-@functools.lru_cache(4)
+def all_shelves(p: dict[str, DataFrame], policy: Policy = POLICY) -> DataFrame:
+    """Every shelf of every user, written once."""
+    return saved(shelves.all_shelves(p["ranked"], p["users"], p["preferences"], p["anchor_rows"], p["film_entity"], p["films"], p["vectors"], policy))
+
+
 def _portfolio(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = parts(spark, sf_dir)
-    rows = shelves.all_shelves(p["ranked"], p["users"], p["preferences"], p["anchor_rows"], p["film_entity"], p["films"], p["vectors"], POLICY)
-    return allocation.allocate(rows, p["users"], p["film_entity"], POLICY)
+    return allocation.allocate(all_shelves(p), p["users"], p["film_entity"], POLICY)
 
 
 @query("portfolio")
@@ -284,9 +286,10 @@ def portfolio(spark, sf_dir):
     return _portfolio(spark, sf_dir)
 
 
-@query("portfolio_invariants", "SELECT 0::BIGINT AS repeats, 0::BIGINT AS too_often, 0::BIGINT AS reserved_again, 0::BIGINT AS too_small")
+@query("portfolio_invariants", sql("SELECT count(DISTINCT user_id) AS users, count(*) FILTER (rrf_rank <= 20) AS top_slots, 0::BIGINT AS repeats, 0::BIGINT AS too_often, 0::BIGINT AS reserved_again, 0::BIGINT AS too_small, 0::BIGINT AS director_over, 0::BIGINT AS country_over, 0::BIGINT AS head_over FROM ranked"))
 def portfolio_invariants(spark, sf_dir):
-    return allocation.invariants(_portfolio(spark, sf_dir), POLICY)
+    strata = ranking.with_strata(ranking.popularity(derived(spark, sf_dir, "logs")))
+    return allocation.invariants(saved(_portfolio(spark, sf_dir)), strata, derived(spark, sf_dir, "film_entity"), POLICY)
 
 
 @query("feed")
