@@ -80,15 +80,15 @@ def neighbourhoods(ranked: DataFrame, anchor_rows: DataFrame, vectors: DataFrame
     """
     high = F.max("rating").over(Window.partitionBy("user_id"))
     best = anchor_rows.withColumn("__most", high).where(F.col("rating") == F.col("__most"))
-    a = best.join(vectors.select("film_id", "vec"), "film_id").select(F.col("user_id").cast("bigint").alias("user_id"), F.col("film_id").cast("bigint").alias("film_id"), F.col("rating").cast("double").alias("rating"), "vec")
-    c = ranked.join(vectors.select("film_id", "vec"), "film_id").select(F.col("user_id").cast("bigint").alias("user_id"), F.col("film_id").cast("bigint").alias("film_id"), F.col("rrf_rank").cast("bigint").alias("rrf_rank"), "stratum", "vec")
+    a = best.join(vectors.select("film_id", "vec"), "film_id").select(F.col("user_id").cast("bigint").alias("user_id"), F.col("film_id").cast("bigint").alias("film_id"), F.col("rating").cast("double").alias("rating"), F.col("vec").alias("x"))
+    c = ranked.join(vectors.select("film_id", "vec"), "film_id").select(F.col("user_id").cast("bigint").alias("user_id"), F.col("film_id").cast("bigint").alias("film_id"), F.col("rrf_rank").cast("bigint").alias("rrf_rank"), "stratum", F.col("vec").alias("y"))
     names = ["user_id", "anchor_id", "rating", "film_id", "similarity", "place", "rrf_rank", "stratum"]
     types = [pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.string()]
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows or not right.num_rows:
             return pa.table([pa.array([], t) for t in types], names)
-        x, y = (np.asarray(t["vec"].combine_chunks().flatten(), np.float64).reshape(t.num_rows, -1) for t in (left, right))
+        x, y = (np.asarray(t[c].combine_chunks().flatten(), np.float64).reshape(t.num_rows, -1) for t, c in ((left, "x"), (right, "y")))
         film, rank = right["film_id"].to_numpy(), right["rrf_rank"].to_numpy()
         near = np.round(x @ y.T, 6)
         if policy.anchor_neighbours is not None:

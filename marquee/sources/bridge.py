@@ -27,6 +27,12 @@ DERIVED = {
         UNION ALL SELECT film_id, 'country', entity_id, name FROM film_country
         UNION ALL SELECT DISTINCT film_id, 'language', region, r_name FROM film_country JOIN region ON region = r_regionkey
         UNION ALL SELECT film_id, 'decade', CAST(floor(year / 10.0) * 10 AS BIGINT), concat(CAST(CAST(floor(year / 10.0) * 10 AS BIGINT) AS VARCHAR(8)), 's') FROM films""",
+    # Eight families: also the two words of a title as themes, a film's first supplier as studio, and some later ones as actors.
+    "film_entity8": """SELECT film_id, family, entity_id, name FROM film_entity
+        UNION ALL SELECT p_partkey, 'theme', CAST(ascii(substring(p_name, 1, 1)) * 10000 + ascii(substring(p_name, 2, 1)) * 100 + instr(p_name, ' ') AS BIGINT), substring(p_name, 1, instr(p_name, ' ') - 1) FROM part WHERE instr(p_name, ' ') > 1
+        UNION ALL SELECT p_partkey, 'theme', CAST(ascii(substring(p_name, instr(p_name, ' ') + 1, 1)) * 10000 + ascii(substring(p_name, instr(p_name, ' ') + 2, 1)) * 100 + length(p_name) - instr(p_name, ' ') AS BIGINT), substring(p_name, instr(p_name, ' ') + 1) FROM part WHERE instr(p_name, ' ') > 1
+        UNION ALL SELECT DISTINCT l_partkey, CASE WHEN rn = 1 THEN 'studio' ELSE 'actor' END, CAST(l_suppkey AS BIGINT), CAST(l_suppkey AS VARCHAR(20)) FROM (
+            SELECT l_partkey, l_suppkey, dense_rank() OVER (PARTITION BY l_partkey ORDER BY l_suppkey) AS rn FROM lineitem) s WHERE rn = 1 OR rn BETWEEN 3 AND 6""",
     "item_vectors": "SELECT vec_id AS film_id, embedding AS vec FROM embeddings",
 }
 
