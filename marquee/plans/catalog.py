@@ -1,6 +1,6 @@
 """Every registered query of the library itself."""
 
-from marquee.plans import categories, core, evaluation, features, gates, ingest, ranker, records, runs, streams, training
+from marquee.plans import categories, core, evaluation, features, gates, ingest, ranker, records, runs, streams, training, variants
 from marquee.plans.registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "categories", "core", "evaluation", "features", "gates", "ingest", "ranker", "records", "runs", "streams", "training"]
+__all__ = ["ORACLES", "QUERIES", "categories", "core", "evaluation", "features", "gates", "ingest", "ranker", "records", "runs", "streams", "training", "variants"]

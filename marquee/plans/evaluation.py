@@ -142,9 +142,9 @@ def metrics_over_folds(spark, sf_dir):
     return E.over_runs(rows, ["stratum"], ["recall_20", "ndcg_20"])
 
 
-@query("catalog_coverage", sql("SELECT cutoff, count(DISTINCT film_id) AS films, round(count(DISTINCT film_id) / 2000.0::DOUBLE, 6) AS share FROM ranked, (VALUES (10), (20), (50)) c(cutoff) WHERE rrf_rank <= cutoff GROUP BY cutoff"))
+@query("catalog_coverage", sql("SELECT cutoff, count(DISTINCT film_id) AS films, round(count(DISTINCT film_id) / (SELECT count(*) FROM films)::DOUBLE, 6) AS share FROM ranked, (VALUES (10), (20), (50)) c(cutoff) WHERE rrf_rank <= cutoff GROUP BY cutoff"))
 def catalog_coverage(spark, sf_dir):
-    return E.coverage(inventory(spark, sf_dir).select("user_id", "film_id", F.col("rrf_rank").alias("rank")), 2000)
+    return E.coverage(inventory(spark, sf_dir).select("user_id", "film_id", F.col("rrf_rank").alias("rank")), derived(spark, sf_dir, "films").count())
 
 
 @query("retrieved_popularity", sql("SELECT cutoff, round(avg(p), 6) AS mean_percentile, round(median(p), 6) AS median_percentile FROM ranked JOIN (SELECT film_id, 1 - percent_rank() OVER (ORDER BY popularity_rank) AS p FROM pop) USING (film_id), (VALUES (10), (20), (50)) c(cutoff) WHERE rrf_rank <= cutoff GROUP BY cutoff"))
