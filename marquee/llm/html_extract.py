@@ -9,7 +9,8 @@ decides where the content is: in the host's article elements, else its main elem
 nodes that align with that region (all of the region, if nothing in it varies). Pages of hosts with fewer pages, and pages
 whose layout has no such node, are judged alone: article, else main, else the innermost node with most text outside links.
 Menus, page headers, footers, asides, notices, adverts, forms, scripts, styles and comments go by tag, role or class name
-in any case; a header within an article is part of it.
+in any case; a header within an article is part of it, articles within an article are comments. An article's own name never
+drops it, and names of or forms around what contains it don't if it outweighs the rest of the page.
 
 Null and empty html gives an empty text. Pages without a host form one group of their own. Rows that repeat a page_id give
 a row each. References are decoded once; white space within a block becomes one space and blocks are joined by line ends.
@@ -42,10 +43,17 @@ ROLES = frozenset("navigation banner complementary contentinfo search menu menub
 #: Elements that hold running text rather than parts of a page.
 FLOW = frozenset("p h1 h2 h3 h4 h5 h6 hgroup ul ol dl blockquote pre figure hr".split())
 _NAMES = re.compile(
-    r"(?:^|[-_\s])(?:ads?|advert\w*|banner|breadcrumbs?|comments?|commentlist|consent|cookies?|disclaimer|disqus|footer|gdpr|header|masthead|menu|modal|nav|navbar|navigation|newsletter|notices?|notification|pager|pagination|popup|promo\w*|"
+    r"(?:^|[-_\s])(?:ads?|advert\w*|banner|breadcrumbs?|comments?|commentlist|consent|cookies?|disclaimer|disqus|footer|gdpr|header|masthead|menu|modal|nav|navbar|navigation|newsletter|notices?|notification|pager|pagination|popup|promo(?!ted)\w*|"
     r"related(?!-work|_work)|replies|respond|share|sharing|sidebar|side-bar|social|sponsor\w*|subscribe|toolbar|widget)(?:$|[-_\s])",
     re.I,
 )
+#: Names that tell what an element has or lacks, such as with-sidebar, not what it is.
+_MODIFIERS = re.compile(r"(?<![\w-])(?:with|without|has|no|not|is)[-_][\w-]+", re.I)
+#: Within an article: names of its own heading, and of paragraphs.
+_HEADINGS = re.compile(r"(?<![a-z])(?:header|masthead|banner)(?![a-z])", re.I)
+_ASIDES = re.compile(r"(?<![a-z])(?:social|share|sharing)(?![a-z])", re.I)
+#: Why a block is dropped: a form around it, a name, or a tag, role or hidden element.
+FORM, NAME, HARD = 1, 2, 3
 #: What may follow "<" in markup, up to the end of a tag's name.
 _OPEN = re.compile(r"<(?:!--|[!?]|(/?)([a-zA-Z][^\s/>]*))")
 _TAG_END = re.compile(r"(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>")
@@ -103,15 +111,25 @@ def from_shape(lines: str) -> list[Node]:
 
 
 @functools.lru_cache(4096)
-def _attributes(tag: str, raw: str) -> tuple[str, bool, bool]:
-    """(label, dropped, main) of a start tag."""
+def _attributes(tag: str, raw: str) -> tuple[str, int, int, bool]:
+    """(label, why it is dropped, the same within an article, main) of a start tag; 0: it isn't dropped."""
     got = {m[1].lower(): entities.unescape(m[2] or m[3] or m[4] or "") for m in _ATTRIBUTE.finditer(raw)} if raw.strip(" /") else {}
-    names = got.get("class", "") + " " + got.get("id", "")
+    names = _MODIFIERS.sub("", got.get("class", "") + " " + got.get("id", ""))
     role = got.get("role", "").lower()
     hidden = "hidden" in got or got.get("aria-hidden") == "true" or "display:none" in got.get("style", "").replace(" ", "").lower()
-    dropped = tag in DROPPED or role in ROLES or hidden or (tag not in ("html", "body", "main") and bool(_NAMES.search(names)))
-    main = tag == "article" or got.get("itemprop") == "articleBody"
-    return tag + ("." + got["class"].split()[0] if got.get("class", "").split() else ""), dropped, main or tag == "main" or role == "main"
+    main = tag == "article" or got.get("itemprop") == "articleBody" or tag == "main" or role == "main"
+    if hidden or (tag in DROPPED and tag != "form") or (role in ROLES and role != "form"):
+        why = inner = HARD
+    elif tag == "form" or role == "form":
+        why = inner = FORM
+    elif tag in ("html", "body") or main:
+        why = inner = 0
+    else:
+        why = NAME if _NAMES.search(names) else 0
+        own = _HEADINGS.sub("", names)
+        own = _ASIDES.sub("", own) if tag in FLOW else own
+        inner = NAME if why and _NAMES.search(own) else 0
+    return tag + ("." + got["class"].split()[0] if got.get("class", "").split() else ""), why, inner, main
 
 
 def _tags(page: str):
@@ -146,10 +164,10 @@ Block = tuple[Node, str, str, bool, float]
 def parse(page: str) -> tuple[list[Node], list[Block]]:
     """The condensed tree in preorder, and the blocks in page order: (node, text, region, dropped, share of text in links); region is article, main or empty."""
     root = Node("#")
-    # Open elements: tag, node, dropped, region; and how many of each tag are open.
-    stack: list[tuple[str, Node, bool, str]] = [("#", root, False, "")]
+    # Open elements: tag, node, why dropped by what stands around an article and within it, region; and how many of each tag are open.
+    stack: list[tuple[str, Node, int, int, str]] = [("#", root, 0, 0, "")]
     open_: dict[str, int] = {}
-    blocks: list[Block] = []
+    blocks: list[tuple[Node, str, str, int, int, float]] = []
     parts: list[str] = []
     linked = [0, 0]
 
@@ -157,8 +175,8 @@ def parse(page: str) -> tuple[list[Node], list[Block]]:
         if parts:
             text = _SPACE.sub(" ", entities.unescape("".join(parts))).strip()
             if text:
-                _, node, dropped, region = stack[-1]
-                blocks.append((node, text, region, dropped, linked[1] / max(1, linked[0])))
+                _, node, outer, inner, region = stack[-1]
+                blocks.append((node, text, region, outer, inner, linked[1] / max(1, linked[0])))
             parts.clear()
             linked[0] = linked[1] = 0
 
@@ -199,18 +217,39 @@ def parse(page: str) -> tuple[list[Node], list[Block]]:
         if tag in SELF_CLOSING:
             for other in SELF_CLOSING[tag]:
                 close(other, {"ul", "ol", "table", "dl", "select"})
-        label, dropped, main = _attributes(tag, raw)
-        _, node, gone, region = stack[-1]
+        label, why, within, main = _attributes(tag, raw)
+        _, node, outer, inner, region = stack[-1]
         node = node.child(label)
-        if tag == "header" and region == "article":
-            dropped = False
+        if region != "article":
+            outer = max(outer, why)
+        elif tag == "article":
+            inner = max(inner, NAME)  # articles in an article are its readers' comments
+        elif tag != "header":
+            inner = max(inner, within)
         if main and region != "article":
             region = "main" if tag == "main" or not label.startswith("article") and "articleBody" not in raw else "article"
         if tag not in VOID:
-            stack.append((tag, node, gone or dropped, region))
+            stack.append((tag, node, outer, inner, region))
             open_[tag] = open_.get(tag, 0) + 1
     end_block()
-    return root.listed(), blocks
+    return root.listed(), _judged(blocks)
+
+
+def _judged(blocks: list[tuple[Node, str, str, int, int, float]]) -> list[Block]:
+    """The blocks with whether they are dropped.
+
+    A name or a form around an article doesn't drop the article if it outweighs all that would be kept; nor do articles within it
+    if it has nothing else, nor a form all of a page.
+    """
+    size = sum(len(b[1]) for b in blocks if not b[3] and not b[4])
+    if not any(b[2] and not b[3] and not b[4] for b in blocks):
+        for most in (0, NAME):
+            inside = [b[2] == "article" and b[3] <= NAME and b[4] <= most for b in blocks]
+            if sum(len(b[1]) for b, x in zip(blocks, inside, strict=True) if x) > size:
+                return [(b[0], b[1], b[2], not x and bool(b[3] or b[4]), b[5]) for b, x in zip(blocks, inside, strict=True)]
+    if not size:
+        return [(b[0], b[1], b[2], b[3] > FORM or bool(b[4]), b[5]) for b in blocks]
+    return [(b[0], b[1], b[2], bool(b[3] or b[4]), b[5]) for b in blocks]
 
 
 def _heaviest(items: list[tuple[int, int, int]]) -> tuple[int, list[int]]:

@@ -366,6 +366,28 @@ def _plain_host(spark, n=12):
     return spark.createDataFrame(rows, "page_id long, url string, html string")
 
 
+@pytest.mark.parametrize(
+    "html",
+    [
+        "<body><div class='menu'>Menu</div><article class='node node-promoted'><h1>Head</h1><p>Body text</p></article></body>",
+        "<body><article class='post no-comments'><h1>Head</h1><p>Body text</p><div class='comments'>C</div></article></body>",
+        "<body><div class='layout with-sidebar'><article><h1>Head</h1><p>Body text</p></article><div class='sidebar'>S</div></div></body>",
+        "<body><form action='/'><div class='menu'>Menu</div><article><h1>Head</h1><p>Body text</p></article></form></body>",
+        "<body><form action='/'><div class='menu'>Menu</div><div><h1>Head</h1><p>Body text</p></div></form></body>",
+        "<body><article><div class='entry-header'><h1>Head</h1></div><p class='social'>Body text</p><div class='social'>Like us</div></article></body>",
+        "<body><article><h1>Head</h1><p>Body text</p><section><article><p>I disagree</p></article></section></article></body>",
+        "<body><article class='shell'><article><h1>Head</h1><p>Body text</p></article></article></body>",
+        "<body><div class='promo'><h1>Head</h1></div><div class='promo'><article><h1>Head</h1><p>Body text</p></article></div><p>x</p></body>",
+        "<body><div><h1>Head</h1><p>Body text</p></div><div class='sidebar'><article>Other</article></div></body>",
+        "<body><main><h1>Head</h1><p>Body text</p></main><div class='sidebar'><article>Another story that is longer than all of it</article></div></body>",
+    ],
+)
+def test_html_extract_keeps_articles_whatever_their_names(html, spark):
+    alone = spark.createDataFrame([(1, "http://a.org/1", html)] + [(10 + i, "http://b.org/x", html.replace("Body text", f"Body text {i}").replace("Head", f"Head {i}")) for i in range(12)], "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html_extract.extract(alone).collect()}
+    assert got == {1: "Head\nBody text"} | {10 + i: f"Head {i}\nBody text {i}" for i in range(12)}
+
+
 def test_html_extract_decides_by_slots(spark, monkeypatch):
     pages = _plain_host(spark)
     want = {i: "\n".join([f"Title {i}", *(f"Paragraph {j} of page {i} tells {i * j} things at length." for j in range(3 + i % 4))]) for i in range(12)}
