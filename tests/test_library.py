@@ -21,7 +21,7 @@ def rows_of(columns, rows):
     return sorted((tuple(norm(r[i]) for i in order) for r in rows), key=lambda t: tuple((x is None, str(x)) for x in t))
 
 
-SOME = ["unwatched_popular", "popularity_strata", "exact_top_k", "entity_preferences", "qualified_preferences", "leave_two_out", "user_folds", "ranking_metrics", "metric_views", "clean_lists", "first_row_wins", "title_resolution", "pending_promotion", "donor_join", "sessions", "stream_upsert"]
+SOME = ["unwatched_popular", "popularity_strata", "exact_top_k", "entity_preferences", "qualified_preferences", "leave_two_out", "user_folds", "ranking_metrics", "metric_views", "clean_lists", "first_row_wins", "title_resolution", "pending_promotion", "donor_join", "sessions", "stream_upsert", "stream_pending_arrivals", "stream_late_upserts", "rated_snapshot", "imported_films", "popularity_medians", "portfolio_invariants", "catalog_coverage"]
 
 
 @pytest.mark.parametrize("name", SOME)

@@ -11,6 +11,7 @@ import pytest
 from marquee.operators import allocation, shelves
 from marquee.operators import category_report as C
 from marquee.operators import ranker_features as X
+from marquee.operators import variants as V
 from marquee.operators.preferences import DEFAULT, FIRST
 
 SHELF = "user_id long, key string, pos int, film_id long, role string, tier string, support long, minimum int, maximum int, head boolean, head_cap int, entity string"
@@ -170,3 +171,34 @@ def test_ranker_formulas_on_a_small_fold(spark):
     b = got[40]
     assert b["svd_rank"] is None and b["source_rank_gap"] is None and b["year_missing"] == b["runtime_missing"] == 1.0 and b["year_distance"] is None and b["cohort_rating_count"] == 0.0
     assert X.group(X.matrix(candidates, logs, films, entity, profiles, 10), "source_only").columns == ["user_id", "film_id", *X.SOURCE]
+
+
+def test_variants_equal_the_shelves_of_each_policy(spark):
+    r = random.Random(12)
+    ranked = []
+    for u in range(6):
+        films = r.sample(range(120), 80)
+        for i, f in enumerate(films):
+            ranked.append((u, f, r.choice([-0.1, 0.2, 0.4]), i + 1 if r.random() < 0.8 else None, i + 1, 0.0, i + 1, r.choice(["svd_only", "both"]), r.choice(["HEAD", "MID", "TAIL"])))
+    tables = {
+        "ranked": spark.createDataFrame(ranked, "user_id long, film_id long, svd_score double, svd_rank long, popularity_rank long, rrf_score double, rrf_rank long, membership string, stratum string"),
+        "users": spark.createDataFrame([(u, u) for u in range(6)], "user_id long, indexed_positive long"),
+        "entity": spark.createDataFrame([(f, fam, f % 4, "x") for f in range(120) for fam in ("genre", "country")], ENTITY),
+        "prefs": spark.createDataFrame([(u, fam, u % 4, 1.0, 9, 4.0) for u in range(6) for fam in ("genre", "country")], "user_id long, family string, entity_id long, affinity double, support long, entity_mean double"),
+        "films": spark.createDataFrame([(f, 1950 + f % 40, f"t{f}") for f in range(120)], "film_id long, year long, title string"),
+        "anchors": spark.createDataFrame([(u, f, 5.0) for u in range(6) for f in (u, u + 50)], "user_id long, film_id long, rating double"),
+        "vectors": spark.createDataFrame([(f, [r.random() - 0.5 for _ in range(3)]) for f in range(120)], "film_id long, vec array<double>"),
+    }
+    base = replace(DEFAULT, hidden_minimum=3, classic_minimum=3, outside_minimum=3, anchor_minimum=3)
+    policies = {"default": base, "first": replace(base, anchor_neighbours=None, outside_no_head=True, outside_no_hidden=False, outside_primary=False), "tight": replace(base, hidden_mid_rank=20, hidden_tail_rank=10, classic_year=1959, outside_svd_rank=30, outside_rrf_rank=40, outside_primary_svd_rank=25, anchor_neighbours=5), "share": replace(base, anchor_neighbours=None, anchor_fraction=0.2, hidden_positives=1)}
+    table = V.policy_table(spark, policies)
+    near = shelves.neighbourhoods(tables["ranked"], tables["anchors"], tables["vectors"], replace(base, anchor_neighbours=10**6)).crossJoin(spark.createDataFrame([(80,)], "candidates long"))
+    made = V.hidden_gems(tables["ranked"], tables["users"], table).unionByName(V.classic_cinema(tables["ranked"], tables["films"], table)).unionByName(V.outside_usual(tables["ranked"], tables["users"], tables["entity"], tables["prefs"], table, base)).unionByName(V.because_you_liked(near, table))
+    got = {}
+    for x in made.collect():
+        got.setdefault((x.variant, x.key), set()).add((x.user_id, x.pos, x.film_id))
+    for name, policy in policies.items():
+        one = [shelves.hidden_gems(tables["ranked"], tables["users"], policy), shelves.classic_cinema(tables["ranked"], tables["films"], policy), shelves.outside_usual(tables["ranked"], tables["users"], tables["entity"], tables["prefs"], policy), shelves.because_you_liked(tables["ranked"], tables["anchors"], tables["vectors"], tables["films"], policy)]
+        for key, rows in zip(("hidden_gems", "classic_cinema", "outside_usual", "because_you_liked"), one, strict=True):
+            assert got.get((name, key), set()) == {(x.user_id, x.pos, x.film_id) for x in rows.collect()}, (name, key)
+    assert {k for _, k in got} == {"hidden_gems", "classic_cinema", "outside_usual", "because_you_liked"}
