@@ -20,14 +20,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Temporary folders of local applications that have no shared one set.
+_temporary: dict[str, str] = {}
+
+
 def work_root(spark: SparkSession) -> str:
     """This application's folder under spark.checkpoint.dir. Where that is unset, a temporary folder will do in local mode only."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        base = tempfile.mkdtemp(prefix="marquee-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        if spark.sparkContext.applicationId not in _temporary:
+            _temporary[spark.sparkContext.applicationId] = tempfile.mkdtemp(prefix="marquee-")
+        base = _temporary[spark.sparkContext.applicationId]
     return f"{base.rstrip('/')}/marquee-{spark.sparkContext.applicationId}"
 
 
