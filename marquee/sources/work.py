@@ -8,14 +8,30 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
-def folder(spark: SparkSession) -> str:
-    """A new folder under spark.checkpoint.dir; where that is unset, a temporary one will do in local mode only."""
+#: Temporary folders of local applications that have no shared one set.
+_temporary: dict[str, str] = {}
+
+
+def _root(spark: SparkSession) -> str:
+    """This application's folder under spark.checkpoint.dir. Where that is unset, a temporary folder will do in local mode only."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        base = tempfile.mkdtemp(prefix="marquee-work-")
-    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+        if spark.sparkContext.applicationId not in _temporary:
+            _temporary[spark.sparkContext.applicationId] = tempfile.mkdtemp(prefix="marquee-")
+        base = _temporary[spark.sparkContext.applicationId]
+    return f"{base.rstrip('/')}/marquee-{spark.sparkContext.applicationId}"
+
+
+def folder(spark: SparkSession) -> str:
+    """A new folder of this application in the shared folder."""
+    return f"{_root(spark)}/{uuid.uuid4().hex}"
+
+
+def clear(spark: SparkSession) -> None:
+    """Deletes all work tables of this application; call it when the results are written."""
+    remove(spark, _root(spark))
 
 
 def saved(df: DataFrame) -> DataFrame:

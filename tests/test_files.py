@@ -48,3 +48,20 @@ def test_partitions_round_trip(spark, tmp_path):
     rows = spark.createDataFrame([(1, 42, 0, "train"), (2, 42, 0, "test")], "user_id long, seed int, fold int, partition string")
     files.write_partitions(rows, str(tmp_path / "d"))
     assert [r.user_id for r in files.read_partition(spark, str(tmp_path / "d"), 42, 0, "test").collect()] == [2]
+
+
+def test_work_tables_lie_in_the_applications_folder_and_go(spark, tmp_path, monkeypatch):
+    from pathlib import Path
+
+    from marquee.sources import work
+
+    class Unset:  # a local session without a shared folder
+        sparkContext, conf = spark.sparkContext, type("Conf", (), {"get": staticmethod(lambda key, default: default)})
+
+    assert work.folder(spark).startswith(f"{spark.conf.get('spark.checkpoint.dir')}/marquee-{spark.sparkContext.applicationId}/")
+    one, two = work.folder(Unset), work.folder(Unset)
+    assert one != two and Path(one).parent == Path(two).parent
+    monkeypatch.setattr(work, "_root", lambda s: str(tmp_path / "mine"))
+    assert work.saved(spark.range(3)).count() == 3 and (tmp_path / "mine").exists()
+    work.clear(spark)
+    assert not (tmp_path / "mine").exists()
