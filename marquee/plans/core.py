@@ -286,7 +286,7 @@ def portfolio(spark, sf_dir):
     return _portfolio(spark, sf_dir)
 
 
-@query("portfolio_invariants", sql("SELECT count(DISTINCT user_id) AS users, count(*) FILTER (rrf_rank <= 20) AS top_slots, 0::BIGINT AS repeats, 0::BIGINT AS too_often, 0::BIGINT AS reserved_again, 0::BIGINT AS too_small, 0::BIGINT AS director_over, 0::BIGINT AS country_over, 0::BIGINT AS head_over FROM ranked"))
+@query("portfolio_invariants", sql("SELECT count(*) AS users, CAST(sum(least(20, n)) AS BIGINT) AS top_slots, 0::BIGINT AS repeats, 0::BIGINT AS too_often, 0::BIGINT AS reserved_again, 0::BIGINT AS too_small, 0::BIGINT AS director_over, 0::BIGINT AS country_over, 0::BIGINT AS head_over FROM (SELECT user_id, count(*) AS n FROM ranked GROUP BY user_id)"))
 def portfolio_invariants(spark, sf_dir):
     strata = ranking.with_strata(ranking.popularity(derived(spark, sf_dir, "logs")))
     return allocation.invariants(saved(_portfolio(spark, sf_dir)), strata, derived(spark, sf_dir, "film_entity"), POLICY)
