@@ -82,3 +82,16 @@ def stream_late_upserts(spark, sf_dir):
         raise ValueError("the observed number of late rows isn't that of the rows kept aside")
     counts = late.groupBy("user_id").agg(F.count("*").alias("late_rows"))
     return table.join(counts, "user_id", "full").select("user_id", "value", F.coalesce("late_rows", F.lit(0)).cast("bigint").alias("late_rows"))
+
+
+@query("stream_rolling_top", "SELECT start, user_id, n, place FROM (SELECT *, row_number() OVER (PARTITION BY start ORDER BY n DESC, user_id) AS place FROM (SELECT time_bucket(INTERVAL 1 DAY, ts) - to_days(CAST(k AS INT)) AS start, user_id, count(*) AS n FROM events, range(7) r(k) WHERE value >= 50 GROUP BY 1, 2)) WHERE place <= 5")
+def stream_rolling_top(spark, sf_dir):
+    """The five users with the most events of 50 and over in every week, a week beginning each day; every fifth event comes two pieces late."""
+    events = read(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    end = events.agg((F.max("event_id") + 1).alias("end"))
+    piece = F.expr("CAST(least(3, event_id * 4 div end + IF(event_id % 5 = 0, 2, 0)) AS INT)")
+    rows = events.crossJoin(F.broadcast(end)).select("user_id", "ts", "value", piece.alias("piece"))  # end is one row
+    path, work, out = folder(spark), folder(spark), None
+    for _ in arriving(rows, 4, path):
+        out = watch.rolling_top_stream(spark, path, work, "user_id", F.col("value") >= 50, "7 days", "1 day", 5)
+    return out

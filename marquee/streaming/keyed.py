@@ -24,7 +24,8 @@ class KeyedTable:
     def __init__(self, spark: SparkSession, path: str, keys: list[str], schema: StructType, buckets: int = 32):
         self.spark, self.path, self.keys, self.schema, self.buckets = spark, path, keys, schema, buckets
 
-    def _bucket(self):
+    def bucket(self):
+        """The bucket of a row."""
         return F.pmod(F.xxhash64(*self.keys), F.lit(self.buckets)).cast("int")
 
     def batches(self) -> list[int]:
@@ -55,11 +56,11 @@ class KeyedTable:
         before = [n for n in self.batches() if n < batch]
         known = self.manifest(before[-1] if before else None)
         rows = rows.select(*self.schema.names)
-        touched = [r[0] for r in rows.select(self._bucket()).distinct().collect()]  # at most as many as there are buckets
-        both = self._files({b: known[b] for b in touched if b in known}).unionByName(rows).withColumn(BUCKET, self._bucket())
+        touched = [r[0] for r in rows.select(self.bucket()).distinct().collect()]  # at most as many as there are buckets
+        both = self._files({b: known[b] for b in touched if b in known}).unionByName(rows).withColumn(BUCKET, self.bucket())
         if touched:
             # One shuffle: rows of a key are in one bucket, so that the fold needs no other.
-            folded = fold(both.repartition(min(len(touched), self.buckets), BUCKET)).select(*self.schema.names).withColumn(BUCKET, self._bucket())
+            folded = fold(both.repartition(min(len(touched), self.buckets), BUCKET)).select(*self.schema.names).withColumn(BUCKET, self.bucket())
             folded.write.mode("overwrite").partitionBy(BUCKET).parquet(f"{self.path}/data/{batch}")
         entries = sorted((known | dict.fromkeys(touched, batch)).items())
         self.spark.createDataFrame(entries, "bucket int, batch bigint").coalesce(1).write.mode("overwrite").parquet(f"{self.path}/manifest/{batch}")

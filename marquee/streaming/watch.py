@@ -8,7 +8,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from datetime import datetime
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from marquee.operators.evaluation import retraining_reasons
@@ -135,3 +135,33 @@ def late_upserts(spark: SparkSession, path: str, work: str, keys: list[str], val
     for part in late[1:]:
         kept = kept.unionByName(part)
     return table.read(), kept, spark.read.parquet(*(f"{work}/progress/{n}" for n in done))
+
+
+def rolling_top_stream(spark: SparkSession, path: str, work: str, item: str, positive: Column, length: str, slide: str, k: int, buckets: int = 32) -> DataFrame:
+    """start, item, n, place: each window's k items with the most positive rows(ts, item, ...) of all that came up to now.
+
+    Counts are a keyed table by window and item, so that a window of many items lies in many buckets. A batch adds to the buckets
+    of its keys and keeps each such bucket's k best items of every window; a window's k best are among these, at most k times
+    buckets. Rows count whenever they come; a row without a time is in no window.
+    """
+    source = _source(spark, path)
+    opened = source.where(positive).select(F.window("ts", length, slide).alias("w"), item)
+    schema = opened.select(F.col("w.start").alias("start"), item, F.lit(0).cast("bigint").alias("n")).schema
+    counts = KeyedTable(spark, f"{work}/counts", ["start", item], schema, buckets)
+    best = KeyedTable(spark, f"{work}/best", ["part"], spark.createDataFrame([], schema).select(F.lit(0).alias("part"), "*", F.lit(0).cast("bigint").alias("batch")).schema, buckets)
+    by = [F.col("n").desc(), item]
+
+    def newest(both: DataFrame) -> DataFrame:
+        last = F.max("batch").over(Window.partitionBy(BUCKET, "part"))
+        return both.withColumn("__last", last).where("batch = __last").drop("__last")
+
+    def put(rows: DataFrame, batch: int) -> None:
+        new = rows.groupBy("w", item).agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), item, "n")
+        counts.merge(new, batch, lambda both: both.groupBy(BUCKET, "start", item).agg(F.sum("n").alias("n")))
+        place = F.row_number().over(Window.partitionBy("part", "start").orderBy(*by))
+        top = counts.written(batch).withColumn("part", counts.bucket()).withColumn("place", place).where(F.col("place") <= k)
+        best.merge(top.withColumn("batch", F.lit(batch).cast("bigint")), batch, newest)
+
+    _run(opened, work, put)
+    place = F.row_number().over(Window.partitionBy("start").orderBy(*by))
+    return best.read().select("start", item, "n").withColumn("place", place).where(F.col("place") <= k)

@@ -151,3 +151,23 @@ def test_spark_drops_as_many_windows_rows_behind_the_watermark(spark, tmp_path):
     assert dropped == [0, 1, 1]
     rows = spark.read.parquet(f"{tmp_path}/out/*").collect()
     assert sorted((r.start, r.event_type, r.n) for r in rows) == [(t(0), "x", 1), (t(200), "x", 2)]
+
+
+def test_rolling_top_adds_up_over_runs(spark, tmp_path):
+    import random
+    from collections import Counter
+
+    rng, start = random.Random(5), datetime(2024, 3, 1)
+    rows = [(rng.choice([1, 1, 1, 2, 3, 4, 5, None]), start + timedelta(hours=rng.randrange(24 * 12)), rng.random()) for _ in range(400)]
+    schema, path, work, seen = "item long, ts timestamp, value double", str(tmp_path / "in"), str(tmp_path / "work"), []
+    for part in (rows[:200], rows[200:390], [], rows[390:] + [(1, None, 1.0)]):
+        if part:
+            spark.createDataFrame(part, schema).write.mode("append").parquet(path)
+        seen += [r for r in part if r[1] is not None]
+        top = watch.rolling_top_stream(spark, path, work, "item", F.col("value") >= 0.3, "3 days", "1 day", 2, buckets=4)
+        n = Counter((d, i) for i, t, v in seen if v >= 0.3 for d in (t.replace(hour=0) - timedelta(days=x) for x in range(3)))
+        want = set()
+        for d in {d for d, _ in n}:
+            best = sorted((-c, i is not None, i or 0) for (e, i), c in n.items() if e == d)[:2]
+            want |= {(d, i if known else None, -c, p + 1) for p, (c, known, i) in enumerate(best)}
+        assert {tuple(r) for r in top.collect()} == want
