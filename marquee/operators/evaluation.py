@@ -308,8 +308,13 @@ def weighted_preferences(logs: DataFrame, films: DataFrame, column: str) -> Data
 
 def dataset_audit(rows: DataFrame, features: list[str]) -> DataFrame:
     """name, value: rows, groups, label shares and each feature's missing rate."""
-    out = rows.agg(F.count("*").cast("double").alias("rows_"), F.count_distinct("user_id").cast("double").alias("groups"), *(F.round(F.avg((F.col("label") == k).cast("double")), 6).alias(f"label_{k}") for k in range(4)), *(F.round(F.avg(F.col(c).isNull().cast("double")), 6).alias(f"missing_{c}") for c in features))
-    return out.unpivot([], out.columns, "name", "value")
+    return dataset_audits(rows, [], features)
+
+
+def dataset_audits(rows: DataFrame, by: list[str], features: list[str]) -> DataFrame:
+    """dataset_audit() of each part of rows by columns."""
+    out = rows.groupBy(*by).agg(F.count("*").cast("double").alias("rows_"), F.count_distinct("user_id").cast("double").alias("groups"), *(F.round(F.avg((F.col("label") == k).cast("double")), 6).alias(f"label_{k}") for k in range(4)), *(F.round(F.avg(F.col(c).isNull().cast("double")), 6).alias(f"missing_{c}") for c in features))
+    return out.unpivot(by, [c for c in out.columns if c not in by], "name", "value")
 
 
 def retraining_decision(logs: DataFrame, trained_films: DataFrame, trained: DataFrame, forced: bool = False, users: int = 100, films: int = 250, days: int = 180) -> DataFrame:
