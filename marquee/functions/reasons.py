@@ -8,6 +8,16 @@ from pyspark.sql import functions as F
 from marquee.functions import ratings as R
 
 
+# What a user without recommendations is told.
+NO_WATCHED = "No watched films found for this user. Cannot provide recommendations."
+NO_USABLE = "No rated films found in the recommendation model for this user. Cannot provide recommendations."
+
+
+def missing_history(watched: Column, usable: Column) -> Column:
+    """Why a user with so many watched films, and rated films of the model, gets no recommendations; null where there is no such reason."""
+    return F.when(watched == 0, NO_WATCHED).when(usable == 0, NO_USABLE)
+
+
 def _candidate(code: str) -> list[Column]:
     both = F.col("membership") == "both"
     agreed = F.when(both, F.array(F.lit("SOURCE_AGREEMENT"))).otherwise(F.array().cast("array<string>"))

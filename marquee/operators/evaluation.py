@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-import pyarrow as pa
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -231,26 +231,49 @@ def chosen_budget(marginal: DataFrame, least: int = 1000, gain: float = 0.02, mo
     return marginal.agg(F.coalesce(first, F.max(F.when(F.col("budget") <= most, F.col("budget")))).alias("budget"))
 
 
+#: Users that a task of the bootstrap draws from at a time.
+BLOCK = 1024
+
+
+def _draws(seed: int, replicates: int, users: int, block: int) -> np.ndarray:
+    """How many of each replicate's draws fall to a block of users.
+
+    All draws are split in two halves of the blocks again and again; a split's generator is seeded by its range, so that every block
+    finds its own numbers and those of all blocks add up to users.
+    """
+    low, high = 0, -(-users // BLOCK)
+    totals = np.full(replicates, users)
+    while high - low > 1:
+        middle = (low + high) // 2
+        share = (middle - low) * BLOCK / (min(high * BLOCK, users) - low * BLOCK)
+        left = np.random.default_rng([seed, 0, low, high]).binomial(totals, share)
+        if block < middle:
+            high, totals = middle, left
+        else:
+            low, totals = middle, totals - left
+    return totals
+
+
 def bootstrap(deltas: DataFrame, replicates: int = 5000, seed: int = 42) -> DataFrame:
-    """One row: users, mean, low and high (95 %) of deltas(user_id, delta), resampling users.
+    """One row: users, mean, low and high (95 %) of deltas(user_id, delta), a row a user, resampling users with replacement.
 
-    A user's share in a replicate is a Poisson draw from its own hash-seeded generator, so the deltas stay distributed and
-    each partition adds up its sums and counts of all replicates.
+    Every replicate draws as many users as there are, each equally likely. Users are numbered in order and cut into blocks; a block
+    draws its own share of all replicates, so that no task holds more than a block. Null deltas take no part; without any, ends are null.
+    The result depends on users, deltas and the seed only, not on partitions.
     """
+    rows = ranged(deltas.select("user_id", F.col("delta").cast("double").alias("delta")).where("delta IS NOT NULL"), ["user_id"], "number")
+    users = rows.count()
+
+    def run(key, group):
+        block, values = int(key[0]), group.sort_values("number")["delta"].to_numpy()
+        draws, rng = _draws(seed, replicates, users, block), np.random.default_rng([seed, 1, block])
+        sums = np.array([values[rng.integers(0, len(values), n)].sum() for n in draws])
+        return pd.DataFrame({"replicate": np.arange(replicates, dtype=np.int32), "s": sums})
 
-    def run(batches):
-        sums, counts = np.zeros(replicates), np.zeros(replicates)
-        for b in batches:
-            for u, d in zip(b.column("user_id").to_pylist(), b.column("delta").to_pylist(), strict=True):
-                draws = np.random.default_rng([seed, u]).poisson(1.0, replicates)
-                sums += draws * d
-                counts += draws
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(replicates)), pa.array(sums), pa.array(counts)], ["replicate", "s", "c"])
-
-    parts = deltas.select("user_id", "delta").mapInArrow(run, "replicate bigint, s double, c double")
-    means = parts.groupBy("replicate").agg(F.sum("s").alias("s"), F.sum("c").alias("c")).select((F.col("s") / F.nullif(F.col("c"), F.lit(0.0))).alias("m"))
+    sums = rows.withColumn("block", F.expr(f"(number - 1) div {BLOCK}")).groupBy("block").applyInPandas(run, "replicate int, s double")
+    means = sums.groupBy("replicate").agg((F.sum("s") / F.lit(float(users or 1))).alias("m"))
     ends = means.agg(F.percentile("m", F.lit(0.025)).alias("low"), F.percentile("m", F.lit(0.975)).alias("high"))
-    return deltas.agg(F.count("*").alias("users"), F.avg("delta").alias("mean")).crossJoin(ends)
+    return rows.agg(F.count("*").alias("users"), F.avg("delta").alias("mean")).crossJoin(ends)
 
 
 def correlation(rows: DataFrame, a: str, b: str) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marquee.functions.cleaning import parse_rating, safe_string, title_key
+from marquee.functions.reasons import missing_history
 from marquee.operators.quality import first_by, ranged
 
 
@@ -57,6 +58,14 @@ def valid_watches(rows: DataFrame) -> DataFrame:
     return out.withColumn("rating", parse_rating(F.col("rating")))
 
 
+def histories(users: DataFrame, logs: DataFrame, items: DataFrame) -> DataFrame:
+    """user_id, watched, rated, usable (rated films of the model), info of every user of users(user_id); info tells why nothing can be recommended."""
+    known = logs.join(items.select("film_id", F.lit(True).alias("__in")), "film_id", "left")
+    counts = known.groupBy("user_id").agg(F.count("*").alias("watched"), F.count("rating").alias("rated"), F.count_if(F.col("__in") & F.col("rating").isNotNull()).alias("usable"))
+    rows = users.join(counts, "user_id", "left").na.fill(0, ["watched", "rated", "usable"])
+    return rows.select("user_id", "watched", "rated", "usable", missing_history(F.col("watched"), F.col("usable")).alias("info"))
+
+
 def in_catalog(rows: DataFrame, films: DataFrame, key: str = "film_id") -> DataFrame:
     """The rows whose film is in the catalog."""
     return rows.join(films.select(key), key, "left_semi")

@@ -8,13 +8,23 @@ from pyspark.sql import functions as F
 from marquee.functions import ratings as R
 
 
+#: Rows with one value are ordered in parts that span 2 to this power of the tie column.
+SPAN = 20
+
+
 def rank_by_value(df: DataFrame, value: str, tie: str, out: str = "rank") -> DataFrame:
-    """The place of each row by (value descending, tie), from 1. Rows with one value are ordered in their own partition; only the distinct values meet in one."""
-    sizes = df.groupBy(value).agg(F.count("*").alias("__n"))
-    before = Window.orderBy(F.col(value).desc()).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select(F.col(value).alias("__v"), F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
-    inner = F.row_number().over(Window.partitionBy(value).orderBy(tie))
-    return df.join(offsets, df[value].eqNullSafe(F.col("__v"))).withColumn(out, (inner + F.col("__before")).cast("bigint")).drop("__v", "__before")
+    """The place of each row by (value descending, tie), from 1; tie is a unique whole number, dense as ids of a catalog are.
+
+    Rows with one value are ordered in parts by ranges of tie, so that one common value (films without positives) doesn't meet in
+    one task; only a row a value and part does.
+    """
+    rows = df.withColumn("__part", F.shiftright(tie, SPAN))
+    sizes = rows.groupBy(value, "__part").agg(F.count("*").alias("__n"))
+    before = Window.orderBy(F.col(value).desc(), "__part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select(F.col(value).alias("__v"), F.col("__part").alias("__p"), F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
+    inner = F.row_number().over(Window.partitionBy(value, "__part").orderBy(tie))
+    joined = rows.join(offsets, F.col(value).eqNullSafe(F.col("__v")) & (F.col("__part") == F.col("__p")))
+    return joined.withColumn(out, (inner + F.col("__before")).cast("bigint")).drop("__v", "__p", "__part", "__before")
 
 
 def popularity(logs: DataFrame, threshold: float = R.POSITIVE) -> DataFrame:

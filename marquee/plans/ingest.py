@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from marquee.functions import cleaning as C
+from marquee.functions.reasons import NO_USABLE, NO_WATCHED
 from marquee.operators import identity, quality
 from marquee.plans.core import sql
 from marquee.plans.registry import query
@@ -74,6 +75,14 @@ def user_history(spark, sf_dir):
     return users.join(derived(spark, sf_dir, "logs"), "user_id", "left").groupBy("user_id").agg(F.count("film_id").alias("watched"), F.count("rating").alias("rated"))
 
 
+@query("recommendation_status", oracle(f"""SELECT user_id, watched, rated, usable, CASE WHEN watched = 0 THEN '{NO_WATCHED}' WHEN usable = 0 THEN '{NO_USABLE}' END AS info
+    FROM (SELECT c_custkey AS user_id, count(l.film_id) AS watched, count(rating) AS rated, count(rating) FILTER (i.film_id IS NOT NULL) AS usable FROM customer LEFT JOIN logs l ON c_custkey = user_id LEFT JOIN (SELECT film_id FROM item_vectors) i ON i.film_id = l.film_id GROUP BY c_custkey)"""))
+def recommendation_status(spark, sf_dir):
+    """What every customer's history allows, unknown to the logs or not."""
+    users = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("user_id"))
+    return identity.histories(users, derived(spark, sf_dir, "logs"), derived(spark, sf_dir, "item_vectors"))
+
+
 @query("catalog_snapshot", oracle("SELECT film_id, family, string_agg(CAST(entity_id AS VARCHAR), ',' ORDER BY entity_id) AS ids FROM (SELECT DISTINCT film_id, family, entity_id FROM film_entity WHERE film_id IN (SELECT film_id FROM item_vectors)) GROUP BY film_id, family"))
 def catalog_snapshot(spark, sf_dir):
     rows = derived(spark, sf_dir, "film_entity").join(derived(spark, sf_dir, "item_vectors"), "film_id", "left_semi")
@@ -103,25 +112,27 @@ def title_resolution(spark, sf_dir):
     return identity.resolve_titles(entries, films)
 
 
-@query("pending_promotion", oracle("""SELECT o_orderkey AS id, u.user_id, o_orderkey % 2000 AS film_id, CAST(NULL AS DOUBLE) AS rating, CASE WHEN u.user_id IS NULL THEN 'failed' WHEN l.user_id IS NOT NULL OR row_number() OVER (PARTITION BY u.user_id, o_orderkey % 2000 ORDER BY o_orderkey) > 1 THEN 'retired' ELSE 'insert' END AS action
-    FROM orders LEFT JOIN (SELECT c_custkey AS user_id FROM customer WHERE c_custkey % 4 <> 0) u ON u.user_id = o_custkey LEFT JOIN logs l ON l.user_id = u.user_id AND l.film_id = o_orderkey % 2000"""))
+@query("pending_promotion", oracle("""SELECT seq AS id, u.user_id, p.film_id, p.rating, CASE WHEN u.user_id IS NULL THEN 'failed' WHEN l.user_id IS NOT NULL OR row_number() OVER (PARTITION BY u.user_id, p.film_id ORDER BY seq) > 1 THEN 'retired' ELSE 'insert' END AS action
+    FROM (SELECT r.user_id, r.film_id, r.seq, min(r.rating) AS rating FROM raw_logs r JOIN films f ON r.film_id = f.film_id WHERE f.year >= 1930 GROUP BY ALL) p LEFT JOIN (SELECT c_custkey AS user_id FROM customer WHERE c_acctbal >= 0) u ON u.user_id = p.user_id LEFT JOIN (SELECT user_id, film_id FROM logs WHERE rating IS NULL) l ON l.user_id = u.user_id AND l.film_id = p.film_id"""))
 def pending_promotion(spark, sf_dir):
-    pending = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").cast("string").alias("username"), (F.col("o_orderkey") % 2000).cast("string").alias("slug"), F.lit(None).cast("double").alias("rating"))
-    users = read(spark, sf_dir, "customer").where("c_custkey % 4 <> 0").select(F.col("c_custkey").cast("string").alias("username"), F.col("c_custkey").alias("user_id"))
-    processed = spark.range(2000).select(F.col("id").cast("string").alias("slug"), F.col("id").alias("film_id"))
-    return identity.promote_pending(pending, users, derived(spark, sf_dir, "logs"), processed)
+    """Every raw rating waits; films from 1930 on have been processed, customers without debts are known, unrated films are logged already."""
+    raw = derived(spark, sf_dir, "raw_logs").groupBy("user_id", "film_id", "seq").agg(F.min("rating").alias("rating"))
+    pending = raw.select(F.col("seq").alias("id"), F.col("user_id").cast("string").alias("username"), F.col("film_id").cast("string").alias("slug"), "rating")
+    users = read(spark, sf_dir, "customer").where("c_acctbal >= 0").select(F.col("c_custkey").cast("string").alias("username"), F.col("c_custkey").alias("user_id"))
+    processed = derived(spark, sf_dir, "films").where("year >= 1930").select(F.col("film_id").cast("string").alias("slug"), "film_id")
+    return identity.promote_pending(pending, users, derived(spark, sf_dir, "logs").where("rating IS NULL"), processed)
 
 
 @query("profile_reconciliation", oracle("""SELECT CAST(a.user_id AS VARCHAR) AS username, a.user_id, CAST(a.film_id AS VARCHAR) AS slug, p_partkey AS film_id, a.rating,
     CASE WHEN p_partkey IS NOT NULL AND l.user_id IS NULL THEN 'insert' WHEN p_partkey IS NOT NULL AND l.rating IS DISTINCT FROM a.rating THEN 'update' WHEN p_partkey IS NOT NULL THEN 'keep'
-        WHEN a.film_id >= 2000 OR a.film_id % 10 <> 0 THEN 'enqueue' WHEN a.film_id % 20 <> 0 THEN 'terminal' WHEN a.user_id % 7 = 0 AND a.rating IS DISTINCT FROM 3.0 THEN 'refresh' ELSE 'wait' END AS action
+        WHEN q.film_id IS NULL THEN 'enqueue' WHEN q.runtime % 2 = 1 THEN 'terminal' WHEN a.user_id % 7 = 0 AND a.rating IS DISTINCT FROM 3.0 THEN 'refresh' ELSE 'wait' END AS action
     FROM (SELECT * FROM raw_logs QUALIFY row_number() OVER (PARTITION BY user_id, film_id ORDER BY seq DESC, source DESC, price DESC) = 1) a
-    LEFT JOIN (SELECT p_partkey FROM part WHERE p_partkey % 5 <> 0) ON p_partkey = a.film_id LEFT JOIN logs l ON l.user_id = a.user_id AND l.film_id = a.film_id AND l.user_id % 2 = 0"""))
+    LEFT JOIN (SELECT p_partkey FROM part WHERE p_partkey % 5 <> 0) ON p_partkey = a.film_id LEFT JOIN (SELECT film_id, runtime FROM films WHERE year < 1960) q ON q.film_id = a.film_id LEFT JOIN logs l ON l.user_id = a.user_id AND l.film_id = a.film_id AND l.user_id % 2 = 0"""))
 def profile_reconciliation(spark, sf_dir):
     raw = derived(spark, sf_dir, "raw_logs")
     profile = raw.select(F.col("user_id").cast("string").alias("username"), "user_id", F.col("film_id").cast("string").alias("slug"), "rating", F.struct("seq", "source", "price").alias("seq"))
     films = derived(spark, sf_dir, "films").where("film_id % 5 <> 0").select(F.col("film_id").cast("string").alias("slug"), "film_id")
-    queue = spark.range(0, 2000, 10).select(F.col("id").cast("string").alias("slug"), F.when(F.col("id") % 20 == 0, "PENDING").otherwise("FILTERED").alias("status"))
+    queue = derived(spark, sf_dir, "films").where("year < 1960").select(F.col("film_id").cast("string").alias("slug"), F.when(F.col("runtime") % 2 == 0, "PENDING").otherwise("FILTERED").alias("status"))
     pending = profile.where("user_id % 7 = 0").select("username", "slug", F.lit(3.0).alias("rating")).distinct()
     return identity.reconcile(profile, films, derived(spark, sf_dir, "logs").where("user_id % 2 = 0"), queue, pending)
 
