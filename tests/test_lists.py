@@ -68,3 +68,20 @@ def test_lists_are_not_shuffled_as_rows(spark, sf, name):
     lines = operators(catalog.QUERIES[name](spark, sf))
     made = next(i for i, line in enumerate(lines) if "Generate" in line or "MapInArrow" in line)
     assert not any("Exchange" in line for line in lines[:made])
+
+
+def test_entities_by_number_keep_names_and_repeats(spark):
+    from marquee.operators import preferences
+
+    logs = spark.createDataFrame([(1, 1, 4.0), (1, 2, 2.0), (2, 2, 5.0), (2, 3, 4.5), (3, 9, 4.0), (1, 3, None)], "user_id long, film_id long, rating double")
+    entity = spark.createDataFrame([(1, "genre", 5, "a"), (2, "genre", 5, "b"), (2, "genre", 5, "b"), (2, "director", 5, None), (3, "genre", 6, "c")], "film_id long, family string, entity_id long, name string")
+    rated = logs.where("rating IS NOT NULL")
+    want = rated.join(entity, "film_id").select("user_id", "rating", "family", "entity_id", "name")
+    rows = preferences.entity_ratings(rated, entity)
+    assert sorted(map(str, rows.select(want.columns).collect())) == sorted(map(str, want.collect()))
+    got = {(r.user_id, r.family, r.entity_id): (r["name"], r.support) for r in preferences.entity_preferences(logs, entity).collect()}
+    assert got == {(1, "genre", 5): ("b", 3), (1, "director", 5): (None, 1), (2, "genre", 5): ("b", 2), (2, "director", 5): (None, 1), (2, "genre", 6): ("c", 1)}
+    # Behind the shuffle by user, entities aren't shuffled again as rows.
+    lines = operators(rows.groupBy("user_id", "family", "entity_id").count())
+    made = next(i for i, line in enumerate(lines) if "Generate" in line)
+    assert not any("Exchange hash" in line for line in lines[:made])
