@@ -85,3 +85,18 @@ def test_entities_by_number_keep_names_and_repeats(spark):
     lines = operators(rows.groupBy("user_id", "family", "entity_id").count())
     made = next(i for i, line in enumerate(lines) if "Generate" in line)
     assert not any("Exchange hash" in line for line in lines[:made])
+
+
+@pytest.mark.parametrize("most", [1 << 20, 3])
+def test_affinities_meet_as_rows_do(spark, world, most):
+    from marquee.operators import evaluation
+
+    logs, _ = world
+    entity = spark.range(1, 90).select(F.col("id").alias("film_id"), F.explode(F.expr("filter(array(named_struct('family', 'genre', 'entity_id', id % 7), named_struct('family', 'director', 'entity_id', id % 11), named_struct('family', 'genre', 'entity_id', id % 5)), x -> id % 13 <> 0)")).alias("x")).select("film_id", "x.*", F.lit("n").alias("name"))
+    popular, affinity = ranking.popularity(logs), evaluation.ranker_affinity(logs.where("user_id <> 7"), entity)
+    want = evaluation.candidate_affinity(ranking.popularity_candidates(logs, popular, 20), entity, affinity)
+    df = evaluation.popular_affinity(ranking.watched_places(logs, popular, 20, most), 20, entity, affinity)
+    assert df.count() == want.count() > 500
+    assert df.select(want.columns).exceptAll(want).count() == 0
+    lines = operators(df)
+    assert most == 3 or not any("Exchange hash" in line for line in lines[: next(i for i, line in enumerate(lines) if "MapInArrow" in line)])
