@@ -100,3 +100,10 @@ def test_affinities_meet_as_rows_do(spark, world, most):
     assert df.select(want.columns).exceptAll(want).count() == 0
     lines = operators(df)
     assert most == 3 or not any("Exchange hash" in line for line in lines[: next(i for i, line in enumerate(lines) if "MapInArrow" in line)])
+
+
+def test_shelves_without_preferences_make_none(spark, sf, monkeypatch):
+    from marquee.operators import preferences
+
+    monkeypatch.setattr(preferences, "entity_preferences", lambda *_: pytest.fail("not needed"))
+    assert catalog.QUERIES["shelf_classic_cinema"](spark, sf).count() > 0
