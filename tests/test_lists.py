@@ -107,3 +107,17 @@ def test_shelves_without_preferences_make_none(spark, sf, monkeypatch):
 
     monkeypatch.setattr(preferences, "entity_preferences", lambda *_: pytest.fail("not needed"))
     assert catalog.QUERIES["shelf_classic_cinema"](spark, sf).count() > 0
+
+
+def test_samples_shuffle_candidates_once(spark, world):
+    from marquee.operators import evaluation
+
+    logs, _ = world
+    rows = ranking.popularity_candidates(logs, ranking.popularity(logs), 60).withColumn("membership", F.lit("both"))
+    labels = rows.where("film_id % 9 = 0").select("user_id", "film_id", F.lit(2).alias("label"))
+    got = evaluation.sampled_groups(rows, labels, 20)
+    assert got.where("label > 0").exceptAll(labels.withColumn("taken_by", F.lit("positive"))).count() == 0
+    assert got.where("label > 0").count() == labels.count()
+    assert got.groupBy("user_id").count().where("count > 20").join(labels.groupBy("user_id").count().where("count > 20"), "user_id", "left_anti").count() == 0
+    lines = operators(got)
+    assert sum("Exchange" in line for line in lines[: next(i for i, line in enumerate(lines) if "Generate" in line)]) == 1
