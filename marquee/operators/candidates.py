@@ -26,11 +26,12 @@ def seed_pass(logs: DataFrame, items: DataFrame, seed: int, depth: int = 200) ->
     targets = split.where("role = 'test'").select("user_id", "film_id")
     mine = saved(context.join(targets.select("user_id"), "user_id", "left_semi"))
     known = items.join(popular.select("film_id"), "film_id", "left_semi")
-    svd = vectors.exact_top_k(vectors.user_profiles(mine, known), known, depth, mine)
-    both = ranking.union_sources(svd, ranking.popularity_candidates(mine, popular, depth, "post_exclusion"))
+    svd, places = vectors.top_k_lists(vectors.user_profiles(mine, known), known, depth, mine), ranking.watched_places(mine, popular, depth)
+    both = ranking.candidates(svd, places, depth, mode="post_exclusion")
     rows = both.join(targets.withColumn("target", F.lit(True)), ["user_id", "film_id"], "full")
     rows = rows.select("user_id", "film_id", "svd_rank", "popularity_rank", F.coalesce("target", F.lit(False)).alias("target"))
-    return rows.join(popular.select("film_id", "stratum", "percentile"), "film_id")
+    within = known.select("film_id").unionByName(places.films.select("film_id")).unionByName(targets.select("film_id")).distinct()
+    return rows.join(ranking.small(saved(popular.join(within, "film_id", "left_semi").select("film_id", "stratum", "percentile"))), "film_id")
 
 
 def _by_source(rows: DataFrame) -> DataFrame:
