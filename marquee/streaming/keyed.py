@@ -11,6 +11,8 @@ from pyspark.sql.types import StructType
 from marquee.sources.work import remove, versions
 
 BUCKET = "__bucket"
+#: Rows that a task of a merge holds, about.
+PART = 1 << 20
 
 
 class KeyedTable:
@@ -21,8 +23,8 @@ class KeyedTable:
     starts from the manifest before it and replaces its own files. The last two manifests stay readable.
     """
 
-    def __init__(self, spark: SparkSession, path: str, keys: list[str], schema: StructType, buckets: int = 32):
-        self.spark, self.path, self.keys, self.schema, self.buckets = spark, path, keys, schema, buckets
+    def __init__(self, spark: SparkSession, path: str, keys: list[str], schema: StructType, buckets: int = 32, part_rows: int = PART):
+        self.spark, self.path, self.keys, self.schema, self.buckets, self.part_rows = spark, path, keys, schema, buckets, part_rows
 
     def bucket(self):
         """The bucket of a row."""
@@ -56,11 +58,15 @@ class KeyedTable:
         before = [n for n in self.batches() if n < batch]
         known = self.manifest(before[-1] if before else None)
         rows = rows.select(*self.schema.names)
-        touched = [r[0] for r in rows.select(self.bucket()).distinct().collect()]  # at most as many as there are buckets
-        both = self._files({b: known[b] for b in touched if b in known}).unionByName(rows).withColumn(BUCKET, self.bucket())
+        new = dict(rows.groupBy(self.bucket().alias("b")).count().collect())  # at most as many as there are buckets
+        touched = list(new)
+        kept = self._files({b: known[b] for b in touched if b in known})
         if touched:
-            # One shuffle: rows of a key are in one bucket, so that the fold needs no other.
-            folded = fold(both.repartition(min(len(touched), self.buckets), BUCKET)).select(*self.schema.names).withColumn(BUCKET, self.bucket())
+            # One shuffle: rows of a key are in one part of a bucket, so that the fold needs no other. Large buckets have more parts.
+            parts = -(-(kept.count() + sum(new.values())) // (len(touched) * self.part_rows))
+            part = F.pmod(F.xxhash64(*self.keys), F.lit(self.buckets * parts))
+            both = kept.unionByName(rows).withColumn(BUCKET, part)
+            folded = fold(both.repartition(min(len(touched), self.buckets) * parts, BUCKET)).select(*self.schema.names).withColumn(BUCKET, self.bucket())
             folded.write.mode("overwrite").partitionBy(BUCKET).parquet(f"{self.path}/data/{batch}")
         entries = sorted((known | dict.fromkeys(touched, batch)).items())
         self.spark.createDataFrame(entries, "bucket int, batch bigint").coalesce(1).write.mode("overwrite").parquet(f"{self.path}/manifest/{batch}")

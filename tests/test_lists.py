@@ -121,3 +121,20 @@ def test_samples_shuffle_candidates_once(spark, world):
     assert got.groupBy("user_id").count().where("count > 20").join(labels.groupBy("user_id").count().where("count > 20"), "user_id", "left_anti").count() == 0
     lines = operators(got)
     assert sum("Exchange" in line for line in lines[: next(i for i, line in enumerate(lines) if "Generate" in line)]) == 1
+
+
+def test_large_buckets_are_merged_in_parts(spark, tmp_path):
+    from marquee.streaming.keyed import BUCKET, KeyedTable, last_by
+
+    schema = spark.createDataFrame([], "k bigint, v bigint, at bigint").schema
+    table = KeyedTable(spark, str(tmp_path / "t"), ["k"], schema, 4, part_rows=100)
+    widest = []
+
+    def fold(both):
+        widest.append(max(r["count"] for r in both.groupBy(F.spark_partition_id(), BUCKET).count().collect()))
+        return last_by(["k"], ["v"], ["at"])(both)
+
+    for batch in range(3):
+        table.merge(spark.range(batch * 500, batch * 500 + 1000).selectExpr("id AS k", f"id * 10 + {batch} AS v", f"{batch}L AS at"), batch, fold)
+    assert sorted((r.k, r.v) for r in table.read().collect()) == [(k, k * 10 + min(k // 500, 2)) for k in range(2000)]
+    assert max(widest) < 250  # a whole bucket has 250 to 500 rows
