@@ -12,7 +12,7 @@ from marquee.plans.evaluation import _SWEEP, _labels, _sweep, candidates_of_cont
 from marquee.plans.features import _shelves
 from marquee.plans.registry import query
 from marquee.sources import files
-from marquee.sources.bridge import derived, oracle, read
+from marquee.sources.bridge import derived, kept, oracle, read
 from marquee.sources.work import folder, saved
 from marquee.streaming import jobs
 
@@ -61,7 +61,7 @@ def cohort_logs(spark, sf_dir):
 
 @query("watched_with_ratings", oracle("SELECT user_id, film_id, rating FROM logs"))
 def watched_with_ratings(spark, sf_dir):
-    logs = derived(spark, sf_dir, "logs")
+    logs = kept(spark, sf_dir, "logs")  # read twice
     rated = logs.where("rating IS NOT NULL")
     never = rated.select("user_id", (-1 - F.col("film_id")).alias("film_id"), "rating")  # rated, but not watched
     return identity.watched_with_ratings(logs.select("user_id", "film_id"), rated.unionByName(never))

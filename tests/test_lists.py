@@ -138,3 +138,8 @@ def test_large_buckets_are_merged_in_parts(spark, tmp_path):
         table.merge(spark.range(batch * 500, batch * 500 + 1000).selectExpr("id AS k", f"id * 10 + {batch} AS v", f"{batch}L AS at"), batch, fold)
     assert sorted((r.k, r.v) for r in table.read().collect()) == [(k, k * 10 + min(k // 500, 2)) for k in range(2000)]
     assert max(widest) < 250  # a whole bucket has 250 to 500 rows
+
+
+def test_a_query_derives_its_logs_once(spark, sf):
+    text = "\n".join(operators(catalog.QUERIES["watched_with_ratings"](spark, sf)))
+    assert "lineitem.parquet" not in text and "Window" not in text
