@@ -143,3 +143,23 @@ def test_large_buckets_are_merged_in_parts(spark, tmp_path):
 def test_a_query_derives_its_logs_once(spark, sf):
     text = "\n".join(operators(catalog.QUERIES["watched_with_ratings"](spark, sf)))
     assert "lineitem.parquet" not in text and "Window" not in text
+
+
+def test_svd_hands_on_a_row_a_film_and_part(spark, world):
+    logs, _ = world
+    rated = logs.groupBy("user_id", "film_id").agg(F.max("rating").alias("rating"))
+    links = saved(vectors._links(rated, 150))
+    parts = links.select("p").distinct().count()
+    assert parts > 2 and links.selectExpr("sum(size(u))").first()[0] == rated.count()
+    block = saved(links.groupBy("film_id").agg(F.collect_list("p").alias("parts")).selectExpr("film_id", "parts", "double(film_id) q0", "1.0D q1"))
+    matrix = {(r.user_id, r.film_id): r.rating for r in rated.collect()}
+    users, films = sorted({u for u, _ in matrix}), sorted({f for _, f in matrix})
+    a = np.array([[matrix.get((u, f), 0.0) for f in films] for u in users])
+    sums = a @ np.array([[float(f), 1.0] for f in films])
+    rows = vectors._passed(links, block)
+    assert rows.count() == links.count() < rated.count()
+    got = {r.film_id: (r.a, r.b) for r in rows.groupBy("film_id").agg(F.sum("q0").alias("a"), F.sum("q1").alias("b")).collect()}
+    assert np.allclose([got[f] for f in films], a.T @ sums)
+    assert np.allclose(vectors._collected(vectors._passed(links, block, gram=True), 2), sums.T @ sums)
+    one, many = (np.array([r.vec for r in vectors.truncated_svd(logs, 4, part=p).orderBy("film_id").collect()]) for p in (vectors.PART, 150))
+    assert np.allclose(one @ one.T, many @ many.T, atol=1e-6)  # signs of columns are open
