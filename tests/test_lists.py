@@ -163,3 +163,30 @@ def test_svd_hands_on_a_row_a_film_and_part(spark, world):
     assert np.allclose(vectors._collected(vectors._passed(links, block, gram=True), 2), sums.T @ sums)
     one, many = (np.array([r.vec for r in vectors.truncated_svd(logs, 4, part=p).orderBy("film_id").collect()]) for p in (vectors.PART, 150))
     assert np.allclose(one @ one.T, many @ many.T, atol=1e-6)  # signs of columns are open
+
+
+@pytest.mark.parametrize("item_rows", [16384, 100])
+def test_best_of_many_items_with_ties_and_gaps(spark, item_rows):
+    rng = np.random.default_rng(3)
+    base = np.round(rng.normal(size=(40, 3)), 2)
+    y = {i: base[i % 40] if i % 7 else np.round(rng.normal(size=3), 7) for i in range(900)} | {900: np.array([np.nan, 1, 1]), 901: np.array([np.inf, 0, 0])}
+    x = {i: np.round(rng.normal(size=3), 1) for i in range(30)} | {30: np.zeros(3)}
+    seen = {(u, int(f)) for u in x for f in rng.integers(0, 900, 60)} | {(0, f) for f in range(895)}
+    frame = lambda d, key: spark.createDataFrame([(i, [float(c) for c in v]) for i, v in d.items()], f"{key} long, vec array<double>")
+    got = vectors.exact_top_k(frame(x, "user_id"), frame(y, "film_id"), 12, spark.createDataFrame(sorted(seen), "user_id long, film_id long"), item_rows=item_rows)
+    found = sorted((r.user_id, r.svd_rank, r.film_id, round(r.svd_score, 6)) for r in got.collect())
+    want = []
+    for u, a in x.items():
+        s = [(-round(float(a @ v), 6), f) for f, v in y.items() if (u, f) not in seen and np.isfinite(a @ v)]
+        want += [(u, n + 1, f, -c) for n, (c, f) in enumerate(sorted(s)[:12])]
+    assert found == sorted(want)
+
+
+def test_only_the_best_scores_are_ordered():
+    scores = np.random.default_rng(4).normal(size=(50, 4000))
+    scores[0, 5:] = -np.inf
+    owner, at = vectors.near_best(scores, 10)
+    assert len(owner) < 50 * 40
+    for i in range(1, 50):
+        assert set(np.argsort(-scores[i])[:10]) <= set(at[owner == i])
+    assert list(at[owner == 0]) == [0, 1, 2, 3, 4]
