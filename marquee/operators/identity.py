@@ -101,14 +101,26 @@ def reconcile(profile: DataFrame, films: DataFrame, logs: DataFrame, queue: Data
 
     Known films: insert, update (a new rating) or keep. Unknown: wait (queued already, open), enqueue (not queued),
     terminal (queued and filtered or failed), or refresh where it is pending with another rating.
+
+    A user's profile and logs are shuffled together by user and slug, where a log stands in front of the profile's last row. Films
+    and queue are one table, so that the profile meets them in one join; logs (a row a user and film), films and queue are unique.
     """
-    last = first_by(profile, ["user_id", "slug"], [F.col("seq").desc()])
-    rows = last.join(films.select("slug", "film_id"), "slug", "left")
-    rows = rows.join(logs.select("user_id", "film_id", F.col("rating").alias("old"), F.lit(True).alias("logged")), ["user_id", "film_id"], "left")
-    rows = rows.join(queue.select("slug", "status"), "slug", "left").join(pending.select("username", "slug", F.col("rating").alias("waiting"), F.lit(True).alias("is_pending")), ["username", "slug"], "left")
+    types, key = dict(profile.dtypes), ["user_id", "slug"]
+    marks = logs.join(films.select("slug", "film_id"), "film_id").where("user_id IS NOT NULL AND slug IS NOT NULL")
+    marks = marks.select(*(F.col(c).cast(types[c]).alias(c) for c in key), F.col("rating").alias("old"), F.lit(True).alias("mark"))
+    rows = profile.select(*key, "username", "rating", "seq", F.lit(False).alias("mark")).unionByName(marks, allowMissingColumns=True)
+    turn = Window.partitionBy(*key).orderBy(F.col("mark").desc(), F.col("seq").desc())
+    rows = rows.withColumns({"logged": F.lag("mark").over(turn), "old": F.lag("old").over(turn)}).where(~F.col("mark") & F.coalesce("logged", F.lit(True)))
     known = F.when(F.col("logged").isNull(), "insert").when(~F.col("old").eqNullSafe(F.col("rating")), "update").otherwise("keep")
-    unknown = F.when(F.col("status").isNull(), "enqueue").when(F.col("status").isin("FILTERED", "FAILED"), "terminal").when(F.col("is_pending") & ~F.col("waiting").eqNullSafe(F.col("rating")), "refresh").otherwise("wait")
-    return rows.select("username", "user_id", "slug", "film_id", "rating", F.when(F.col("film_id").isNotNull(), known).otherwise(unknown).alias("action"))
+    catalog = films.select("slug", "film_id").join(queue.select("slug", "status"), "slug", "full")
+    rows = rows.select(*key, "username", "rating", known.alias("action")).join(catalog, "slug", "left")
+    # What is left open hangs on the pending row.
+    status = F.col("status")
+    action = F.when(F.col("film_id").isNotNull(), F.col("action")).when(status.isNull(), "enqueue").when(status.isin("FILTERED", "FAILED"), "terminal")
+    rows = rows.select("username", "user_id", "slug", "film_id", "rating", action.alias("action"))
+    rows = rows.join(pending.select("username", "slug", F.col("rating").alias("waiting"), F.lit(True).alias("is_pending")), ["username", "slug"], "left")
+    waits = F.when(F.col("is_pending") & ~F.col("waiting").eqNullSafe(F.col("rating")), "refresh").otherwise("wait")
+    return rows.select("username", "user_id", "slug", "film_id", "rating", F.coalesce("action", waits).alias("action"))
 
 
 def propagate_terminal(pending: DataFrame, queue: DataFrame) -> DataFrame:

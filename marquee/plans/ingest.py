@@ -134,7 +134,9 @@ def profile_reconciliation(spark, sf_dir):
     films = derived(spark, sf_dir, "films").where("film_id % 5 <> 0").select(F.col("film_id").cast("string").alias("slug"), "film_id")
     queue = derived(spark, sf_dir, "films").where("year < 1960").select(F.col("film_id").cast("string").alias("slug"), F.when(F.col("runtime") % 2 == 0, "PENDING").otherwise("FILTERED").alias("status"))
     pending = profile.where("user_id % 7 = 0").select("username", "slug", F.lit(3.0).alias("rating")).distinct()
-    return identity.reconcile(profile, films, derived(spark, sf_dir, "logs").where("user_id % 2 = 0"), queue, pending)
+    # Even users' orders alone make their logs; the condition on user_id wouldn't get below the window.
+    logs = derived(spark, sf_dir, "logs", orders=read(spark, sf_dir, "orders").where("o_custkey % 2 = 0"))
+    return identity.reconcile(profile, films, logs, queue, pending)
 
 
 @query("terminal_propagation", oracle("SELECT o_orderkey AS id, CASE WHEN o_orderstatus = 'P' AND o_orderkey % 3 = 0 THEN 'FAILED' WHEN o_orderstatus = 'P' THEN 'PENDING' ELSE 'PROCESSED' END AS status FROM orders"))

@@ -190,3 +190,34 @@ def test_only_the_best_scores_are_ordered():
     for i in range(1, 50):
         assert set(np.argsort(-scores[i])[:10]) <= set(at[owner == i])
     assert list(at[owner == 0]) == [0, 1, 2, 3, 4]
+
+
+def test_profile_meets_its_logs_in_one_shuffle(spark):
+    from marquee.operators import identity
+
+    rng = np.random.default_rng(6)
+    frame = lambda rows, schema: spark.createDataFrame([tuple(r) for r in rows], schema)
+    draws = zip(*(rng.integers(0, n, 400).tolist() for n in (8, 60, 11)), strict=True)
+    entries = [(f"u{u + 1}", u + 1, f"s{f}", None if r == 0 else r / 2, i) for i, (u, f, r) in enumerate(draws)]
+    films = {f"s{f}": f // 2 for f in range(40)}  # two slugs a film
+    logs = {(u, f): None if (u + f) % 5 == 0 else (u + f) % 11 / 2 for u in range(1, 9) for f in range(0, 20, 2)}
+    queue = {f"s{f}": ("PENDING", "FILTERED", "FAILED")[f % 3] for f in range(30, 55)}
+    waiting = {(f"u{u}", f"s{f}"): (u + f) % 4 / 1.0 for u in range(1, 9) for f in range(40, 60, 2)}
+    schema = "username string, user_id long, slug string, rating double, seq int"
+    got = identity.reconcile(frame(entries, schema), frame(films.items(), "slug string, film_id long"), frame(((*k, r) for k, r in logs.items()), "user_id long, film_id long, rating double"), frame(queue.items(), "slug string, status string"), frame(((*k, r) for k, r in waiting.items()), "username string, slug string, rating double"))
+    want = []
+    for name, u, s, r, _ in {(x[1], x[2]): x for x in entries}.values():
+        f = films.get(s)
+        if f is not None:
+            action = "insert" if (u, f) not in logs else "update" if logs[u, f] != r else "keep"
+        else:
+            action = "enqueue" if s not in queue else "terminal" if queue[s] != "PENDING" else "refresh" if (name, s) in waiting and waiting[name, s] != r else "wait"
+        want.append((name, u, s, f, r, action))
+    assert sorted(map(repr, want)) == sorted(repr(tuple(r)) for r in got.select("username", "user_id", "slug", "film_id", "rating", "action").collect())
+    assert {w[-1] for w in want} == {"insert", "update", "keep", "enqueue", "terminal", "refresh", "wait"}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        lines = operators(got.select("*"))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert sum("Exchange" in x for x in lines[: next(i for i, x in enumerate(lines) if "Window" in x)]) == 2
