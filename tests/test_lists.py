@@ -192,6 +192,12 @@ def test_only_the_best_scores_are_ordered():
     assert list(at[owner == 0]) == [0, 1, 2, 3, 4]
 
 
+def test_popularity_counts_films_once(spark, sf, world):
+    logs, _ = world
+    text = "\n".join(operators(ranking.with_strata(ranking.popularity(logs))))
+    assert "rating" not in text  # ratings were read when films were counted, not again for each part of the ranks
+
+
 def test_profile_meets_its_logs_in_one_shuffle(spark):
     from marquee.operators import identity
 
