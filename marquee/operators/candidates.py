@@ -26,7 +26,8 @@ def seed_pass(logs: DataFrame, items: DataFrame, seed: int, depth: int = 200) ->
     targets = split.where("role = 'test'").select("user_id", "film_id")
     mine = saved(context.join(targets.select("user_id"), "user_id", "left_semi"))
     known = items.join(popular.select("film_id"), "film_id", "left_semi")
-    svd, places = vectors.top_k_lists(vectors.user_profiles(mine, known), known, depth, mine), ranking.watched_places(mine, popular, depth)
+    places = ranking.watched_places(mine, popular, depth)
+    svd = vectors.top_k_lists(vectors.user_profiles(mine, known), known, depth, mine, along=places.users)
     both = ranking.candidates(svd, places, depth, mode="post_exclusion")
     rows = both.join(targets.withColumn("target", F.lit(True)), ["user_id", "film_id"], "full")
     rows = rows.select("user_id", "film_id", "svd_rank", "popularity_rank", F.coalesce("target", F.lit(False)).alias("target"))

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from marquee.operators import ranking, vectors
-from marquee.plans import catalog
+from marquee.plans import catalog, core
 from marquee.sources.work import saved
 
 
@@ -52,6 +52,30 @@ def test_lists_meet_as_rows_do(spark, world, item_rows):
     assert some.count() == want.join(wanted, ["user_id", "film_id"], "left_semi").count()
 
 
+@pytest.mark.parametrize("item_rows", [16384, 16])
+def test_lists_meet_places_on_the_way(spark, world, item_rows):
+    logs, items = world
+    popular = ranking.popularity(logs)
+    users = vectors.user_profiles(logs.where("user_id <> 7"), items)  # user 7 has one list only
+    places = ranking.watched_places(logs, popular, 25)
+    got = ranking.candidates(vectors.top_k_lists(users, items, 30, logs, item_rows=item_rows, along=places.users), places, 25)
+    want = ranking.candidates(vectors.top_k_lists(users, items, 30, logs, item_rows=item_rows), places, 25)
+    assert got.count() == want.count() > 1000
+    assert got.exceptAll(want).count() == 0
+    wanted = spark.createDataFrame([(1, 3), (1, 5), (7, 4), (1000, 1), (2, 100_000)], "user_id long, film_id long")
+    few = ranking.targeted(places, wanted)
+    some = ranking.candidates(vectors.top_k_lists(users, items, 30, logs, item_rows=item_rows, along=few.users), few, 25)
+    assert some.exceptAll(want.join(wanted, ["user_id", "film_id"], "left_semi").select(some.columns)).count() == 0
+    assert some.count() == want.join(wanted, ["user_id", "film_id"], "left_semi").count()
+
+
+def test_lists_of_vectors_are_not_shuffled(spark, world):
+    logs, items = world
+    svd, places = core.sources(logs, items, ranking.popularity(logs), 20)
+    plan = ranking.candidates(svd, places, 20)._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan and "Join FullOuter" not in plan
+
+
 def test_scores_round_as_spark_does(spark):
     a, b = (x.ravel() for x in np.meshgrid(np.arange(0, 300), np.arange(0, 300)))
     x = np.where(a > 0, 1.0 / (60 + np.maximum(a, 1)), 0.0) + np.where(b > 0, 1.0 / (60 + np.maximum(b, 1)), 0.0)
