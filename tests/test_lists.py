@@ -1,11 +1,14 @@
 """Candidate lists in a user's row: the same as the joins and windows that they stand for, and not shuffled as rows."""
 
+import re
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from marquee.operators import ranking, vectors
 from marquee.plans import catalog, core
+from marquee.sources import bridge
 from marquee.sources.work import saved
 
 
@@ -76,6 +79,25 @@ def test_lists_of_vectors_are_not_shuffled(spark, world):
     assert "MapInArrow" in plan and "Join FullOuter" not in plan
 
 
+def test_logs_are_those_of_the_sql(spark, tmp_path):
+    day = "TIMESTAMP '2024-01-01'"
+    lines = [  # order, film, supplier, line, quantity, price, flag, days after
+        (1, 5, 1, 2, 10.0, 1.0, "N", 3), (1, 5, 1, 1, 20.0, 1.0, "R", 3), (1, 5, 2, 3, 30.0, 1.0, "N", 4), (2, 5, 1, 1, 40.0, 1.0, "N", 3), (3, 5, 1, 1, 50.0, 1.0, "N", 0),
+        (2, 6, 2, 1, 5.0, 1.0, "R", 1), (2, 6, 1, 1, 15.0, 1.0, "N", 1), (1, 7, 1, 1, 25.0, 2.0, "N", 1), (1, 7, 1, 1, 35.0, 1.0, "N", 1), (9, 8, 1, 1, 5.0, 1.0, "N", 1), (None, 8, 1, 1, 5.0, 1.0, "N", 1),
+    ]
+    rows = spark.createDataFrame(lines, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_returnflag string, d int")
+    rows.withColumn("l_shipdate", F.expr(f"{day} + make_interval(0, 0, 0, d)")).write.parquet(str(tmp_path / "lineitem.parquet"))
+    spark.createDataFrame([(1, 70), (2, 70), (3, 71), (4, 72)], "o_orderkey long, o_custkey long").write.parquet(str(tmp_path / "orders.parquet"))
+    got = bridge.derived(spark, str(tmp_path), "logs")
+    sql = re.sub(r"\b(lineitem|orders)\b", lambda m: f"parquet.`{tmp_path}/{m[0]}.parquet`", bridge.DERIVED["logs"])
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, spark.sql(sql).collect()), key=str)
+    assert {(r.user_id, r.film_id): r.rating for r in got.collect()} == {(70, 5): None, (70, 6): 1.5, (70, 7): 3.5, (71, 5): 5.0}
+    # Suppliers, lines and prices don't go on to the user.
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    at = plan.index("RepartitionByExpression [user_id")
+    assert not re.search("l_suppkey|l_linenumber|l_extendedprice", plan[at:].splitlines()[1])
+
+
 def test_scores_round_as_spark_does(spark):
     a, b = (x.ravel() for x in np.meshgrid(np.arange(0, 300), np.arange(0, 300)))
     x = np.where(a > 0, 1.0 / (60 + np.maximum(a, 1)), 0.0) + np.where(b > 0, 1.0 / (60 + np.maximum(b, 1)), 0.0)
