@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from marquee.operators import ranking, vectors
+from marquee.operators import evaluation, features, quality, ranking, training, vectors
 from marquee.plans import catalog, core
 from marquee.sources import bridge
 from marquee.sources.work import saved
@@ -79,6 +79,58 @@ def test_lists_of_vectors_are_not_shuffled(spark, world):
     assert "MapInArrow" in plan and "Join FullOuter" not in plan
 
 
+@pytest.mark.parametrize("most", [1 << 20, 3])
+def test_distances_meet_the_users_row(spark, world, most):
+    logs, _ = world
+    popular = ranking.popularity(logs)
+    films = spark.createDataFrame([(f, 1900 + f if f % 7 else None, 60 + f % 9) for f in range(2, 88)], "film_id long, year long, runtime long")
+    plain = {c: evaluation.weighted_preferences(logs, films, c) for c in ("year", "runtime")}
+    want = features.distance_features(ranking.popularity_candidates(logs, popular, 20), films, plain)
+    got = features.popular_distances(ranking.watched_places(logs, popular, 20, most), 20, films, evaluation.each_weighted(logs, films, ["year", "runtime"]))
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    if most > 3:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        try:
+            lines = operators(got.select("*"))
+        finally:
+            spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        above = lines[: next(i for i, x in enumerate(lines) if "Generate" in x)]
+        assert sum("Exchange" in x and "Broadcast" not in x for x in above) == 0
+
+
+def test_unwatched_popular_lists_are_ordered_once(spark, sf):
+    lines = operators(catalog.QUERIES["unwatched_popular"](spark, sf))
+    above = lines[: next(i for i, x in enumerate(lines) if "Generate" in x)]
+    assert not any("Window" in x or ("Exchange" in x and "Broadcast" not in x) for x in above)
+
+
+def test_split_deals_rows_not_bytes(spark, world, monkeypatch):
+    logs, _ = world
+    monkeypatch.setattr(evaluation, "HELD", 50)
+    tasks = evaluation.tasks_for(logs)
+    assert tasks == -(-logs.count() // 50) > spark.sparkContext.defaultParallelism
+    rows = evaluation.holdout(logs, tasks=tasks)
+    assert rows.rdd.getNumPartitions() == tasks
+    assert sorted(map(str, rows.collect())) == sorted(map(str, evaluation.holdout(logs).collect()))
+
+
+def test_leaks_are_sought_without_counting_the_context(spark):
+    frame = lambda rows: saved(spark.createDataFrame(rows, "user_id long, film_id long"))
+    df = quality.leaked(frame([(1, 1), (1, 2), (2, 5)]), frame([(1, 2), (1, 2), (2, 5), (3, 1)]), ["user_id", "film_id"])
+    assert df.first().leaked == 2
+    assert sum("Aggregate" in x for x in operators(df)) == 2  # the count's two halves
+
+
+def test_unseen_films_of_repeated_rows(spark):
+    items = spark.createDataFrame([(f,) for f in range(6)], "film_id long")
+    known = spark.createDataFrame([(1, 0), (1, 0), (1, 3), (1, 3), (1, 77)], "user_id long, film_id long")
+    wanted = spark.createDataFrame([(1, 9, 4), (2, 9, 6)], "user_id long, positive_id long, need long")
+    df = training.unseen_films(wanted, known, items)
+    films = lambda u: sorted(r.film_id for r in df.collect() if r.user_id == u)
+    assert films(1) == [1, 2, 4, 5] and films(2) == list(range(6))
+    assert not any("keys=[user_id" in x and "film_id" in x.split("functions")[0] for x in operators(df) if "Aggregate" in x)
+
+
 def test_logs_are_those_of_the_sql(spark, tmp_path):
     day = "TIMESTAMP '2024-01-01'"
     lines = [  # order, film, supplier, line, quantity, price, flag, days after
