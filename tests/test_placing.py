@@ -64,3 +64,11 @@ def test_what_goes_by_user_moves_no_candidate(spark, sf):
     rows = p["ranked"].withColumn("n", F.count("*").over(Window.partitionBy("user_id").orderBy("rrf_rank"))).groupBy("user_id").agg(F.max("n"))
     plan = rows._jdf.queryExecution().executedPlan().toString()
     assert "Window" in plan and plan.count("Exchange hashpartitioning") == 1
+
+
+def test_shelves_lie_with_their_user(spark, sf):
+    """What reports and the portfolio group by user isn't shuffled again."""
+    p = core.parts(spark, sf, core.saved(derived(spark, sf, "logs")))
+    rows = core.proposed(p, set(shelves.ROLES)).select("user_id", "key", "film_id")
+    exchanges = lambda df: df._jdf.queryExecution().executedPlan().toString().count("Exchange")
+    assert exchanges(rows.groupBy("user_id", "film_id").agg(F.count("*")).groupBy("user_id").agg(F.count("*"))) <= exchanges(rows)
