@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import functools
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marquee.operators import evaluation as E
 from marquee.operators import features as X
 from marquee.operators import preferences, ranking, vectors
-from marquee.plans.core import DEPTH, ORACLE, POLICY, SHELF_SQL, candidate_union, inventory, parts, shelf_of, sql
+from marquee.plans.core import DEPTH, NAMED, ORACLE, SHELF_SQL, Parts, candidate_union, inventory, parts, proposed, sql
 from marquee.plans.evaluation import _M, candidates_of_context, held_out_ranks, split, strata
 from marquee.plans.registry import query
 from marquee.sources.bridge import derived, kept
@@ -119,13 +117,22 @@ ORACLE["shelved"] = " UNION ALL ".join(f"SELECT '{k}' AS key, user_id, film_id,
 
 
 def _shelves(spark, sf_dir) -> DataFrame:
-    p = parts(spark, sf_dir)
-    return functools.reduce(DataFrame.unionByName, (shelf_of(k, p).select(F.lit(k).alias("key"), "user_id", "film_id", "pos") for k in SHELF_SQL))
+    return listed(parts(spark, sf_dir))
+
+
+def listed(p: Parts) -> DataFrame:
+    """All shelves that SQL can say, under the queries' keys: key, user_id, film_id, pos, head. The rows of a user lie together."""
+    rows = proposed(p, {NAMED.get(k, k) for k in SHELF_SQL})
+    key = F.col("key")
+    for query_key, own in NAMED.items():
+        key = F.when(F.col("key") == own, query_key).otherwise(key)
+    return rows.select(key.alias("key"), "user_id", "film_id", "pos", "head")
 
 
 @query("shelf_report", sql("SELECT key, count(DISTINCT user_id) AS users, round(count(DISTINCT user_id) / (SELECT count(DISTINCT user_id) FROM logs)::DOUBLE, 6) AS activation, round(count(*) / count(DISTINCT user_id)::DOUBLE, 6) AS mean_size, count(DISTINCT film_id) AS films, round(avg(CASE WHEN stratum = 'HEAD' THEN 1.0::DOUBLE ELSE 0 END), 6) AS head_share FROM shelved JOIN strata USING (film_id) GROUP BY key"))
 def shelf_report(spark, sf_dir):
-    return X.shelf_report(_shelves(spark, sf_dir), derived(spark, sf_dir, "logs"), strata(spark, sf_dir))
+    p = parts(spark, sf_dir)
+    return X.shelf_report(listed(p), kept(spark, sf_dir, "logs"), p["strata"])
 
 
 @query("shelf_overlap", sql("WITH t AS (SELECT * FROM shelved WHERE pos <= 20), n AS (SELECT user_id, key, count(*) AS n FROM t GROUP BY user_id, key), c AS (SELECT a.user_id, a.key AS ka, b.key AS kb, count(*) AS c FROM t a JOIN t b ON a.user_id = b.user_id AND a.film_id = b.film_id AND a.key < b.key GROUP BY ALL) SELECT a.key AS key_a, b.key AS key_b, count(*) AS users, round(avg(coalesce(c, 0) / (a.n + b.n - coalesce(c, 0))::DOUBLE), 6) AS jaccard FROM n a JOIN n b ON a.user_id = b.user_id AND a.key < b.key LEFT JOIN c ON c.user_id = a.user_id AND ka = a.key AND kb = b.key GROUP BY a.key, b.key"))
