@@ -7,9 +7,8 @@ from pyspark.sql import functions as F
 from marquee.functions import cleaning as C
 from marquee.operators import evaluation as E
 from marquee.operators import identity, ranking, shelves, vectors
-from marquee.plans.core import ORACLE, candidate_union, sql
+from marquee.plans.core import NAMED, ORACLE, SHELF_SQL, candidate_union, parts, proposed, sql
 from marquee.plans.evaluation import _SWEEP, _labels, _sweep, candidates_of_context, held_out_ranks, split, strata
-from marquee.plans.features import _shelves
 from marquee.plans.registry import query
 from marquee.sources import files
 from marquee.sources.bridge import derived, kept, oracle, read
@@ -95,10 +94,10 @@ def ranker_catalog(spark, sf_dir):
 
 @query("unavailable_shelves", sql("SELECT user_id, count(*) AS missing FROM (SELECT u.user_id, k.key FROM (SELECT DISTINCT user_id FROM logs) u CROSS JOIN (SELECT DISTINCT key FROM shelved) k WHERE (u.user_id, k.key) NOT IN (SELECT (user_id, key) FROM shelved)) GROUP BY user_id"))
 def unavailable_shelves(spark, sf_dir):
-    rows = _shelves(spark, sf_dir).select("user_id", F.when(F.col("key") == "national_cinema", "brazilian_cinema").otherwise(F.col("key")).alias("key"))
-    rows = saved(rows.distinct())
+    have = saved(proposed(parts(spark, sf_dir), {NAMED.get(k, k) for k in SHELF_SQL}).groupBy("user_id").agg(F.collect_set("key").alias("keys")))
+    rows = have.select("user_id", F.explode("keys").alias("key"))
     keys = rows.select("key").distinct()
-    missing = shelves.unavailable(rows, derived(spark, sf_dir, "logs").select("user_id").distinct()).select("user_id", F.explode("keys").alias("key"))
+    missing = shelves.unavailable(rows, kept(spark, sf_dir, "logs").select("user_id").distinct()).select("user_id", F.explode("keys").alias("key"))
     return missing.join(F.broadcast(keys), "key", "left_semi").groupBy("user_id").agg(F.count("*").alias("missing"))  # ten keys at most
 
 
