@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from marquee.operators import evaluation as E
 from marquee.operators import features as X
 from marquee.operators import preferences, ranking, vectors
-from marquee.plans.core import DEPTH, NAMED, ORACLE, SHELF_SQL, Parts, candidate_union, inventory, parts, proposed, sql
-from marquee.plans.evaluation import _M, candidates_of_context, held_out_ranks, split, strata
+from marquee.plans.core import DEPTH, NAMED, ORACLE, SHELF_SQL, Parts, candidate_union, inventory, parts, proposed, sources, sql
+from marquee.plans.evaluation import _M, context, held_out_ranks, popularity_of_context, split, strata
 from marquee.plans.registry import query
 from marquee.sources.bridge import derived, kept
 
@@ -68,7 +68,12 @@ _GRID = f"""grid AS (SELECT w::DOUBLE AS w, k FROM (VALUES {", ".join(f"({w})" f
 
 def _grid(spark, sf_dir) -> DataFrame:
     targets = split(spark, sf_dir).where("role = 'test'").select("user_id", "film_id")
-    return E.metrics(X.grid_target_ranks(candidates_of_context(spark, sf_dir), targets), ["svd_weight", "k"])
+    lists, places = sources(context(spark, sf_dir), derived(spark, sf_dir, "item_vectors"), popularity_of_context(spark, sf_dir), DEPTH, targets)
+    found = X.grid_of_lists(ranking.rank_lists(lists, places, DEPTH)).select("user_id", "film_id", "cells")
+    # Targets of users without candidates count as misses.
+    none = F.array(*(F.struct(F.lit(w).alias("svd_weight"), F.lit(k).alias("k"), F.lit(None).cast("bigint").alias("rank")) for w in X.WEIGHTS for k in X.KS))
+    cells = targets.join(found, ["user_id", "film_id"], "left").select(F.explode(F.coalesce("cells", none)).alias("c")).select("c.*")
+    return E.metrics(cells, ["svd_weight", "k"])
 
 
 @query("rrf_calibration", sql(f"WITH {_GRID} SELECT * FROM gm"))

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from marquee.operators import placing, preferences, ranking, shelves
+from marquee.operators import features, placing, preferences, ranking, shelves
 from marquee.operators.preferences import DEFAULT
 from marquee.plans import core
 from marquee.sources.bridge import derived
@@ -72,3 +72,23 @@ def test_shelves_lie_with_their_user(spark, sf):
     rows = core.proposed(p, set(shelves.ROLES)).select("user_id", "key", "film_id")
     exchanges = lambda df: df._jdf.queryExecution().executedPlan().toString().count("Exchange")
     assert exchanges(rows.groupBy("user_id", "film_id").agg(F.count("*")).groupBy("user_id").agg(F.count("*"))) <= exchanges(rows)
+
+
+def test_the_grid_meets_targets_in_the_users_row(spark):
+    r = random.Random(3)
+    rows, want = [], {}
+    for u in range(1, 6):
+        films = r.sample(range(1, 60), 20)
+        svd, popular = ([r.randint(0, 3) for _ in films] for _ in range(2))
+        wanted = [films[3], films[7], 99]
+        rows.append((u, wanted, films, svd, popular))
+        for w, k in ((0.2, 20), (0.5, 60)):
+            score = {f: round((w / (k + a) if a else 0.0) + ((1 - w) / (k + b) if b else 0.0), 12) for f, a, b in zip(films, svd, popular, strict=True)}
+            for t in wanted:
+                want[u, t, w, k] = 1 + sum((-score[f], f) < (-score[t], t) for f in films) if t in score else None
+    lists = spark.createDataFrame([*rows, (9, [5], [], [], [])], "user_id long, wanted array<long>, film array<long>, svd array<long>, popular array<long>")
+    got = features.grid_of_lists(lists, (0.2, 0.5), (20, 60)).select("user_id", "film_id", F.explode("cells").alias("c")).select("user_id", "film_id", "c.*").collect()
+    found = {(r.user_id, r.film_id, r.svd_weight, r.k): r.rank for r in got}
+    assert {k: found[k] for k in want} == want and found[9, 5, 0.5, 60] is None
+    plan = features.grid_of_lists(lists)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
