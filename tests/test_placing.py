@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from marquee.operators import features, placing, preferences, ranking, shelves
+from marquee.operators import category_report, features, placing, preferences, ranking, shelves
 from marquee.operators.preferences import DEFAULT
 from marquee.plans import core
 from marquee.sources.bridge import derived
@@ -92,3 +92,13 @@ def test_the_grid_meets_targets_in_the_users_row(spark):
     assert {k: found[k] for k in want} == want and found[9, 5, 0.5, 60] is None
     plan = features.grid_of_lists(lists)._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan
+
+
+def test_coverage_is_of_all_films(spark):
+    row = (1, "top_picks", None, 5, 0, 1, 1, "both", "HEAD")
+    rows = spark.createDataFrame([row, (1, "top_picks", None, 6, 0, 2, 2, "both", "MID")], "user_id long, key string, shelf int, film_id long, support long, svd_rank long, rrf_rank long, membership string, stratum string")
+    good = spark.createDataFrame([], "user_id long, family string, entity_id long, support long, entity_mean double, high long, positive_fraction double, affinity double, place int, tier string")
+    anchors = spark.createDataFrame([], "user_id long, rating double, size int, overlap double, mean double")
+    parts = {"users": spark.createDataFrame([(1,), (2,)], "user_id long"), "good": good, "anchors": anchors, "film_entity": spark.createDataFrame([(5, "genre", 1, "g")], "film_id long, family string, entity_id long, name string"), "catalog": spark.range(1, 11).withColumnRenamed("id", "film_id")}
+    got = {(r.section, r.name): r.share for r in category_report.evaluate(rows, parts, POLICY, world=False).collect()}
+    assert got["top_picks", "coverage"] == 0.2 and got["top_picks", "activation"] == 0.5
