@@ -9,11 +9,12 @@ from pyspark.sql import functions as F
 
 from marquee.operators import category_report, features, placing, preferences, ranking, shelves
 from marquee.operators.preferences import DEFAULT
-from marquee.plans import core
+from marquee.plans import catalog, core, training, variants
 from marquee.sources.bridge import derived
 
 POLICY = replace(DEFAULT, hidden_minimum=3, national_minimum=2, national_countries=("c1", "c2"), national_languages=("l1", "l2"), english_languages=("l0",), english_countries=("c0",), outside_minimum=2, outside_svd_rank=20, outside_rrf_rank=45, outside_primary_svd_rank=15, outside_primary_rrf_rank=40,
                  genre_minimum=3, decade_minimum=3, world_minimum=3, world_country_cap=2, directors_minimum=3, classic_minimum=3, anchor_minimum=5, anchor_neighbours=7, broad_support=2, broad_positive_fraction=0.3, broad_high=1)
+assert catalog.QUERIES  # imports all queries in their order
 KEYS = ["user_id", "key", "pos", "film_id", "role", "tier", "support", "minimum", "maximum", "head", "head_cap", "entity"]
 
 
@@ -102,3 +103,30 @@ def test_coverage_is_of_all_films(spark):
     parts = {"users": spark.createDataFrame([(1,), (2,)], "user_id long"), "good": good, "anchors": anchors, "film_entity": spark.createDataFrame([(5, "genre", 1, "g")], "film_id long, family string, entity_id long, name string"), "catalog": spark.range(1, 11).withColumnRenamed("id", "film_id")}
     got = {(r.section, r.name): r.share for r in category_report.evaluate(rows, parts, POLICY, world=False).collect()}
     assert got["top_picks", "coverage"] == 0.2 and got["top_picks", "activation"] == 0.5
+
+
+def test_candidates_meet_model_films_where_they_are(spark):
+    rows = [(1, 5, 1, None), (1, 6, 2, 1), (2, 7, 1, None), (2, 8, None, 3)]
+    candidates = spark.createDataFrame(rows, "user_id long, film_id long, svd_rank long, popularity_rank long")
+    context, items = spark.createDataFrame([(5,), (6,), (8,)], "film_id long"), spark.createDataFrame([(5,), (6,), (7,)], "film_id long")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = training._fused(candidates, context, items)
+        assert sorted(r.film_id for r in out.collect()) == [5, 6, 8]
+        assert "Exchange hashpartitioning" not in out._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_recall_places_all_shelves_at_once(spark, sf, monkeypatch):
+    calls = []
+    monkeypatch.setattr(training, "proposed", lambda p, keys, *a: calls.append(keys) or core.proposed(p, keys, *a))
+    assert training.semantic_recall(spark, sf).columns and len(calls) == 1 and "brazilian_cinema" in calls[0]
+
+
+def test_variants_send_no_vectors_with_candidates(spark, sf, monkeypatch):
+    def fail(*_):
+        raise AssertionError("vectors with candidates")
+
+    monkeypatch.setattr(shelves, "neighbourhoods", fail)
+    assert "first_overlap" in variants.variant_table(spark, sf).columns
